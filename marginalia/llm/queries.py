@@ -15,6 +15,26 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_minhash_near_dedup,)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from marginalia.llm.packing import pack_documents
+
+    out = pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from marginalia.llm.storage import fresh_path
+    from marginalia.llm.token_store import digests, read_tokens, write_tokens
+
+    store = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), store, path("word_bpe_49k.json"))
+    return digests(read_tokens(spark, store))
+
+
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op8_minhash_near_dedup, op9_token_store)}
 
 ORACLES: dict[str, str] = {}
