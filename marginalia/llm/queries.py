@@ -15,6 +15,20 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    found = identify(docs, train(docs.filter("NOT held_out")))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.vector_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -35,6 +49,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_tokens(spark, store))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op8_minhash_near_dedup, op9_token_store)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.secret_scan import digest, scan_secrets
+
+    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
