@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm.storage import dropped, written
@@ -137,7 +138,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
         own = Profiler(alphabet, 1)
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
-                mine = batch.filter(pa.compute.equal(batch.column(0), lang))
+                mine = batch.filter(pc.equal(batch.column(0), lang))
                 for texts in _chunks(mine.column(1)):
                     seen, n = np.unique(own.grams(texts)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])

@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm.components import connected_components
@@ -145,7 +146,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
 def _unit_groups(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Unit vectors by their length."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()])
+    sizes = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()])
     units, rows = [], []
     for size in np.unique(sizes[sizes > 0]).tolist():
         at = np.flatnonzero(sizes == size)
