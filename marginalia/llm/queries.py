@@ -15,6 +15,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.langid import held_out, identify, train
 
@@ -55,6 +61,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm.components import connected_components
-from marginalia.llm.storage import dropped, written
+from marginalia.llm.runs import forest, runs
+from marginalia.llm.storage import written
 
 WIDTH = 2.0
 BLOCK = 512
@@ -119,11 +120,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     full = full.select("tbl", "key", "i", "j", "left", "rep", "weight", "v", "keys").repartition("tbl", "key", "i", "j").sortWithinPartitions("tbl", "key", "i", "j", "rep")
 
     def work(batches):
-        for table, left, ids, weight, v, keys in _runs(batches):
+        for run in runs(batches, ("tbl", "key", "i", "j")):
+            table, left, ids, weight, v, keys = _run(run)
             x, y = _links(ids, v, keys, weight, table, left, threshold)
             if len(x):
                 links = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
-                at, to = _forest(x, y, len(ids))
+                at, to = forest(x, y, len(ids))
                 n = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([ids[n], ids[at]])), pa.array(np.concatenate([links[n].astype(np.int64), np.zeros(len(at), np.int64)])), pa.array(np.concatenate([ids[n], ids[to]]))],
@@ -157,45 +159,6 @@ def _unit_groups(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return units, rows
 
 
-def _forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[list[int], list[int]]:
-    """Edges from each item to the least item of its component among the links (x, y)."""
-    low = np.arange(n)
-    while True:
-        m = np.minimum(low[x], low[y])
-        nxt = low.copy()
-        np.minimum.at(nxt, x, m)
-        np.minimum.at(nxt, y, m)
-        nxt = nxt[nxt]
-        if (nxt == low).all():
-            break
-        low = nxt
-    at = np.flatnonzero(low < np.arange(n))
-    return at, low[at]
-
-
-def _runs(batches):
-    """Runs of equal (tbl, key, i, j) over sorted batches."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        edges = _edges(held)
-        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-            if b - a > 1:
-                yield _run(held.slice(a, b - a))
-        held = held.slice(edges[-2]).combine_chunks() if len(edges) > 1 else None
-    if held is not None and held.num_rows > 1:
-        yield _run(held)
-
-
-def _edges(table: pa.Table) -> list[int]:
-    same = np.ones(max(0, table.num_rows - 1), bool)
-    for name in ("tbl", "key", "i", "j"):
-        values = table.column(name).to_numpy()
-        same &= values[1:] == values[:-1]
-    return [0, *(np.flatnonzero(~same) + 1).tolist(), table.num_rows] if table.num_rows else []
-
-
 def _run(table: pa.Table):
     n = table.num_rows
     flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy()
