@@ -9,6 +9,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.storage import fresh_path
+    from marginalia.llm.warc import read_archives, write_archives
+
+    archives = write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.near_dup import near_duplicates
 
@@ -61,6 +81,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_templates, op6_warc_archives, op7_license_scan, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
