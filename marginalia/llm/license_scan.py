@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -56,23 +58,25 @@ def bigrams(text: str) -> set[str]:
 STEMS = ("licens", "copyright", "redistribut", "permission", "warrant", "software", "reserved", "conditions")
 
 
-def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
-    """Patterns of which every unit that reaches the threshold with any template holds at least one.
+def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[tuple[str, ...]]:
+    """Parts of words, or pairs of them, of which every unit that reaches the threshold with any template holds one.
 
-    The stems come first; where a template's bigrams without one are still enough for the threshold, those bigrams that
-    most templates have, ones of two longer words first, follow until they aren't.
+    The stems come first. While a template's bigrams without an anchor are enough for the threshold, the word of eight
+    letters or more is taken that most of such templates have, or, where they have none left, a bigram's two words.
     """
+    chosen: list[tuple[str, ...]] = [(s,) for s in STEMS]
     pairs = [bigrams(text) for _, text in templates]
-    bare = [{p for p in own if not any(c in p for c in STEMS)} for own in pairs]
-    chosen = list(STEMS)
     while True:
+        bare = [{p for p in own if not any(all(c in p for c in anchor) for anchor in chosen)} for own in pairs]
         left = [b for b, own in zip(bare, pairs, strict=True) if 2 * len(b) >= threshold * (len(b) + len(own))]
         if not left:
             return chosen
-        held = Counter(p for b in left for p in b)
-        best = max(held, key=lambda p: (min(map(len, p.split())) > 3, held[p], len(p), p))
-        chosen.append("[^a-z0-9]+".join(best.split()))
-        bare = [b - {best} for b in bare]
+        held = Counter(w for b in left for w in {w for p in b for w in p.split() if len(w) >= 8})
+        if held:
+            chosen.append((max(held, key=lambda w: (held[w], len(w), w)),))
+        else:
+            held = Counter(p for b in left for p in b)
+            chosen.append(tuple(max(held, key=lambda p: (held[p], len(p), p)).split()))
 
 
 def _unit_words(unit: Column) -> Column:
@@ -80,7 +84,9 @@ def _unit_words(unit: Column) -> Column:
 
 
 def _may_match(text: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:
-    return text.rlike("(?i)" + "|".join(anchors(templates, threshold)))
+    """Whether a text holds an anchor. The array of one text keeps its lower-casing from being repeated for each anchor."""
+    found = anchors(templates, threshold)
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [reduce(and_, [t.contains(w) for w in anchor]) for anchor in found]))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
