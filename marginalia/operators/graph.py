@@ -7,6 +7,8 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from marginalia.session import checkpoint_dir
+
 MAX_STOPS = 12
 
 
@@ -15,6 +17,7 @@ def reach(seeds: DataFrame, links: DataFrame, *, stop_at: int = MAX_STOPS, hops:
 
     A root stops growing after the hop in which it has reached stop_at papers, so a hop may go over that number.
     """
+    checkpoint_dir(seeds.sparkSession)
     both = links.select(F.col("earlier").alias("x"), F.col("later").alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     seen = seeds.select(F.col("id").alias("root"), "id").distinct()

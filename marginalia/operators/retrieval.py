@@ -35,11 +35,15 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id",
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("cosine"), "id")))
 
 
+def _count(word: str):
+    return F.size(F.filter("t", lambda x: x == word))
+
+
 def bm25(docs: DataFrame, words: Sequence[str], k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score, fts_rank): the k best texts that hold any of the words."""
     words = sorted(set(words))
     held = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    counted = held.select("id", F.size("t").alias("len"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(words)])
+    counted = held.select("id", F.size("t").alias("len"), *[_count(w).alias(f"tf{i}") for i, w in enumerate(words)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     score = sum((part(i) for i in range(len(words))), F.lit(0.0))

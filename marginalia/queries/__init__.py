@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marginalia.queries import logs, matching, retrieval, statistics, textual  # noqa: F401
+from marginalia.queries.registry import ORACLES, QUERIES
+from marginalia.queries.retrieval import flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
