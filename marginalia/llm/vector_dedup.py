@@ -41,7 +41,7 @@ def bucket_keys(vectors: np.ndarray, k: int, tables: int, seed: int = 1) -> np.n
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((vectors.shape[1], tables * k))
     cells = np.floor(vectors @ directions / WIDTH + rng.random(tables * k)).astype(np.int64).reshape(-1, tables, k)
-    key = np.full(cells.shape[:2], 0x2545F491, np.uint64)
+    key = np.full(cells.shape[:2], 0x2545F4914F6CDD1D * (vectors.shape[1] + 1) % (1 << 64), np.uint64)  # vectors of other lengths get other keys
     for i in range(k):
         key = (key ^ cells[:, :, i].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
@@ -59,13 +59,13 @@ def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return v / np.linalg.norm(v, axis=1, keepdims=True), np.array(ok)
 
 
-def _links(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, weight: np.ndarray, table: int, left: np.ndarray, threshold: float):
-    """Links of one bucket, or one pair of its blocks, that no earlier table has: (left item, right item) indices."""
-    a, b = np.flatnonzero(left), np.flatnonzero(~left) if not left.all() else np.flatnonzero(left)
+def _links(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, table: int, left: np.ndarray, same: bool, threshold: float):
+    """Links inside one block, or of one pair of blocks, that no earlier table has: (left item, right item) indices."""
+    a, b = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
     cos = vectors[a] @ vectors[b].T
     x, y = np.nonzero(cos >= threshold)
     x, y = a[x], b[y]
-    keep = ids[x] != ids[y] if not left.all() else ids[x] < ids[y]
+    keep = ids[x] < ids[y] if same else ids[x] != ids[y]
     x, y = x[keep], y[keep]
     if table:
         keep = ~(keys[x, :table] == keys[y, :table]).any(1)
@@ -122,7 +122,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     def work(batches):
         for run in runs(batches, ("tbl", "key", "i", "j")):
             table, left, ids, weight, v, keys = _run(run)
-            x, y = _links(ids, v, keys, weight, table, left, threshold)
+            same = run.column("i")[0].as_py() == run.column("j")[0].as_py()
+            x, y = _links(ids, v, keys, table, left, same, threshold)
             if len(x):
                 links = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
                 at, to = forest(x, y, len(ids))
@@ -163,6 +164,6 @@ def _run(table: pa.Table):
     n = table.num_rows
     flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy()
     vectors, keys = flat("v"), flat("keys").reshape(n, -1)
-    if len(vectors) % n:  # never the case: the keys' seed is the length
+    if len(vectors) % n:  # never the case: the length is part of the keys
         raise ValueError("vectors of different lengths in one bucket")
     return int(table.column("tbl")[0].as_py()), table.column("left").to_numpy(), table.column("rep").to_numpy(), table.column("weight").to_numpy(), vectors.reshape(n, -1), keys
