@@ -21,6 +21,8 @@ from marginalia.llm.storage import dropped, written
 WORD_BYTES = ~tb.SPACE
 ROWS, BANDS = 5, 26
 BLOCK_SHINGLES = 500_000
+#: What a text counts as at least, so that a block of short texts holds BLOCK_SHINGLES / LEAST_SHINGLES of them at most.
+LEAST_SHINGLES = 125
 _ROUND = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -148,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = apart.filter("comp <> lead_comp").join(second, "key").filter("id <> second").select(F.least("second", "id").alias("a"), F.greatest("second", "id").alias("b"))
         links, label = _grown(links, _verified(pairs.distinct(), sets, percent), label)
     apart = _apart(buckets, label)
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n_shingles").alias("size")).filter("lo < hi")
+    mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.greatest("n_shingles", F.lit(LEAST_SHINGLES))).alias("size")).filter("lo < hi")
     rest = apart.join(mixed.select("key", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "key")
     rest = rest.select("key", "id", "comp", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rest = rest.select("key", "id", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets, "id")
@@ -173,7 +175,7 @@ def _block_links(percent: int):
             left = table.column("mine").to_numpy() == table.column("i")[0].as_py()
             a = np.flatnonzero(left)
             b = a if left.all() else np.flatnonzero(~left)
-            if len(b) and (comp[a].min() != comp[b].max() or comp[a].max() != comp[b].min()):
+            if len(a) and len(b) and (comp[a].min() != comp[b].max() or comp[a].max() != comp[b].min()):
                 lists = table.column("shingles").combine_chunks()
                 both, sizes = _overlaps(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), a, b)
                 x, y = np.nonzero((both * (100 + percent) >= percent * (sizes[a][:, None] + sizes[b][None, :])) & (comp[a][:, None] != comp[b][None, :]))
