@@ -68,7 +68,7 @@ def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[tu
     pairs = [bigrams(text) for _, text in templates]
     while True:
         bare = [{p for p in own if not any(all(c in p for c in anchor) for anchor in chosen)} for own in pairs]
-        left = [b for b, own in zip(bare, pairs, strict=True) if 2 * len(b) >= threshold * (len(b) + len(own))]
+        left = [b for b, own in zip(bare, pairs, strict=True) if 2 * len(b) >= threshold * (1 - 1e-9) * (len(b) + len(own))]
         if not left:
             return chosen
         held = Counter(w for b in left for w in {w for p in b for w in p.split() if len(w) >= 8})
@@ -103,7 +103,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units = F.array_distinct(F.concat(F.split("low", "\n"), F.split("low", r"\n[ \t\r]*\n"), F.array("low")))
     least = min(len(bigrams(t)) for _, t in templates)
     most = max(len(bigrams(t)) for _, t in templates)
-    reach = (2 - threshold) / threshold
+    reach = (2 - threshold) / threshold * (1 + 1e-9)  # a unit right at the threshold counts, however this is rounded
     unit = F.col("unit")
     some = _may_match(unit, templates, threshold)
     rows = texts.select("id", F.explode(units).alias("unit")).filter(some).withColumn("w", _unit_words(unit))
