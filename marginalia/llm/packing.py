@@ -91,12 +91,13 @@ class Bins:
         """
         stuck: set[int] = set()
         while sum(1 for b in self.items if b) > self.least():
-            live = [b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist() if b not in stuck]
-            if len(live) < 2:
+            live = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist()
+            sources = [b for b in live if b not in stuck]
+            if len(live) < 2 or not sources:
                 return
-            source = min(live, key=lambda b: self.fill[b])
+            source = min(sources, key=lambda b: self.fill[b])
             while self.items[source] and self._exchange(source):
-                pass
+                stuck.clear()  # what did not fit before may do so now
             if self.items[source]:
                 stuck.add(source)
                 if len(stuck) > 8:
