@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a secret go."""
-    return secret_scan.redact(docs, secret_scan.scan_secrets(docs)).select(docs.columns)
+    return secret_scan.without_secrets(docs, secret_scan.scan_secrets(docs)).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *(of(r.kind) for r in BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def without_secrets(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows in which a secret was found."""
     hits = found.filter(F.size("spans") > 0).select(id_col).distinct()
     return docs.join(hits, id_col, "left_anti")
