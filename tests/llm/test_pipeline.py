@@ -1,0 +1,63 @@
+"""The corpus pipeline, stage by stage, each on what the one before it kept."""
+
+import re
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from marginalia.llm import decontaminate, near_dup, packing
+from marginalia.llm.queries import QUERIES, table
+from marginalia.llm.storage import written
+
+SF = "/root/testdata/sf0.001"
+BASE = [re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}""", re.I | re.A), re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")]
+
+
+def test_stages(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") == 3, F.lit("12 34")).otherwise(F.col("text")))
+    columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        after = {r.doc_id: r.text for r in docs.collect()}
+        gone = set(before) - set(after)
+        assert set(after) <= set(before) and all(before[i] == after[i] for i in after)
+        if name == "language":
+            assert gone == {i for i, t in before.items() if not any(c.isalpha() for c in t or "")} and 3 in gone
+        if name == "near_duplicates":
+            again = near_dup.near_duplicates(docs).collect()
+            assert gone and all(r.kept for r in again)
+        if name == "decontamination":
+            assert gone and decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).count() == 0
+        if name == "secrets":
+            clear = {i for i, t in before.items() if not any(p.search(t) for p in BASE)}
+            assert gone and set(after) <= clear and len(clear - set(after)) <= 1 + len(clear) // 50
+        before = after
+    assert {r.doc_id for r in docs.collect()} == set(before)
+
+
+def test_run_is_the_stages_in_order(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_stages_take_empty_tables(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.count() == 0
+
+
+def test_every_query_runs(spark):
+    for name, query in QUERIES.items():
+        assert query(spark, SF).count() > 0, name
+
+
+def test_cuts():
+    for n in (1, 5, 1023, 1024, 1025, 4096, 5000):
+        parts = packing.cut(n, 1024)
+        assert sum(size for _, size in parts) == n and all(size == 1024 for _, size in parts[1:])
