@@ -122,7 +122,8 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < F.least(F.lit(1.0), F.lit(per_language) / F.col("n")) * (1 << 32)
-    sample = written(rows.join(sizes, "lang").filter(chance).select("lang", "text"), "labelled")
+    # a row for each language, of which the driver holds a prototype anyway; else all texts would be shuffled by language
+    sample = written(rows.join(F.broadcast(sizes), "lang").filter(chance).select("lang", "text"), "labelled")
 
     def letters(batches):
         for batch in batches:
