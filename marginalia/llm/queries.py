@@ -83,4 +83,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_templates, op6_warc_archives, op7_license_scan, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
 
-ORACLES: dict[str, str] = {}
+_BITS = "".join(f"{' + ' if n else ''}{16 >> n} * substr(bits, 5 * i + {n + 1}, 1)::INT" for n in range(5))
+
+
+def _license_oracle() -> str:
+    from marginalia.llm.license_scan import TEMPLATES, bigrams
+
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, sorted(bigrams(text))))}])" for name, text in TEMPLATES)
+    return f"""WITH t(license, own) AS (VALUES {known}),
+      low AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+      units AS (SELECT doc_id, unnest(list_concat(string_split(low, chr(10)), regexp_split_to_array(low, '\\n[ \\t\\r]*\\n'), [low])) AS unit FROM low),
+      words AS (SELECT DISTINCT doc_id, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM units),
+      grams AS (SELECT doc_id, w, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM words WHERE len(w) > 1),
+      scored AS (SELECT doc_id, w, license, 2.0::DOUBLE * len(list_intersect(p, own)) / (len(p) + len(own)) AS dice FROM grams CROSS JOIN t),
+      best AS (SELECT doc_id, w, dice, license FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY dice DESC, license) = 1)
+      SELECT doc_id, license, max(dice) AS dice, count(*) AS units FROM best GROUP BY doc_id, license"""
+
+
+#: SQL for the queries that it can express over whole tables; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_embedding_near_dedup": """WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+      ok AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM u WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+      links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+      reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+      component AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+      counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+      SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN component c ON c.id = e.vec_id LEFT JOIN counts k ON k.a = e.vec_id""",
+    "op6_warc_archives": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+      h AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+      SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), '') AS payload_digest,
+      CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM h""",
+    "op7_license_scan": _license_oracle(),
+}
