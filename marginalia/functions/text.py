@@ -185,6 +185,10 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 10)
 
 
+def data_uri(data: Column, kind: str = "image/png") -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(data))
+
+
 def log_shape(text: Column) -> Column:
     """Length and checksum in place of the content."""
     return F.concat_ws(":", F.length(text).cast("string"), F.substring(F.sha2(text, 256), 1, 8))
