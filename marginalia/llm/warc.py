@@ -115,7 +115,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("size", F.octet_length("html"))
-    sample = rows.filter(F.col("size").between(1, SAMPLE_BYTES)).select("html", F.xxhash64("id", "url").alias("h")).orderBy("h").limit(SAMPLE_PAGES).collect()
+    # drawn by a hash before anything is sorted, so that tasks send about twice SAMPLE_PAGES pages in all, however many tasks there are
+    chance = min(1.0, 2 * SAMPLE_PAGES / max(1, pages.count()))
+    drawn = rows.withColumn("h", F.xxhash64("id", "url")).filter(F.pmod("h", F.lit(1 << 40)) < int(chance * (1 << 40)))
+    sample = drawn.filter(F.col("size").between(1, SAMPLE_BYTES)).select("html", "h").orderBy("h").limit(SAMPLE_PAGES).collect()
     dictionary = train_dictionary([record([("WARC-Type", "response")], HTTP + r.html.encode("utf-8")) for r in sample])
 
     rows = rows.withColumn("sha", F.sha1("html"))
