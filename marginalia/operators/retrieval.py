@@ -6,6 +6,7 @@ corpus size; the searches themselves are a scan with a top-k for each task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -36,19 +37,23 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id",
 
 
 def _count(word: str):
-    return F.size(F.filter("t", lambda x: x == word))
+    return F.size("t") - F.size(F.array_remove("t", word))
 
 
 def bm25(docs: DataFrame, words: Sequence[str], k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score, fts_rank): the k best texts that hold any of the words."""
-    words = sorted(set(words))
-    held = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    counted = held.select("id", F.size("t").alias("len"), *[_count(w).alias(f"tf{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    words = sorted(w for w in set(words) if re.fullmatch("[a-z0-9]+", w))
+
+    def counts(rows: DataFrame) -> DataFrame:
+        held = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+        return held.select("id", F.size("t").alias("len"), *[_count(w).alias(f"tf{i}") for i, w in enumerate(words)])
+
+    stats = counts(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     score = sum((part(i) for i in range(len(words))), F.lit(0.0))
-    any_of = F.greatest(*[F.col(f"tf{i}") for i in range(len(words))], F.lit(0)) > 0
-    top = counted.filter(any_of).crossJoin(F.broadcast(stats)).select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    # on the text itself: a filter on the counts would be pushed below them, with the tokens worked out anew for each word
+    any_of = F.lower(text_col).rlike(f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])") if words else F.lit(False)
+    top = counts(docs.filter(any_of)).crossJoin(F.broadcast(stats)).select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return top.withColumn("fts_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
