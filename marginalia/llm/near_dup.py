@@ -125,15 +125,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     At 0.85 a pair shares no band key with a probability of 3e-7.
 
     Null and empty texts have an empty set and link with nothing; rows with a null id keep a null component_id; rows that
-    repeat an id count once in the graph and come out once each; other columns are ignored; an empty table gives an
-    empty one. component_id is the smallest id reachable, kept is id = component_id.
+    repeat an id count once in the graph and come out once each, with the component of their own set; other columns are
+    ignored; an empty table gives an empty one. component_id is the smallest id reachable, kept is id = component_id.
     """
     feats = written(features(docs, id_col, text_col, shingle, rows, bands), "features")
     solid = feats.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"))
-    members = written(solid.select("id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("id", "rep").distinct(), "members")
-    reps = members.select(F.col("rep").alias("id")).distinct()
-    keyed = solid.join(reps, "id", "left_semi").select("id", "n_shingles", F.explode("bands").alias("key"))
+    # A written table: the join of all rows with it, at the end, reads two plain shuffles, so that Spark can split a hot class.
+    classes = written(solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
+    keyed = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
     buckets = written(keyed.join(shared, "key").select("key", "id", "n_shingles", "lead"), "buckets")
 
@@ -157,9 +156,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.select("key", "i", "j", "mine", "id", "comp", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     links, label = _grown(links, rest.mapInArrow(_block_links(percent), "a long, b long").distinct(), label)
 
-    found = members.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
-    out = feats.select("id", "n_shingles").join(found, "id", "left")
-    component = F.coalesce("component_id", "id")
+    found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    out = feats.select("id", "fp1", "fp2", "n_shingles").join(found, ["fp1", "fp2", "n_shingles"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
     for table in (sets, buckets):
         dropped(table)
