@@ -9,6 +9,8 @@ similarity, and the number of agreeing coordinates is concentrated as with t ind
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,13 +21,20 @@ from marginalia.llm.runs import forest, runs
 from marginalia.llm.storage import dropped, written
 
 WORD_BYTES = ~tb.SPACE
-ROWS, BANDS = 5, 26
+ROWS = 5
+#: How likely a pair right at the threshold may share no band key.
+MISS = 3e-7
 BLOCK_SHINGLES = 500_000
 #: What a text counts as at least, so that a block of short texts holds BLOCK_SHINGLES / LEAST_SHINGLES of them at most.
 LEAST_SHINGLES = 125
 _ROUND = np.uint64(0x9FB21C651E98DF25)
 
 
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """The least number of bands with which a pair at percent shares none of them with a probability of miss at most."""
+    return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+
+
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """The t coordinates of each set, one row for each; an empty set gives zeros."""
     out = np.full(len(sets) * t, np.iinfo(np.uint64).max, np.uint64)
@@ -114,7 +123,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").withColumn("both", both).filter(F.col("both") * (100 + percent) >= F.lit(percent) * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, rows: int = ROWS, bands: int = BANDS, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, rows: int = ROWS, bands: int | None = None, stars: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row for each row of docs.
 
     Texts are lower-cased (A-Z), cut into words at white space, and stand as sets of distinct shingles. Texts with equal
@@ -122,12 +131,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket first compares its members with its smallest one, and those left with the smallest of them. Buckets that are
     still in several components are worked off in pairs of blocks, by matrix products over full sets, which return no
     more than the links that join components. So no link inside a bucket is lost, and no pairs are emitted.
-    At 0.85 a pair shares no band key with a probability of 3e-7.
+    Unless bands is given, there are as many as leave a pair right at percent without a common key with a probability of
+    MISS at most: 26 at 0.85, 38 at 0.8.
 
     Null and empty texts have an empty set and link with nothing; rows with a null id keep a null component_id; rows that
     repeat an id count once in the graph and come out once each, with the component of their own set; other columns are
     ignored; an empty table gives an empty one. component_id is the smallest id reachable, kept is id = component_id.
     """
+    bands = bands or bands_for(percent, rows)
     feats = written(features(docs, id_col, text_col, shingle, rows, bands), "features")
     solid = feats.filter("n_shingles > 0 AND id IS NOT NULL")
     # A written table: the join of all rows with it, at the end, reads two plain shuffles, so that Spark can split a hot class.

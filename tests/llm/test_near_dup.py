@@ -78,6 +78,14 @@ def test_blocks_of_a_mixed_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
 
 
+def test_lower_threshold(spark):
+    assert [near_dup.bands_for(p) for p in (85, 80)] == [26, 38]
+    rows = list(enumerate(corpus(seed=21)))
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 80)
+    assert brute(rows, 80) != brute(rows, 85)
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g h i j"
     rows = [(1, text, 0, "x"), (1, text, 1, "x"), (None, text, 2, "x"), (7, text, 3, None), (8, None, None, None)]

@@ -39,6 +39,16 @@ def test_stages(spark):
     assert {r.doc_id for r in docs.collect()} == set(before)
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    """48 words, 44 shingles each, 40 shared of 48: 0.83; with 38 shared of 50 (0.76) both stay."""
+    words = [f"w{i}" for i in range(48)]
+    near, far = words[4:] + list("abcd"), words[6:] + list("efghij")
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(f"v{i}" for i in range(48)), "en", "s", 1)]
+    rows.append((4, " ".join(w.replace("w", "v") for w in far), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3, 4]
+
+
 def test_run_is_the_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
     out = corpus_pipeline.run(spark, SF)
