@@ -9,6 +9,7 @@ cosine.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -16,12 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.llm.storage import dropped, written
-
 DIM = 1024
-LETTERS = 62
 PER_LANGUAGE = 1000
-_OTHER = LETTERS + 1
+#: Trigrams whose vectors are held at once, and the largest table that counts a batch's trigrams without sorting them.
+SLICE, TABLE = 8192, 1 << 22
+_BITS = 21  # of a code point
 
 
 @lru_cache
@@ -39,57 +39,78 @@ def _vector(code_point: int, dim: int) -> np.ndarray:
 
 
 class Profiler:
-    """Vectors of texts over an alphabet; letters outside it share one vector."""
-
-    def __init__(self, alphabet: list[int], dim: int = DIM):
-        self.dim, self.alphabet = dim, alphabet
-        self.place = np.zeros(sys.maxunicode + 1, np.uint8)
-        self.place[_folded() > 0] = _OTHER
-        known = np.zeros(sys.maxunicode + 1, np.uint8)
-        known[alphabet] = np.arange(1, len(alphabet) + 1)
-        fold = _folded()
-        self.place = np.where(known[fold] > 0, known[fold], self.place).astype(np.uint8)
-        letters = [_vector(0, dim), *(_vector(c, dim) for c in alphabet), *[_vector(0, dim)] * (LETTERS - len(alphabet)), _vector(sys.maxunicode + 1, dim)]
-        self.rolled = [np.stack([np.roll(v, k) for v in letters]) for k in range(3)]
-        self.row = np.full(1 << 18, -1, np.int32)
-        self.rows = np.zeros((4096, dim), np.int8)
-        self.known = 0
+    """Vectors of texts. Each letter's own is drawn when it is first met (those of letters at once)."""
 
-    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Trigrams of the texts (around each letter; what is no letter is one boundary) and the text of each."""
+    def __init__(self, letters: Iterable[int] = (), dim: int = DIM):
+        self.dim = dim
+        self.row = np.full(sys.maxunicode + 1, -1, np.int32)
+        self.rows = np.zeros((64, dim), np.int8)
+        self.known = 0
+        self.letters(np.array([0, *letters], np.int64))
+
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """The vector of each code point."""
+        new = np.unique(points[self.row[points] < 0])
+        while self.known + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for c in new.tolist():
+            self.rows[self.known] = _vector(c, self.dim)
+            self.row[c] = self.known
+            self.known += 1
+        return self.rows[self.row[points]]
+
+    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct trigrams of the texts (around each letter; what is no letter is one boundary), as three code points of
+        21 bits each; of each place the trigram, by its number, and the text."""
         points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-        seq = self.place[points]
+        seq = _folded()[points]
         keep = seq > 0
         keep[1:] |= seq[:-1] > 0
         keep[0] = True
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         row = np.searchsorted(starts, np.flatnonzero(keep), "right") - 1
-        seq = seq[keep].astype(np.int32)
-        gram = seq[:-2] << 12 | seq[1:-1] << 6 | seq[2:]
-        letter = seq[1:-1] > 0
-        return gram[letter], row[1:-1][letter]
+        seq = seq[keep]
+        used = np.flatnonzero(np.bincount(seq))
+        place = np.zeros(int(used[-1]) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        seq, n = place[seq], len(used)
+        letter = seq[1:-1] > 0  # place 0 is the boundary, with which the texts begin
+        code = ((seq[:-2] * n + seq[1:-1]) * n + seq[2:])[letter]
+        if n**3 <= TABLE:
+            seen = np.flatnonzero(np.bincount(code, minlength=1))
+            number = np.zeros(n**3, np.int64)
+            number[seen] = np.arange(len(seen))
+            which = number[code]
+        else:
+            seen, which = np.unique(code, return_inverse=True)
+        distinct = used[seen // (n * n)] << 2 * _BITS | used[seen // n % n] << _BITS | used[seen % n]
+        return distinct, which, row[1:-1][letter]
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
         """One row for each trigram."""
-        new = grams[self.row[grams] < 0]
-        if len(new):
-            while self.known + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.known : self.known + len(new)] = self.rolled[2][new >> 12] * self.rolled[1][new >> 6 & 63] * self.rolled[0][new & 63]
-            self.row[new] = self.known + np.arange(len(new))
-            self.known += len(new)
-        return self.rows[self.row[grams]].astype(np.float32)
+        low = (1 << _BITS) - 1
+        first, second, third = (self.letters(grams >> shift & low) for shift in (2 * _BITS, _BITS, 0))
+        return np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third
 
     def bundle(self, texts: list[str]) -> np.ndarray:
         """The vector of each text; zero where a text has no letter."""
-        gram, row = self.grams(texts)
-        present = np.flatnonzero(np.bincount(gram, minlength=1 << 18))
-        if not len(present):
-            return np.zeros((len(texts), self.dim), np.float32)
-        column = np.zeros(1 << 18, np.int64)
-        column[present] = np.arange(len(present))
-        counts = np.bincount(row * len(present) + column[gram], minlength=len(texts) * len(present))
-        return counts.reshape(len(texts), -1).astype(np.float32) @ self.vectors(present)
+        distinct, which, row = self.grams(texts)
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for lo in range(0, len(distinct), SLICE):
+            part = distinct[lo : lo + SLICE]
+            here = slice(None) if len(distinct) <= SLICE else (which >= lo) & (which < lo + SLICE)
+            counts = np.bincount(row[here] * len(part) + which[here] - lo, minlength=len(texts) * len(part))
+            out += counts.reshape(len(texts), -1).astype(np.float32) @ self.vectors(part).astype(np.float32)
+        return out
+
+    def total(self, texts: list[str]) -> np.ndarray:
+        """The sum of the vectors of all texts."""
+        distinct, which, _ = self.grams(texts)
+        n = np.bincount(which, minlength=len(distinct)).astype(np.float64)
+        out = np.zeros(self.dim)
+        for lo in range(0, len(distinct), SLICE):
+            out += n[lo : lo + SLICE] @ self.vectors(distinct[lo : lo + SLICE]).astype(np.float64)
+        return out
 
 
 def _chunks(column: pa.Array, chars: int = 1 << 20, rows: int = 512):
@@ -107,54 +128,44 @@ def _chunks(column: pa.Array, chars: int = 1 << 20, rows: int = 512):
 
 
 class Model:
-    """Alphabet, languages and their unit prototypes."""
+    """Languages and their unit prototypes."""
 
-    def __init__(self, alphabet: list[int], languages: list[str], prototypes: np.ndarray):
-        self.alphabet, self.languages, self.prototypes = alphabet, languages, prototypes
+    def __init__(self, languages: list[str], prototypes: np.ndarray):
+        self.languages, self.prototypes = languages, prototypes
 
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", *, per_language: int = PER_LANGUAGE, dim: int = DIM) -> Model:
     """Fit on about per_language texts of each language (all, where there are fewer), taken by a hash of the id.
 
-    That bound is the only one: the sampled texts count whole. Rows without a language or text are left out. What reaches
-    the driver are letter counts and trigram counts by language, at most 2^18 of the latter for each language.
+    That bound is the only one: the sampled texts count whole, with every letter of every script. Rows without a language
+    or text are left out. What reaches the driver are the prototypes, dim numbers for each language.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < F.least(F.lit(1.0), F.lit(per_language) / F.col("n")) * (1 << 32)
     # a row for each language, of which the driver holds a prototype anyway; else all texts would be shuffled by language
-    sample = written(rows.join(F.broadcast(sizes), "lang").filter(chance).select("lang", "text"), "labelled")
-
-    def letters(batches):
-        for batch in batches:
-            for texts in _chunks(batch.column(1)):
-                points = _folded()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-                seen, n = np.unique(points[points > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], ["c", "n"])
-
-    top = sample.mapInArrow(letters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
-    alphabet = [r.c for r in top]
+    sample = rows.join(F.broadcast(sizes), "lang").filter(chance).select("lang", "text")
 
-    def trigrams(batches):
-        own = Profiler(alphabet, 1)
+    def totals(batches):
+        own, sums = Profiler(dim=dim), {}
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
                 mine = batch.filter(pc.equal(batch.column(0), lang))
                 for texts in _chunks(mine.column(1)):
-                    seen, n = np.unique(own.grams(texts)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
+                    sums[lang] = sums.get(lang, 0) + own.total(texts)
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim)), pa.array(v.astype(np.int64))], ["lang", "i", "n"])
 
-    counts = sample.mapInArrow(trigrams, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toPandas()
-    dropped(sample)
-    profiler, languages = Profiler(alphabet, dim), sorted(counts["lang"].unique())
+    sums = sample.mapInArrow(totals, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(sums["lang"].unique())
     prototypes = np.zeros((len(languages), dim))
     for i, lang in enumerate(languages):
-        mine = counts[counts["lang"] == lang]
-        prototypes[i] = mine["n"].to_numpy(np.float64) @ profiler.vectors(mine["g"].to_numpy())
-    return Model(alphabet, languages, prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12))
+        mine = sums[sums["lang"] == lang]
+        prototypes[i, mine["i"].to_numpy()] = mine["n"].to_numpy(np.float64)
+    return Model(languages, prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12))
 
 
-_PROFILERS: dict[tuple, Profiler] = {}
+_PROFILERS: dict[int, Profiler] = {}
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,8 +176,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
 
     def work(batches):
-        key = (tuple(model.alphabet), model.prototypes.shape[1])
-        own = _PROFILERS.setdefault(key, Profiler(model.alphabet, key[1]))
+        dim = model.prototypes.shape[1]
+        own = _PROFILERS.setdefault(dim, Profiler(dim=dim))
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(1)):

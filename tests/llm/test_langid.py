@@ -65,3 +65,20 @@ def test_a_very_long_text(spark):
     model = langid.train(docs)
     long = docs.select("doc_id", F.repeat("text", 50_000).alias("text"))
     assert {r.doc_id: r.lang_pred for r in langid.identify(long, model).collect()} == {1: "en", 2: "de"}
+
+
+def test_labels_in_several_scripts(spark):
+    """Latin texts with over 62 letters of their own are the most; Cyrillic, Greek and Hangul ones tell two languages each."""
+    rng = np.random.default_rng(5)
+    latin = [chr(c) for c in [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0x101, 0x137, 2)]]
+    scripts = {"l": latin, "ru": [chr(c) for c in range(0x430, 0x450)], "el": [chr(c) for c in range(0x3B1, 0x3C9)], "ko": [chr(c) for c in range(0xAC00, 0xAC00 + 600)]}
+    rows = []
+    for name, letters in scripts.items():
+        for k in range(1 if name == "l" else 2):
+            mine = [letters[i] for i in rng.permutation(len(letters))[: len(letters) * (1 if name == "l" else 3) // (1 if name == "l" else 4)]]
+            words = ["".join(rng.choice(mine, rng.integers(2, 9))) for _ in range(150)]
+            rows += [(" ".join(rng.choice(words, 30)), f"{name}{k}") for _ in range(400 if name == "l" else 30)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs.filter("doc_id % 3 > 0"))
+    out = langid.identify(docs.filter("doc_id % 3 = 0"), model).collect()
+    assert len(model.languages) == 7 and all(r.lang_pred == rows[r.doc_id][1] for r in out)
