@@ -1,49 +1,80 @@
-"""Benchmark passages in training texts: shared rare word n-grams as seeds, then local alignment.
+"""Benchmark passages in training texts: word pairs as seeds, then local alignment.
 
-Word n-grams of the benchmark's items are looked for in every text. How many texts hold each is counted over the whole
-corpus; a text is a candidate for an item if it shares one rare n-gram with it, or at least two different ones (so that a
-passage that has spread through the corpus, whose n-grams are rare no longer, is still found). Around the seeds of each
-candidate a Smith-Waterman alignment of words scores how much of the item stands there, edits, insertions and
-omissions included.
+A score of t or more leaves traces that no corpus can hide. Let an item have L words, of which an alignment matches m,
+with e words replaced, left out or put in between. With 2 m - e >= 2 t L, at most m - t L of the m - 1 gaps between words
+matched one after the other hold two edits or more. So at least t L - 1 of the item's words are matched and followed, with
+at most one edit between, by a match: each such word and the next or the one after it stand in the text side by side
+or one word apart. And since m + e is bounded, all of it stands in (3 - 2 t) L words of the text.
+
+Of these L - 1 places an item needs t L - 1, so that its most frequent ones can be left out of the search: any c of those
+needed are still found if all but t L - 1 - c are looked for. A text in which c of them stand close enough is aligned
+there by Smith-Waterman. That depends on the text and the item alone, not on how many texts hold the passage.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm import textbytes as tb
-from marginalia.llm.storage import written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Seeds of an item that must stand close to each other (fewer where it needs fewer), and seeds looked at in one go.
+TOGETHER, HITS = 3, 1 << 21
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _apart(words: np.ndarray, step: int) -> np.ndarray:
+    """The hash of each word with the one step places on."""
+    return tb.mix(words[: max(0, len(words) - step)] * _STEP + words[step:])
 
 
 class Items:
-    """A block of benchmark items as word hashes, with the places of their n-grams."""
-
-    def __init__(self, ids: list[int], words: list[np.ndarray], n: int):
-        self.ids, self.words, self.n = ids, words, n
-        item = np.concatenate([np.full(max(0, len(w) - n + 1), i) for i, w in enumerate(words)] or [np.zeros(0)]).astype(np.int64)
-        place = np.concatenate([np.arange(max(0, len(w) - n + 1)) for w in words] or [np.zeros(0)]).astype(np.int64)
-        gram = np.concatenate([tb.gram_hashes(w, n) if len(w) >= n else np.zeros(0, np.uint64) for w in words] or [np.zeros(0, np.uint64)])
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
-        self.seeds = np.unique(self.gram)
-        self.near = np.zeros(1 << 20, bool)  # by the low bits; most n-grams of a text end here
-        self.near[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in a word list at which a seed stands, and which seed."""
-        gram = tb.gram_hashes(words, self.n)
-        at = np.flatnonzero(self.near[(gram & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        seed = np.searchsorted(self.seeds, gram[at])
-        ok = (seed < len(self.seeds)) & (self.seeds[np.minimum(seed, len(self.seeds) - 1)] == gram[at]) if len(self.seeds) else np.zeros(len(at), bool)
-        return at[ok], seed[ok]
-
-    def owners(self, seed: int) -> slice:
-        g = self.seeds[seed]
-        return slice(int(np.searchsorted(self.gram, g)), int(np.searchsorted(self.gram, g, "right")))
+    """A block of benchmark items as word hashes, with the seeds that find every alignment at or above the threshold."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], threshold: float):
+        self.ids, self.words = ids, words
+        sizes = np.array([len(w) for w in words])
+        needed = np.maximum(1, np.ceil(threshold * sizes - 1 - 1e-9)).astype(np.int64)
+        self.together = np.minimum(needed, TOGETHER)
+        self.span = np.ceil((3 - 2 * threshold) * sizes).astype(np.int64) + 1
+        gram, item, place = [], [], []
+        for i, w in enumerate(words):
+            for step in (1, 2):
+                g = _apart(w, step)
+                gram.append(g)
+                item.append(np.full(len(g), i))
+                place.append(np.arange(len(g)))
+        gram, item, place = np.concatenate(gram), np.concatenate(item), np.concatenate(place)
+        # how often a place's seeds stand in the block says how common they are
+        _, which, often = np.unique(gram, return_inverse=True, return_counts=True)
+        starts = np.cumsum([0, *(sizes - 1)])
+        load = np.bincount(starts[item] + place, weights=often[which], minlength=starts[-1])
+        wanted = np.zeros(len(load), bool)
+        for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            wanted[lo + np.argsort(load[lo:hi], kind="stable")[: hi - lo - needed[i] + self.together[i]]] = True
+        keep = np.flatnonzero(wanted[starts[item] + place])
+        order = keep[np.argsort(gram[keep], kind="stable")]
+        gram, self.item, self.place = gram[order], item[order], place[order]
+        self.seeds, first = np.unique(gram, return_index=True)
+        self.first = np.append(first, len(gram))
+        self.mask = np.uint64((1 << max(20, min(24, int(len(self.seeds)).bit_length() + 4))) - 1)
+        self.near = np.zeros(int(self.mask) + 1, bool)  # by the low bits; most pairs of a text end here
+        self.near[(self.seeds & self.mask).astype(np.int64)] = True
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in a word list at which a seed begins, how many words on it ends, and which seed."""
+        out = []
+        for step in (1, 2):
+            gram = _apart(words, step)
+            at = np.flatnonzero(self.near[(gram & self.mask).astype(np.int64)])
+            seed = np.searchsorted(self.seeds, gram[at])
+            ok = self.seeds[np.minimum(seed, len(self.seeds) - 1)] == gram[at]
+            out.append((at[ok], np.full(int(ok.sum()), step), seed[ok]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray], cells: int = 1 << 20) -> np.ndarray:
@@ -82,25 +113,56 @@ def align(items: list[np.ndarray], windows: list[np.ndarray], cells: int = 1 <<
     return out
 
 
-def _windows(items: Items, words: np.ndarray, wanted: set[int]) -> tuple[list[int], list[np.ndarray]]:
-    """Stretches of a text around the seeds of the wanted items, and the item of each."""
-    at, seed = items.hits(words)
-    diagonals: dict[int, list[int]] = {}
-    for p, s in zip(at.tolist(), seed.tolist(), strict=True):
-        for o in range(*items.owners(s).indices(len(items.item))):
-            if (i := int(items.item[o])) in wanted:
-                diagonals.setdefault(i, []).append(p - int(items.place[o]))
-    which, parts = [], []
-    for i, found in diagonals.items():
-        size = len(items.words[i])
-        slack, found = size // 2 + 2, sorted(set(found))
-        lo = found[0]
-        for a, b in zip(found, [*found[1:], None], strict=True):
-            if b is None or b - a > slack:
-                which.append(i)
-                parts.append(words[max(0, lo - slack) : a + size + slack])
-                lo = b
-    return which, parts
+def _windows(items: Items, words: np.ndarray, places: np.ndarray):
+    """Stretches of texts (those between places) in which enough of an item's seeds stand together: text, item, from, to."""
+    at, step, seed = items.hits(words)
+    row = np.searchsorted(places, at, "right") - 1
+    inside = at + step < places[row + 1]
+    order = np.flatnonzero(inside)[np.argsort(at[inside], kind="stable")]
+    at, seed, row = at[order], seed[order], row[order]
+    many = items.first[seed + 1] - items.first[seed]
+    until = np.cumsum(many)
+    lo = 0
+    while lo < len(at):  # whole texts, as many as have HITS places of items between them
+        hi = int(np.searchsorted(until, (until[lo - 1] if lo else 0) + HITS, "right"))
+        hi = int(np.searchsorted(row, row[max(lo, min(hi, len(at) - 1))], "left")) if hi < len(at) else hi
+        if hi <= lo:
+            hi = int(np.searchsorted(row, row[lo], "right"))
+        n = many[lo:hi]
+        owner = np.repeat(items.first[seed[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pos, text, item, place = np.repeat(at[lo:hi], n), np.repeat(row[lo:hi], n), items.item[owner], items.place[owner]
+        order = np.lexsort((place, pos, item, text))
+        pos, text, item, place = pos[order], text[order], item[order], place[order]
+        new = np.ones(len(pos), bool)
+        new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(pos) != 0) | (np.diff(place) != 0)
+        pos, text, item = pos[new], text[new], item[new]
+        last = np.arange(len(pos)) + items.together[item] - 1
+        ok = last < len(pos)
+        last = np.minimum(last, len(pos) - 1)
+        span = items.span[item]
+        ok &= (text[last] == text) & (item[last] == item) & (pos[last] - pos < span)
+        pos, end, text, item, span = pos[ok], pos[last][ok], text[ok], item[ok], span[ok]
+        left, right = np.maximum(end - span, places[text]), np.minimum(pos + span + 1, places[text + 1])
+        # both ends rise within a text and item; stretches that meet are one
+        apart = np.ones(len(pos), bool)
+        apart[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (left[1:] > right[:-1])
+        first = np.flatnonzero(apart)
+        final = np.append(first[1:], len(pos)) - 1 if len(first) else first
+        yield text[first], item[first], left[first], right[final]
+        lo = hi
+
+
+def _leaks(items: Items, column: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts the row, item and score of each alignment at or above the threshold."""
+    words, places = _words(column)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for text, item, left, right in _windows(items, words, places):
+        for lo in range(0, len(text), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            scores = align([items.words[i] for i in item[part]], [words[a:b] for a, b in zip(left[part], right[part], strict=True)])
+            good = scores >= threshold
+            out.append((text[part][good], item[part][good], scores[good]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _words(column: pa.Array):
@@ -108,41 +170,40 @@ def _words(column: pa.Array):
     return tb.word_hashes(data, offsets, tb.ALNUM, tb.FOLDED)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int):
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, threshold: float, block_words: int):
     """The benchmark's items in blocks of bounded size, as the driver streams over them."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("id", "text")
     ids, words, size = [], [], 0
     for row in rows.toLocalIterator():
         w, _ = _words(pa.array([row.text]))
-        if len(w) < n:
+        if len(w) < least:
             continue
         if ids and size + len(w) > block_words:
-            yield Items(ids, words, n)
+            yield Items(ids, words, threshold)
             ids, words, size = [], [], 0
         ids.append(row.id)
         words.append(w)
         size += len(w)
     if ids:
-        yield Items(ids, words, n)
+        yield Items(ids, words, threshold)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, rare_share: float = 1e-3, threshold: float = 0.5, block_words: int = 1 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, threshold: float = 0.5, block_words: int = 1 << 20) -> DataFrame:
     """(id_col, item_col, score): each text and item of which at least threshold stands in the text.
 
-    Words are runs of letters and digits with A-Z lower-cased. An n-gram is rare if at most rare_share of all texts (one,
-    in a small corpus) hold it. score is the alignment's score over the item's score against itself: 1 for an exact copy.
+    Words are runs of letters and digits with A-Z lower-cased. score is the alignment's score over the item's score
+    against itself: 1 for an exact copy. Every pair that reaches the threshold is found, however many texts hold the item.
     The benchmark is a set of queries, met with all texts in blocks of block_words words, so what is sent to the
     executors is bounded.
 
-    Items that are null, empty or shorter than n words have no n-gram and match nothing; null and empty texts match
-    nothing, as does a null id; repeated texts and items count once; other columns are ignored; an empty table on either
-    side gives an empty one.
+    Items that are null, empty or shorter than n words match nothing; null and empty texts match nothing, as does a null
+    id; repeated texts and items count once; other columns are ignored; an empty table on either side gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     out = None
-    for items in _blocks(benchmark, item_col, item_text_col, n, block_words):
-        found = _block(rows, items, rare_share, threshold)
+    for items in _blocks(benchmark, item_col, item_text_col, n, threshold, block_words):
+        found = _block(rows, items, threshold)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "id long, item long, score double")
@@ -150,49 +211,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score")
 
 
-def _block(rows: DataFrame, items: Items, rare_share: float, threshold: float) -> DataFrame:
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(items)  # of block_words words at most
+def _block(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(items)  # of block_words words at most
 
-    def seeds(batches):
-        own = shared.value
-        for batch in batches:
-            words, places = _words(batch.column(1))
-            at, seed = own.hits(words)
-            row = np.searchsorted(places, at, "right") - 1
-            inside = at + own.n <= places[row + 1]
-            pair = np.unique(row[inside] << 32 | seed[inside])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair >> 32)), pa.array(pair & 0xFFFFFFFF)], ["id", "seed"])
-
-    hits = written(rows.mapInArrow(seeds, "id long, seed long").distinct(), "seeds")
-    total = rows.count()
-    held = hits.groupBy("seed").agg(F.count("*").alias("texts"))  # at most as many rows as the block has words
-
-    def owners(batches):
+    def leaks(batches):
         own = shared.value
+        ids = np.array(own.ids, np.int64)
         for batch in batches:
-            for seed, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                item = np.unique(own.item[own.owners(seed)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), seed)), pa.array(np.full(len(item), texts)), pa.array(item)], ["seed", "texts", "item"])
+            row, item, score = _leaks(own, batch.column(1), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids[item]), pa.array(score)], ["id", "item", "score"])
 
-    rare = F.col("texts") <= max(1.0, rare_share * total)
-    known = held.mapInArrow(owners, "seed long, texts long, item long").select("seed", "item", rare.cast("int").alias("rare"))
-    pairs = hits.join(known, "seed").groupBy("id", "item").agg(F.max("rare").alias("rare"), F.count("*").alias("n")).filter("rare = 1 OR n > 1")
-    wanted = pairs.groupBy("id").agg(F.collect_set("item").alias("items"))
-
-    def score(batches):
-        own = shared.value
-        for batch in batches:
-            words, places = _words(batch.column(1))
-            which, parts, of = [], [], []
-            for row, wanted in enumerate(batch.column(2).to_pylist()):
-                i, w = _windows(own, words[places[row] : places[row + 1]], set(wanted))
-                which += i
-                parts += w
-                of += [row] * len(i)
-            scores = align([own.words[i] for i in which], parts)
-            good = np.flatnonzero(scores >= threshold)
-            ids = batch.column(0).take(pa.array([of[g] for g in good], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[which[g]] for g in good], pa.int64()), pa.array(scores[good])], ["id", "item", "score"])
-
-    return rows.join(wanted, "id").select("id", "text", "items").mapInArrow(score, "id long, item long, score double")
+    return rows.mapInArrow(leaks, "id long, item long, score double")

@@ -104,3 +104,36 @@ def test_a_very_long_text(spark):
     item = words[250_000:250_040]
     out = d.contaminated(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert [tuple(r) for r in out] == [(1, 1, 1.0)]
+
+
+def test_a_spread_item_of_three_words_and_edited_copies_of_a_spread_passage(spark):
+    """Every copy that scores the threshold is found, in a corpus that is full of the passage as in a small one."""
+    rng = random.Random(6)
+    items = {1: "alpha beta gamma", 2: " ".join(f"p{i}" for i in range(16)), 3: " ".join(f"r{i}" for i in range(8)), 4: " ".join(f"s{i % 5}" for i in range(11))}
+    docs = {i: f"a{i} {items[1]} b{i} {items[2]} c{i} {items[3]} {items[4]}" for i in range(1500)}
+    for i in range(1500, 2100):
+        k = 1 + i % 4
+        words = items[k].split()
+        copy = [w if j % 3 < 2 else f"x{i}" for j, w in enumerate(words)] if i % 5 == 0 else [x for w in words for x in (w, f"y{i}")] if i % 5 == 1 else edited(rng, words, 0.4)
+        docs[i] = " ".join([f"f{i}", *copy, f"g{i}", *rng.sample(items[2].split(), 4)])
+    out = d.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    want = {(i, k): 1.0 for i in range(1500) for k in items} | {(i, k): plain(tokens(items[k]), tokens(docs[i])) for i in range(1500, 2100) for k in items}
+    want = {pair: x for pair, x in want.items() if x >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in out}
+    assert got.keys() == want.keys() and all(abs(got[pair] - want[pair]) < 1e-9 for pair in want)
+
+
+def test_seeds_are_enough_at_other_thresholds():
+    """Random texts over few words: what the windows hold is what the alignment with whole texts finds."""
+    rng = np.random.default_rng(3)
+    for threshold in (0.4, 0.5, 0.7, 0.9, 1.0):
+        items = [rng.integers(1, 9, rng.integers(3, 14)).astype(np.uint64) for _ in range(40)]
+        own = d.Items(list(range(40)), items, threshold)
+        texts = [rng.integers(1, 9, rng.integers(0, 40)).astype(np.uint64) for _ in range(60)]
+        places = np.cumsum([0, *map(len, texts)])
+        got = {}
+        for text, item, lo, hi in d._windows(own, np.concatenate(texts), places):
+            for t, i, a, b in zip(text, item, lo, hi, strict=True):
+                got[t, i] = max(got.get((t, i), 0), plain(items[i].tolist(), np.concatenate(texts)[a:b].tolist()))
+        want = {(t, i): x for t, w in enumerate(texts) for i, own_words in enumerate(items) if (x := plain(own_words.tolist(), w.tolist())) >= threshold}
+        assert want.keys() == {k for k, x in got.items() if x >= threshold} and all(got[k] == x for k, x in want.items())
