@@ -7,7 +7,7 @@ one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import decontaminate, langid, near_dup, packing, secret_scan
 from marginalia.llm.queries import table
@@ -15,27 +15,37 @@ from marginalia.llm.storage import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language go on; those without a letter (und) go. Labels are those of the training part."""
+    """Documents with a letter go on; those without one (und) go. Labels are those of the training part; where there are
+    none no language is told, and all documents with a letter go on."""
     model = langid.train(docs.filter(~langid.held_out()))
-    found = langid.identify(docs, model).filter("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    found = langid.with_language(docs, model)
+    return found.filter("lang_pred IS NULL OR lang_pred <> 'und'").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id: five words, a similarity of 0.8 or more."""
-    kept = near_dup.near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates stays, that with the smallest id: five words, a similarity of 0.8 or more.
+
+    A row with a null id stays if its group has no other; of rows that repeat, one stays. Texts without a word are alike
+    to none; of those, rows that repeat an id and text count as one.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")  # written, so that a row's key stays its own
+    found = near_dup.near_duplicates(keyed, "_row", percent=80).select("_row", "n_shingles", "component_id")
+    blank = F.when(~F.col("text").rlike(r"[^\x00-\x20]"), F.col("text"))
+    rows = found.join(keyed.select("_row", "doc_id", blank.alias("blank"), F.col("text").isNull().alias("missing")), "_row")
+    empty = F.col("n_shingles") == 0
+    group = F.when(empty, F.struct("doc_id", "blank", "missing"))
+    first = rows.groupBy(F.when(~empty, F.col("component_id")), group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return keyed.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go, each by its own text: null and repeated ids are like any other."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a secret go."""
-    return secret_scan.without_secrets(docs, secret_scan.scan_secrets(docs)).select(docs.columns)
+    """Documents that hold a secret go, each by its own text: null and repeated ids are like any other."""
+    return secret_scan.clean_rows(docs).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm import textbytes as tb
+from marginalia.llm.storage import written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds of an item that must stand close to each other (fewer where it needs fewer), and seeds looked at in one go.
@@ -222,3 +223,22 @@ def _block(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids[item]), pa.array(score)], ["id", "item", "score"])
 
     return rows.mapInArrow(leaks, "id long, item long, score double")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, threshold: float = 0.5, block_words: int = 1 << 20) -> DataFrame:
+    """docs without the rows whose own text holds an item, as contaminated finds them; ids play no part."""
+    for at, items in enumerate(_blocks(benchmark, item_col, item_text_col, n, threshold, block_words)):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        # each block is a pass of its own: tasks with several would hold all their blocks at once
+        docs = _unleaked(written(docs, "unleaked") if at else docs, shared, text_col, threshold)
+    return docs
+
+
+def _unleaked(docs: DataFrame, shared, text_col: str, threshold: float) -> DataFrame:
+    def clean(batches):
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            stays[_leaks(shared.value, batch.column(text_col), threshold)[0]] = False
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(clean, docs.schema)

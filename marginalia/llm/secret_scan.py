@@ -195,6 +195,23 @@ def _at_least(rule: Rule) -> re.Pattern:
     return rule.compiled()
 
 
+def _found(column: pa.Array, rules: tuple[Rule, ...]):
+    """Runs of texts: the first one's row, and for each the (start, rule, end) found in it."""
+    compiled = [_at_least(r) for r in rules]
+    queries = [trigram_query(r.pattern) for r in rules]
+    codes = frozenset(code(t) for q in queries for t in _trigrams(q))
+    data, offsets = tb.column_bytes(column)
+    for lo, hi in tb.row_spans(offsets):
+        index = postings(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], codes)
+        texts = column.slice(lo, hi - lo).to_pylist()
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for n, (rule, pattern, query) in enumerate(zip(rules, compiled, queries, strict=True)):
+            for row in matching_rows(query, index, hi - lo).tolist():
+                if texts[row]:
+                    found[row] += [(a, n, b) for a, b in find(rule, texts[row], pattern)]
+        yield lo, found
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id_col, spans): for each row the list of (kind, start, end) found in its whole text, by start and then by rule.
 
@@ -203,23 +220,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def work(batches):
-        compiled = [_at_least(r) for r in rules]
-        queries = [trigram_query(r.pattern) for r in rules]
-        codes = frozenset(code(t) for q in queries for t in _trigrams(q))
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            data, offsets = tb.column_bytes(column)
-            for lo, hi in tb.row_spans(offsets):
-                index = postings(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], codes)
-                texts = column.slice(lo, hi - lo).to_pylist()
-                found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                for n, (rule, pattern, query) in enumerate(zip(rules, compiled, queries, strict=True)):
-                    for row in matching_rows(query, index, hi - lo).tolist():
-                        if texts[row]:
-                            found[row] += [(a, n, b) for a, b in find(rule, texts[row], pattern)]
+            for lo, found in _found(batch.column(1), rules):
                 spans = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in sorted(f)] for f in found]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(spans, kind)], ["id", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(found)), pa.array(spans, kind)], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(work, "id long, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("id", id_col)
@@ -239,3 +244,12 @@ def without_secrets(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -
     return docs.join(hits, id_col, "left_anti")
 
 
+def clean_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs without the rows whose own text holds a secret; ids play no part."""
+
+    def clean(batches):
+        for batch in batches:
+            stays = [not f for _, found in _found(batch.column(text_col), rules) for f in found]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
