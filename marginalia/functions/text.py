@@ -17,6 +17,7 @@ ASPECT_KEYWORDS = [
     ("related_work", [r"\brelated work", r"\bmissing (?:citation|reference)", r"\bprior work", r"\bfails? to cite", r"\bliterature"]),
     ("significance", [r"\bsignifican", r"\bimpact", r"\bpractical (?:use|value|relevance)", r"\bmotivat", r"\bwhy .{0,30}(?:matter|important)", r"\bnot useful"]),
 ]
+# Patterns, limits and names of reviews, decisions and invitations.
 BULLET = r"(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 WEAK_HEAD = r"(?im)^[ \t]*(?:\*{0,2}|#{0,3})[ \t]*(?:cons|weakness(?:es)?|limitations?|drawbacks?|concerns?|criticisms?|negatives?|issues?)\b[ \t]*:?[ \t]*"
@@ -25,6 +26,15 @@ MIN_POINT_CHARS, MAX_POINTS, MIN_SECTION_CHARS = 25, 12, 40
 ACCEPT_PATTERNS = [(r"\boral\b", "accept-oral"), (r"\bspotlight\b", "accept-spotlight"), (r"\bposter\b", "accept-poster"), (r"\bnotable\b", "accept-notable"), (r"\baccept", "accept")]
 INVITATION_KINDS = [("Camera_Ready_Revision", "camera_ready"), ("Rebuttal_Revision", "rebuttal"), ("Desk_Rejection", "withdrawal"), ("Withdrawal", "withdrawal"), ("Revision", "revision"), ("Submission", "submission")]
 
+# Placeholders of media in a body, and what they are called.
+MEDIA = r"^\((?:(?:그림|표|알고리즘|수식)\s*\d*|박스\s*[0-9a-f]+)\)$"
+MEDIA_OPENING = r"^\((?:그림|표|알고리즘|수식|박스)\s*[^)]*\)"
+PARAGRAPH_END = r"[.!?:;][\"')\]]*$"
+MEDIA_WORDS = [("Figure", "그림"), ("Table", "표"), ("Algorithm", "알고리즘"), ("Box", "박스"), ("Equation", "수식")]
+# What kinds of invitations and actors are called.
+INVITATION_LABELS = [("Camera_Ready_Revision", "게재 확정본"), ("Rebuttal_Revision", "리뷰 반영 수정"), ("Desk_Rejection", "데스크 리젝"), ("Withdrawal", "철회"), ("Revision", "수정본"), ("Submission", "최초 제출")]
+AUTHOR, REVIEWER, NOBODY = "저자", "리뷰어 ", "익명"
+
 
 def _any(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(patterns))
@@ -133,6 +143,11 @@ def invitation_kind(suffix: Column) -> Column:
     return _first([(suffix.contains(needle), kind) for needle, kind in INVITATION_KINDS], F.translate(suffix, "_", " "))
 
 
+def invitation_label(suffix: Column) -> Column:
+    """What the kind of an invitation is called."""
+    return _first([(suffix.contains(needle), label) for needle, label in INVITATION_LABELS], F.translate(suffix, "_", " "))
+
+
 def path_tails(paths: Column) -> Column:
     return F.transform(paths, lambda p: F.element_at(F.split(p, "/"), -1))
 
@@ -142,6 +157,14 @@ def actor_role(signature: Column) -> Column:
     return _first([(tail == "Authors", "author"), (tail.startswith("Reviewer_"), "reviewer"), (tail.startswith("Area_Chair"), "ac"), (tail.startswith("Program_Chair"), "pc")], F.lit("other"))
 
 
+def actor_name(signature: Column) -> Column:
+    """The name under which a signature is shown."""
+    tail = F.element_at(F.split(F.coalesce(signature, F.lit("")), "/"), -1)
+    named = F.when(tail.startswith("Reviewer_"), F.concat(F.lit(REVIEWER), F.substring(tail, 10, 1 << 20)))
+    other = F.coalesce(F.nullif(F.translate(tail, "_", " "), F.lit("")), F.lit(NOBODY))
+    return F.when(tail == "Authors", AUTHOR).otherwise(F.coalesce(named, F.when(tail.startswith("Area_Chair"), "AC").when(tail.startswith("Program_Chair"), "PC").otherwise(other)))
+
+
 def clip(text: Column, n: int = 3000) -> Column:
     return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n)), F.lit(" …"))).otherwise(text)
 
@@ -152,6 +175,41 @@ def has_final_consonant(word: Column) -> Column:
     return point.between(0xAC00, 0xD7A3) & ((point - 0xAC00) % 28 > 0)
 
 
+def with_particle(word: Column, after_consonant: str, after_vowel: str) -> Column:
+    """The word with the particle that fits its last sound."""
+    return F.concat(word, F.when(has_final_consonant(word), after_consonant).otherwise(after_vowel))
+
+
+def label_placeholder(label: Column) -> Column:
+    """The placeholder of a medium's label, `(그림 2)` for `Figure 2`; null for other labels."""
+    number = F.regexp_replace(label, r"^\S*\s?", "")
+    word = _first([(F.split(label, " ")[0] == name, word) for name, word in MEDIA_WORDS], F.lit(None).cast("string"))
+    return F.when(number != "", F.concat(F.lit("("), word, F.lit(" "), number, F.lit(")")))
+
+
+def first_number(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit("")).try_cast("int")
+
+
+def stitched(texts: Column) -> Column:
+    """Paragraphs, of which one that ends within a sentence takes the next one if that begins in lower case; media stay apart."""
+    halves = F.aggregate(
+        texts, F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open")),
+        lambda s, p: F.when(
+            s["open"].isNotNull() & p.rlike("^[a-z]") & ~p.rlike(MEDIA_OPENING),
+            F.struct(F.concat(s["done"], F.array(F.concat(s["open"], F.lit(" "), p))).alias("done"), F.lit(None).cast("string").alias("open")),
+        ).otherwise(F.struct(
+            F.concat(s["done"], F.when(s["open"].isNotNull(), F.array(s["open"])).otherwise(F.array().cast("array<string>")), F.when(_closes(p), F.array(p)).otherwise(F.array().cast("array<string>"))).alias("done"),
+            F.when(~_closes(p), p).alias("open"),
+        )),
+    )
+    return F.concat(halves["done"], F.when(halves["open"].isNotNull(), F.array(halves["open"])).otherwise(F.array().cast("array<string>")))
+
+
+def _closes(paragraph: Column) -> Column:
+    return (paragraph == "") | paragraph.rlike(MEDIA_OPENING) | paragraph.rlike(PARAGRAPH_END)
+
+
 def forum_url(base: str, forum: Column, note: Column) -> Column:
     return F.concat(F.lit(base), F.coalesce(forum, note))
 
@@ -174,7 +232,8 @@ def looks_garbled(text: Column) -> Column:
 
 
 def flatten_block(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"([A-Za-z])-\n([a-z])", "$1$2"), r"\s*\n\s*", " ")
+    """A block's lines as one: a hyphen at a line's end goes with the break, other breaks are blanks."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"-\n\s*", ""), r"\s*\n\s*", " "), r"^\s+|\s+$", "")
 
 
 def paragraphs(text: Column) -> Column:

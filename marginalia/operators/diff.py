@@ -1,4 +1,7 @@
-"""Differences between versions of a text, as segments; pairs of versions are rows and Spark deals them out."""
+"""Differences between two versions of a text, as segments; pairs of versions are rows and Spark deals them out.
+
+Longer texts are compared by paragraphs, as tables of segments: see marginalia.operators.revisions.
+"""
 
 from __future__ import annotations
 
@@ -6,93 +9,58 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 SEGMENTS = "array<struct<op: string, text: string>>"
-MOVE_RATIO, PAIR_RATIO, MOVE_WORDS = 0.6, 0.6, 6
 
 
-def word_segments(old: str, new: str, cap: int, keep_breaks: bool = False) -> list[dict[str, str]]:
+def word_segments(old: str | None, new: str | None, cap: int, keep_breaks: bool = False) -> list[dict[str, str]]:
     """equal, delete and insert segments of words; paragraph breaks count as words where they are kept."""
-    cut = (lambda t: re.findall(r"\n\s*\n|\S+", t)) if keep_breaks else str.split
-    a, b = cut(old or ""), cut(new or "")
-    a, b = (["\n\n" if not w.strip() else w for w in x] for x in (a, b))
+    cut = (lambda t: re.findall(r"\n\n|(?:(?!\n\n)\s)+|\S+", t)) if keep_breaks else str.split
+    a, b = ([w for w in cut(x or "") if w == "\n\n" or w.strip()] for x in (old, new))
+    joined = lambda words: re.sub(" ?\n\n ?", "\n\n", " ".join(words))
     out = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
         if op == "equal":
-            out.append({"op": "equal", "text": " ".join(a[i:j])})
-            continue
-        out += [{"op": kind, "text": " ".join(part)} for kind, part in (("delete", a[i:j]), ("insert", b[k:m])) if part]
-    return out[:cap]
-
-
-def _ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio()
-
-
-def paragraph_segments(old: str, new: str, cap: int = 2000) -> list[dict[str, str]]:
-    """Paragraphs matched one to one where they are alike enough and then compared by words; moved ones at their new place."""
-    split = lambda t: [p.strip() for p in re.split(r"\n\s*\n", t or "") if p.strip()]
-    a, b = split(old), split(new)
-    plan: list[tuple[str, str | None, str | None]] = []
-    gone: list[tuple[int, str]] = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            plan += [("equal", p, p) for p in a[i:j]]
-            continue
-        scored = sorted(((_ratio(a[x], b[y]), -x, -y) for x in range(i, j) for y in range(k, m)), reverse=True)
-        mate: dict[int, int] = {}
-        for score, x, y in scored:
-            if score >= PAIR_RATIO and -y not in mate and -x not in mate.values():
-                mate[-y] = -x
-        for x in range(i, j):
-            if x not in mate.values():
-                gone.append((len(plan), a[x]))
-                plan.append(("delete", a[x], None))
-        plan += [("pair", a[mate[y]], b[y]) if y in mate else ("insert", None, b[y]) for y in range(k, m)]
-    for at, text in gone:  # a paragraph that stands elsewhere now
-        if len(text.split()) < MOVE_WORDS:
+            out.append({"op": "equal", "text": joined(a[i:j])})
             continue
-        near = max(((_ratio(text, n), -p) for p, (op, _, n) in enumerate(plan) if op == "insert"), default=(0.0, 0))
-        if near[0] >= MOVE_RATIO:
-            plan[-near[1]] = ("pair", text, plan[-near[1]][2])
-            plan[at] = ("moved", None, None)
-    out: list[dict[str, str]] = []
-    for op, o, n in plan:
-        if op == "pair":
-            out += word_segments(o, n, cap)
-        elif op != "moved":
-            out.append({"op": op, "text": o if op != "insert" else n})
+        out += [{"op": kind, "text": joined(part)} for kind, part in (("delete", a[i:j]), ("insert", b[k:m])) if part]
     return out[:cap]
 
 
 def word_diff(old: Column, new: Column, cap: int = 400, keep_breaks: bool = False) -> Column:
     @pandas_udf(SEGMENTS)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([word_segments(x, y, cap, keep_breaks) for x, y in zip(a, b, strict=True)])
+        return pd.Series([word_segments(x, y, cap, keep_breaks) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return run(old, new)
 
 
-def paragraph_diff(old: Column, new: Column, cap: int = 2000) -> Column:
-    @pandas_udf(SEGMENTS)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([paragraph_segments(x, y, cap) for x, y in zip(a, b, strict=True)])
+def sequence_ratio(old: Column, new: Column) -> Column:
+    """Twice the matching words over all words, 1 for two empty texts."""
+    return _ratio(old, new, str.split)
 
-    return run(old, new)
 
+def letter_ratio(old: Column, new: Column) -> Column:
+    """Twice the matching characters over all characters, 1 for two empty texts."""
+    return _ratio(old, new, str)
 
-def sequence_ratio(old: Column, new: Column) -> Column:
-    """Twice the matching words over all words, 1 for two empty texts."""
 
+def _ratio(old: Column, new: Column, cut) -> Column:
     @pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        return pd.Series([difflib.SequenceMatcher(None, cut(x or ""), cut(y or "")).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
     return run(old, new)
 
 
+def letter_bound(old: Column, new: Column) -> Column:
+    """No letter_ratio is above this: twice the shorter length over both."""
+    a, b = F.length(old), F.length(new)
+    return F.coalesce(F.try_divide(2 * F.least(a, b), a + b), F.lit(1.0))
+
+
 def greedy_pairs(scores: pd.DataFrame) -> pd.DataFrame:
     """One-to-one pairs by falling score; ties by left, then right."""
     left: set = set()
@@ -106,7 +74,7 @@ def greedy_pairs(scores: pd.DataFrame) -> pd.DataFrame:
     return scores.loc[keep]
 
 
-def greedy_match(scores, group: str, threshold: float):
+def greedy_match(scores: DataFrame, group: str | list[str], threshold: float) -> DataFrame:
     """Greedy one-to-one matching inside each group of a score table (group, left, right, score)."""
     rows = scores.filter(F.col("score") >= threshold)
     return rows.groupBy(group).applyInPandas(greedy_pairs, rows.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia import tables as tb
 from marginalia.functions import rank as R, text as T
-from marginalia.operators import diff, layout
+from marginalia.operators import diff, layout, revisions
 from marginalia.queries.registry import query
 
 _SPLIT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1␞\2', 'g'), '␞'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) >= 25)[1:12]"
@@ -90,9 +90,40 @@ def image_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def turn_diffs(spark: SparkSession, sf: str) -> DataFrame:
-    """Word and paragraph segments between the turns of a conversation; tests compare them with fixtures."""
+    """Word segments between the turns of a conversation, with and without breaks, and segments by paragraphs."""
     c = tb.read(spark, sf, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
     rows = c.join(nxt, ["conv_id", "turn"])
-    words, paras = diff.word_diff(F.col("text"), F.col("after")), diff.paragraph_diff(F.col("text"), F.col("after"))
-    return rows.select("conv_id", "turn", F.size(words).alias("word_segments"), F.size(paras).alias("paragraph_segments"), F.round(diff.sequence_ratio(F.col("text"), F.col("after")), 6).alias("ratio"))
+    pair = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair")
+    paras = revisions.body_segments(rows.select(pair, F.col("text").alias("before"), "after")).groupBy("pair").agg(F.count("*").alias("paragraph_segments"))
+    words, kept = diff.word_diff(F.col("text"), F.col("after")), diff.word_diff(F.col("text"), F.col("after"), keep_breaks=True)
+    out = rows.select("conv_id", "turn", pair, F.size(words).alias("word_segments"), F.size(kept).alias("kept_segments"), F.round(diff.sequence_ratio(F.col("text"), F.col("after")), 6).alias("ratio"))
+    return out.join(paras, "pair", "left").select("conv_id", "turn", "word_segments", "kept_segments", F.coalesce("paragraph_segments", F.lit(0)).alias("paragraph_segments"), "ratio")
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as papers of two versions: the second one has turns in another order, a new paragraph and other figures."""
+    turns = tb.read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = turns.select("conv_id", F.transform("t", lambda x: x["text"]).alias("t"))
+    n = F.col("conv_id") % 3
+    figure = lambda i: F.array(F.concat(F.lit("(그림 "), i.cast("string"), F.lit(")")))
+    before = F.concat(F.slice("t", 1, 2), figure(F.lit(1)), F.slice("t", 3, 1000), figure(F.lit(2)))
+    after = F.concat(F.slice("t", 2, 1), figure(n + 1), F.slice("t", 1, 1), F.slice("t", 3, 1000), F.array(F.lit("One more paragraph that the authors wrote for this version.")), figure(F.lit(2) - n % 2))
+    url = lambda v: F.concat(F.lit(f"v{v}/"), F.col("conv_id").cast("string"))
+    rows = texts.select("conv_id", F.explode(F.array(F.struct(url(1).alias("url"), before.alias("p")), F.struct(url(2).alias("url"), after.alias("p")))).alias("v"))
+    versions = rows.select("v.url", F.array_join("v.p", "\n\n").alias("text"))
+    caption = F.when(F.col("url").startswith("v1"), F.col("k")).otherwise((F.col("k") + F.col("conv_id") - 1) % 2 + 1)
+    media = rows.select("conv_id", "v.url", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k"))
+    media = media.select("url", F.concat(F.lit("Figure "), F.col("k").cast("string")).alias("label"), F.when(caption == 1, "Overview of the whole method").otherwise("Results for each data set").alias("caption"), F.lit(None).cast("string").alias("content"), F.array().cast("array<int>").alias("signature"), F.lit(10).alias("bytes"))
+    none = F.lit(None).cast("string")
+    change = lambda r, field, kind, a, b: F.struct(F.lit(r).alias("revision"), F.lit(0).alias("change_no"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(field).alias("label"), a.alias("before_url"), b.alias("after_url"))
+    changes = texts.select(F.col("conv_id").alias("paper_id"), F.explode(F.array(change(0, "title", "text", none, none), change(1, "pdf", "file", url(1), url(2)))).alias("c")).select("paper_id", "c.*")
+    return changes, versions, media
+
+
+@query()
+def body_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of papers with their bodies by paragraphs and their figures, moved and renumbered."""
+    out = revisions.body_changes(*_versions(spark, sf))
+    count = lambda op: F.size(F.filter(F.coalesce("segments", F.array().cast(diff.SEGMENTS)), lambda s: s["op"] == op)).alias(op)
+    return out.select("paper_id", "revision", F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"), "field", "label", "after_label", "similarity", *(count(op) for op in ("equal", "insert", "moved")), count("delete").alias("deleted"))
