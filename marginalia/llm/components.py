@@ -40,3 +40,13 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         sign = (row.n, row.h)
     low = pairs.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return low.unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("component_id"))).groupBy("id").agg(F.min("component_id").alias("component_id"))
+
+
+def smallest_ids(label: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, component_id): for each labelled class the smallest id (column least of classes) of its component.
+
+    label is a connected_components table over class keys. The minima are a table of their own, so that the join back reads
+    two plain shuffles and Spark can split a component that holds a large share of all classes.
+    """
+    low = written(label.join(classes.select(F.col("cls").alias("id"), "least"), "id").groupBy("component_id").agg(F.min("least").alias("least")), "least")
+    return label.join(low, "component_id").select(F.col("id").alias("cls"), F.col("least").alias("component_id"))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from marginalia.llm import vector_dedup
 
@@ -80,3 +81,18 @@ def test_plan_has_the_recall_that_is_asked_for():
     for n in (500, 10**6, 10**9):
         k, tables = vector_dedup.plan(n, 0.95, 0.9999)
         assert 1 - (1 - near**k) ** tables >= 0.9999
+
+
+def test_an_id_with_several_vectors(spark):
+    """Id 5 holds two orthogonal vectors, each with one near vector; every row has the links of its own vector."""
+    vectors = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.1, 0.0]), (7, [0.1, 1.0, 0.0]), (4, [0.0, -0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    for rows in (vectors, vectors[::-1]):
+        df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+        out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicate_vectors(df).collect())
+        assert out == [(4, 1, 4, True), (4, 1, 4, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
+def test_double_vectors_and_clashing_columns(spark):
+    rows = [(1, [1e300, 1.0], 7), (2, [2e300, 2.0], 7), (3, [0.0, 1e-300], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls int").withColumn("links", F.lit(1))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_duplicate_vectors(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
