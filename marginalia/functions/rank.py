@@ -65,11 +65,11 @@ def _log_choose(n: Column, k: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for n trials of chance p; 1 where n or p is not valid."""
-    k, n = k.cast("int"), n.cast("int")
+    """P(X >= k) for n trials of chance p, k over n counting as n; 1 where n or p is not valid."""
+    k, n = F.least(k.cast("int"), n.cast("int")), n.cast("int")
     term = lambda i: F.exp(_log_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    total = F.aggregate(F.sequence(F.least(k, n), n), F.lit(0.0), lambda s, i: s + term(i))
-    return F.when((n <= 0) | (p <= 0) | (p >= 1) | (k <= 0), F.lit(1.0)).when(k > n, F.lit(0.0)).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+    total = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda s, i: s + term(i))
+    return F.when((n <= 0) | (p <= 0) | (p >= 1) | (k <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
 def fisher_lower(a: Column, b: Column, c: Column, d: Column) -> Column:

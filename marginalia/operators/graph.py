@@ -5,25 +5,28 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.session import checkpoint_dir
 
 MAX_STOPS = 12
 
 
-def reach(seeds: DataFrame, links: DataFrame, *, stop_at: int = MAX_STOPS, hops: int = 12) -> DataFrame:
-    """(root, id): papers reachable from each seed over links in either direction.
+def reach(seeds: DataFrame, links: DataFrame, *, stop_at: int | None = MAX_STOPS, hops: int = 12) -> DataFrame:
+    """(root, id): papers reachable from each seed over links in either direction, in up to so many hops.
 
-    A root stops growing after the hop in which it has reached stop_at papers, so a hop may go over that number.
+    A root stops growing after the hop in which it has reached stop_at papers (none: it goes on), so a hop may go over that
+    number.
     """
     checkpoint_dir(seeds.sparkSession)
     both = links.select(F.col("earlier").alias("x"), F.col("later").alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     seen = seeds.select(F.col("id").alias("root"), "id").distinct()
     for _ in range(hops):
-        open_roots = seen.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") < stop_at).select("root")
-        more = seen.join(open_roots, "root", "left_semi").join(both, F.col("id") == F.col("x")).select("root", F.col("y").alias("id"))
+        grows = seen
+        if stop_at is not None:
+            grows = seen.join(seen.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") < stop_at), "root", "left_semi")
+        more = grows.join(both, F.col("id") == F.col("x")).select("root", F.col("y").alias("id"))
         grown = seen.unionByName(more).distinct().checkpoint()
         if grown.count() == seen.count():
             return grown
@@ -58,14 +61,40 @@ def chain_order(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def outcome(stops: DataFrame) -> DataFrame:
-    """(root, outcome) from ordered decisions: single, improved, still_rejected or mixed."""
-    last = F.max_by("decision", "stop")
-    acc = lambda c: c.startswith("accept")
-    rows = stops.groupBy("root").agg(F.count("*").alias("n"), F.min_by("decision", "stop").alias("first"), last.alias("last"), F.bool_or(acc(F.col("decision"))).alias("any_acc"))
-    kind = F.when(F.col("n") == 1, "single").when(~acc(F.col("first")) & acc(F.col("last")), "improved").when(~F.col("any_acc"), "still_rejected").otherwise("mixed")
+    """(root, outcome) from ordered decisions: single, improved (accepted in the end after a rejection), still_rejected or mixed."""
+    out = F.coalesce(F.col("decision").isin("reject", "desk-reject", "withdrawn"), F.lit(False))
+    rows = stops.groupBy("root").agg(F.count("*").alias("n"), F.max_by("decision", "stop").alias("last"), F.count_if(out).alias("rejected"))
+    kind = F.when(F.col("n") == 1, "single").when(F.col("last").startswith("accept") & (F.col("rejected") > 0), "improved").when(F.col("rejected") == F.col("n"), "still_rejected").otherwise("mixed")
     return rows.select("root", kind.alias("outcome"))
 
 
+# What is said of a journey.
+IMPROVED, STILL, MIXED = "{}에서 {} 뒤 {}에 다시 내서 {}됐습니다.", "{}번 투고했지만 아직 통과 기록이 없습니다 ({}).", "{}번의 투고 기록이 있습니다 ({})."
+
+
+def _filled(text: str, *parts: Column) -> Column:
+    pieces = text.split("{}")
+    return F.concat(F.lit(pieces[0]), *[x for p, piece in zip(parts, pieces[1:], strict=True) for x in (p.cast("string"), F.lit(piece))])
+
+
+def journeys(stops: DataFrame, links: DataFrame, ratings: DataFrame, venues: DataFrame) -> DataFrame:
+    """Stops (root, id, stop, venue, decision) with ratings, evidence of links, and the journey's outcome and message.
+
+    ratings: id, avg_rating, rating_count; venues: venue, rating_mean. rating_vs_venue is the mean rating over the venue's;
+    it and avg_rating are rounded to two places, method is that of a direct link to the stop before.
+    """
+    rows = adjacent_links(stops, links).join(ratings.select("id", "avg_rating", "rating_count"), "id", "left").join(venues.select("venue", "rating_mean"), "venue", "left")
+    rows = rows.withColumn("rating_vs_venue", F.round(F.col("avg_rating") - F.col("rating_mean"), 2)).withColumn("rating_count", F.coalesce("rating_count", F.lit(0)))
+    listed = F.array_sort(F.collect_list(F.struct("stop", "venue", "decision")))
+    whole = stops.groupBy("root").agg(listed.alias("s")).join(outcome(stops), "root")
+    route = lambda f: F.array_join(F.transform("s", f), " → ")
+    first, last = F.col("s")[0], F.element_at("s", -1)
+    message = F.when(F.col("outcome") == "improved", _filled(IMPROVED, first["venue"], first["decision"], last["venue"], last["decision"]))
+    message = message.when(F.col("outcome") == "still_rejected", _filled(STILL, F.size("s"), route(lambda x: x["venue"]))).when(F.col("outcome") == "mixed", _filled(MIXED, F.size("s"), route(lambda x: F.concat_ws(" ", x["venue"], x["decision"]))))
+    rows = rows.join(whole.select("root", "outcome", message.alias("message")), "root").withColumn("is_query", F.col("root") == F.col("id"))
+    return rows.select("root", "stop", "id", "venue", "decision", F.round("avg_rating", 2).alias("avg_rating"), "rating_count", "rating_vs_venue", "method", "is_query", "outcome", "message")
+
+
 def adjacent_links(stops: DataFrame, links: DataFrame) -> DataFrame:
     """Stops with the method of their link to the stop before, where the two are linked directly."""
     prev = F.lag("id").over(Window.partitionBy("root").orderBy("stop"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from marginalia.functions.rank import jaccard
 from marginalia.functions.text import normalize_title, trigrams
+from marginalia.session import checkpoint_dir
 
 
 def title_matches(papers: DataFrame, external: DataFrame, min_chars: int = 25) -> DataFrame:
@@ -32,11 +33,19 @@ def consume_titles(targets: DataFrame, pages: DataFrame) -> DataFrame:
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("target_id").orderBy("arrival"))).filter("n = 1").select("target_id", "ext_id")
 
 
-def pairs_by_key(rows: DataFrame, key: str, method: str, confidence: float) -> DataFrame:
-    """Unordered pairs (a < b) of ids with an equal key, null and empty keys aside."""
+def pairs_by_key(rows: DataFrame, key: str, method: str, confidence: float, most: int = 1000) -> DataFrame:
+    """Unordered pairs (a < b) of ids with an equal key, null and empty keys aside.
+
+    A key of over most ids gives a pair of each id with the smallest, which links the same ids with one another: pairs grow with
+    the rows and not with the square of a hot key.
+    """
     a = rows.filter(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("id").alias("a"), key)
-    b = a.withColumnRenamed("a", "b")
-    return a.join(b, key).filter("a < b").select("a", "b", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
+    sizes = a.groupBy(key).agg(F.count("*").alias("n"), F.min("a").alias("first")).filter("n > 1")
+    a = a.join(sizes, key)
+    few = a.filter(F.col("n") <= most)
+    pairs = few.select("a", key).join(few.select(F.col("a").alias("b"), key), key).filter("a < b").select("a", "b")
+    pairs = pairs.unionByName(a.filter((F.col("n") > most) & (F.col("a") > F.col("first"))).select(F.col("first").alias("a"), F.col("a").alias("b")))
+    return pairs.select("a", "b", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
 
 
 def similar_titles(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -45,16 +54,19 @@ def similar_titles(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     A prefix filter makes it a join on rare trigrams: of two sets that are similar enough, the rarest
     n - ceil(t n) + 1 trigrams of each must have one in common. Sizes must agree up to the threshold too.
     """
-    grams = rows.select(normalize_title(F.col("title")).alias("norm")).distinct().withColumn("g", trigrams(F.col("norm"))).filter(F.size("g") > 0)
-    flat = grams.select("norm", F.explode("g").alias("t"))
+    titles = rows.select(normalize_title(F.col("title")).alias("norm")).distinct().withColumn("g", trigrams(F.col("norm"))).filter(F.size("g") > 0)
+    # written, so that the numbers which stand for titles in all joins stay as they are
+    checkpoint_dir(rows.sparkSession)
+    titles = titles.withColumn("n", F.monotonically_increasing_id()).checkpoint()
+    flat = titles.select("n", F.size("g").alias("size"), F.explode("g").alias("t"))
     often = flat.groupBy("t").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("norm").orderBy("df", "t")
-    sized = flat.join(often, "t").withColumn("n", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy("norm")))
-    prefix = sized.filter(F.col("n") <= F.col("size") - F.ceil(threshold * F.col("size")) + 1)
-    x, y = prefix.select(F.col("norm").alias("x"), "t", F.col("size").alias("sx")), prefix.select(F.col("norm").alias("y"), "t", F.col("size").alias("sy"))
-    cand = x.join(y, "t").filter((F.col("x") < F.col("y")) & (F.col("sx") >= threshold * F.col("sy")) & (F.col("sy") >= threshold * F.col("sx"))).select("x", "y").distinct()
-    gx, gy = grams.select(F.col("norm").alias("x"), F.col("g").alias("gx")), grams.select(F.col("norm").alias("y"), F.col("g").alias("gy"))
-    return cand.join(gx, "x").join(gy, "y").withColumn("sim", jaccard(F.col("gx"), F.col("gy"))).filter(F.col("sim") >= threshold).select("x", "y", "sim")
+    ranked = flat.join(often, "t").withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy("df", "t")))
+    prefix = ranked.filter(F.col("i") <= F.col("size") - F.ceil(threshold * F.col("size")) + 1)
+    x, y = prefix.select(F.col("n").alias("a"), "t", F.col("size").alias("sx")), prefix.select(F.col("n").alias("b"), "t", F.col("size").alias("sy"))
+    cand = x.join(y, "t").filter((F.col("a") < F.col("b")) & (F.col("sx") >= threshold * F.col("sy")) & (F.col("sy") >= threshold * F.col("sx"))).select("a", "b").distinct()
+    gx, gy = titles.select(F.col("n").alias("a"), F.col("norm").alias("na"), F.col("g").alias("ga")), titles.select(F.col("n").alias("b"), F.col("norm").alias("nb"), F.col("g").alias("gb"))
+    near = cand.join(gx, "a").join(gy, "b").withColumn("sim", jaccard(F.col("ga"), F.col("gb"))).filter(F.col("sim") >= threshold)
+    return near.select(F.least("na", "nb").alias("x"), F.greatest("na", "nb").alias("y"), "sim")
 
 
 def merged_links(*found: DataFrame) -> DataFrame:

@@ -77,14 +77,31 @@ def fold_duplicates(ranked: DataFrame, k: int) -> DataFrame:
     """
     key = F.when(F.col("norm_title").isNull(), F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(F.concat_ws("\x1f", "norm_title", "venue"))
     rows = ranked.withColumn("fold", key)
-    first = F.min("position").over(Window.partitionBy("fold"))
-    rows = rows.withColumn("slot_at", first)
-    slots = rows.select("slot_at").distinct().orderBy("slot_at").limit(k + 1)
-    cut = slots.agg(F.count("*").alias("slots"), F.max("slot_at").alias("last"), F.sort_array(F.collect_list("slot_at"), False)[0].alias("l"))
-    rows = rows.crossJoin(F.broadcast(cut)).filter(F.when(F.col("slots") > k, F.col("position") < F.col("last")).otherwise(F.lit(True)))
+    rows = rows.withColumn("slot_at", F.min("position").over(Window.partitionBy("fold")))
+    rows = rows.withColumn("slot", F.dense_rank().over(Window.orderBy("slot_at")))  # of a pool, which is small at any corpus size
+    rows = rows.withColumn("cut", F.min(F.when(F.col("slot") > k, F.col("position"))).over(Window.partitionBy()))
     best = Window.partitionBy("fold").orderBy(F.desc(F.coalesce("n_reviews", F.lit(0))), "position")
-    out = rows.withColumn("pick", F.row_number().over(best)).filter("pick = 1")
-    return out.withColumn("slot", F.row_number().over(Window.orderBy("slot_at"))).drop("fold", "slot_at", "slots", "last", "l", "pick")
+    out = rows.filter(F.col("cut").isNull() | (F.col("position") < F.col("cut"))).withColumn("pick", F.row_number().over(best))
+    return out.filter("pick = 1").drop("fold", "slot_at", "cut", "pick")
+
+
+def preferred(preferences: DataFrame) -> DataFrame:
+    """preferences with the columns w_similarity, w_recency, w_citations and half_life of their focus; unknown ones are balanced."""
+    weights = lambda i: F.coalesce(*[F.when(F.col("focus") == name, F.lit(w[i])) for name, w in R.PRESETS.items()], F.lit(R.preset(None)[i]))
+    return preferences.withColumns({c: weights(i) for i, c in enumerate(("w_similarity", "w_recency", "w_citations", "half_life"))})
+
+
+def rerank_preferred(candidates: DataFrame, fields: DataFrame, newest: DataFrame, preferences: DataFrame) -> DataFrame:
+    """Candidates (query_id, id, rrf) with final_score and position by the preference of their query (query_id, focus).
+
+    A query without a preference is balanced. The windows hold one query's pool each.
+    """
+    known = preferred(candidates.select("query_id").distinct().join(preferences.select("query_id", "focus"), "query_id", "left"))
+    ranked = candidates.join(known, "query_id").join(fields, "id", "left").crossJoin(F.broadcast(newest))
+    weights = tuple(F.col(c) for c in ("w_similarity", "w_recency", "w_citations", "half_life"))
+    score = R.final_score(F.col("rrf"), F.col("year"), F.col("max_year"), F.col("percentile"), weights)
+    ranked = ranked.withColumn("final_score", F.round(score, 9))
+    return ranked.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "id")))
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, fields: DataFrame, query: list[float], words: Sequence[str], *, k: int = 50, pool: int = 100, preset: str = "balanced") -> DataFrame:

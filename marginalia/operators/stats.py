@@ -7,11 +7,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from marginalia.functions.rank import binomial_tail, fisher_lower
 
 
+def with_cumulative_share(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """rows with the share of their group's rows whose value is no larger (null values aside, which get null).
+
+    Rows are counted by value before anything is sorted, so a window holds a row for each distinct value of a group, and
+    the join back reads two plain shuffles, of which Spark can split the hot values.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy(group))
+    shares = counts.select(F.col(group).alias("_g"), F.col(value).alias("_v"), share.alias(name))
+    return rows.join(shares, F.col(group).eqNullSafe(F.col("_g")) & (F.col(value) == F.col("_v")), "left").drop("_g", "_v")
+
+
 def citation_percentile(papers: DataFrame) -> DataFrame:
     """Papers with their share of the year's papers that are cited no more often; null where the count is unknown."""
-    known = papers.filter(F.col("citation_count").isNotNull())
-    pct = known.select("id", F.cume_dist().over(Window.partitionBy("year").orderBy("citation_count")).alias("percentile"))
-    return papers.join(pct, "id", "left")
+    return with_cumulative_share(papers, "year", "citation_count", "percentile")
 
 
 def venue_stats(papers: DataFrame, reviews: DataFrame, min_bucket: int = 30) -> DataFrame:

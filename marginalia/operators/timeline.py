@@ -74,6 +74,55 @@ def expired(jobs: DataFrame, now, minutes: int = 15) -> DataFrame:
 
 
 def progress(events: DataFrame, key: str, step: str, at: str) -> DataFrame:
-    """The newest event of each step, and the log as an array in time order."""
-    latest = events.groupBy(key, step).agg(F.max_by(F.struct(*[c for c in events.columns if c not in (key, step)]), at).alias("latest"))
-    return latest
+    """The newest event of each step."""
+    return events.groupBy(key, step).agg(F.max_by(F.struct(*[c for c in events.columns if c not in (key, step)]), at).alias("latest"))
+
+
+def progress_log(events: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, log): the events of each key as an array in the order in which they were appended."""
+    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in events.columns if c not in (key, at)]))).alias("log"))
+
+
+# What events are called and said to be.
+EVENT_LABELS = {"review": "리뷰", "review_update": "리뷰 수정", "rebuttal": "저자 응답", "comment": "코멘트", "author_revision": "저자 수정", "meta_review": "AC 총평", "decision": "최종 결과"}
+EVENT_ORDER = tuple(EVENT_LABELS)
+NO_SCORE, OPEN_RESULT, META, FIRST_SEEN = "점수 미기재", "결과 공개", "AC 총평", "관측 가능한 최초 제출본 — 이전 내용은 확인할 수 없습니다"
+UPDATED, UNSEEN, COMMENT, RESULT, UNTOUCHED = "가 저자 응답 이후 리뷰를 수정했습니다", " — 수정 전 내용은 공개되지 않습니다", "의 코멘트", "최종 결과: ", "제목·초록·첨부파일에는 변화가 없습니다"
+
+
+def forum_events(notes: DataFrame, reviews: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(paper_id, event_id, at, date, kind, kind_label, actor, headline, text, rating): what happened to papers, in words.
+
+    notes: paper_id, note_id, submission_id, invitations (array of paths), signature, tcdate, cdate, tmdate, title, body,
+    verdict, rating_raw. reviews: note_id, rating, rating_raw as stored, which stand before what the note says. revisions:
+    paper_id, revision_id, at, kind_label, is_baseline, labels (array). The submission itself is left out, as are notes of
+    other kinds. Sorted by at, kind_order it is the timeline.
+    """
+    kinds = T.path_tails(F.col("invitations"))
+    holds = lambda k: F.array_contains(kinds, k)
+    answer = F.exists(kinds, lambda k: k.endswith("Comment") | k.contains("Rebuttal"))
+    author = T.actor_role(F.col("signature")) == "author"
+    kind = F.when(holds("Official_Review"), "review").when(holds("Decision"), "decision").when(holds("Meta_Review"), "meta_review").when(answer & author, "rebuttal").when(answer, "comment")
+    at = F.coalesce(F.nullif(F.col("tcdate"), F.lit(0)), F.nullif(F.col("cdate"), F.lit(0)), F.lit(0))
+    rows = notes.filter(~((F.coalesce(F.col("note_id") == F.col("submission_id"), F.lit(False))) | holds("Submission") | holds("Blind_Submission")))
+    rows = rows.withColumns({"kind": kind, "at": at.cast("long"), "actor": T.actor_name(F.col("signature"))}).filter("kind IS NOT NULL")
+    stored = reviews.select("note_id", F.col("rating").alias("db_rating"), F.col("rating_raw").alias("db_raw"), F.lit(True).alias("stored"))
+    rows = rows.join(stored, "note_id", "left")
+    raw = F.when(F.col("stored"), F.nullif("db_raw", F.lit(""))).otherwise(F.nullif("rating_raw", F.lit("")))
+    number = F.when(F.col("stored"), F.col("db_rating")).otherwise(T.parse_score(F.col("rating_raw")))
+    said = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    named = F.coalesce(F.concat("actor", F.lit(": "), said("title")), F.concat("actor", F.lit(COMMENT)))
+    headline = F.when(F.col("kind") == "review", F.concat("actor", F.lit(" — "), F.coalesce(raw, number.cast("string"), F.lit(NO_SCORE)))).when(F.col("kind") == "decision", F.concat(F.lit(RESULT), F.coalesce(said("verdict"), F.lit(OPEN_RESULT)))).when(F.col("kind") == "meta_review", META).otherwise(named)
+    none = F.lit(None).cast("string")
+    text = F.when(F.col("kind") != "review", T.clip(said("body")))
+    shown = rows.select("paper_id", F.col("note_id").alias("event_id"), "at", "kind", "actor", headline.alias("headline"), text.alias("text"), F.when(F.col("kind") == "review", number).alias("rating"))
+    final = F.coalesce(F.concat(F.lit(" (최종 "), F.when(F.col("stored"), F.nullif("db_raw", F.lit(""))), F.lit(")")), F.lit(""))
+    later = rows.filter((F.col("kind") == "review") & (F.col("tmdate") > F.col("at")))
+    later = later.select("paper_id", F.concat("note_id", F.lit(":update")).alias("event_id"), F.col("tmdate").cast("long").alias("at"), F.lit("review_update").alias("kind"), "actor", F.concat("actor", F.lit(UPDATED), final, F.lit(UNSEEN)).alias("headline"), none.alias("text"), F.col("db_rating").alias("rating"))
+    changes = F.when(F.size("labels") > 0, F.array_join(F.slice("labels", 1, 4), ", ")).otherwise(UNTOUCHED)
+    told = F.when(F.col("is_baseline"), FIRST_SEEN).otherwise(F.concat("kind_label", F.lit(" — "), changes))
+    edits = revisions.select("paper_id", F.col("revision_id").alias("event_id"), F.col("at").cast("long").alias("at"), F.lit("author_revision").alias("kind"), F.lit(T.AUTHOR).alias("actor"), told.alias("headline"), none.alias("text"), F.lit(None).cast("double").alias("rating"))
+    events = shown.unionByName(later).unionByName(edits)
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in EVENT_LABELS.items() for x in pair]), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, EVENT_ORDER)), F.col("kind")) - 1
+    return events.select("paper_id", "event_id", "at", T.kst_minute(F.col("at")).alias("date"), "kind", order.cast("int").alias("kind_order"), label.alias("kind_label"), "actor", "headline", "text", "rating")

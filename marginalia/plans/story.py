@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marginalia.functions import text as T
+
 # Texts of the report.
 REBUTTALS, CHANGED = "저자 응답 {}건", "변경"
 NO_REVIEWS = "비슷한 논문을 찾지 못해 보여드릴 리뷰가 없습니다."
@@ -36,6 +38,47 @@ def changed_items(events: DataFrame, cap: int = 6) -> DataFrame:
     return both.select("paper_id", F.slice(F.concat(F.coalesce("answered", none), F.coalesce(texts, none)), 1, cap).alias("items"))
 
 
+# The sentences of a story that nobody wrote.
+ASKED, SINGLE_ANSWERS, SINGLE_EDITS, BOTH = "{}을 지적받았고, ", "저자 응답 {}건", "저자 수정 {}회", " · "
+DID, RECORDED, NOTHING_DONE, NOTHING_ASKED, RESULT = " 있었습니다.", " 기록돼 있습니다.", "공개된 저자 대응 기록은 없습니다.", "공개된 리뷰 지적 항목이 없습니다.", "이 투고의 결과는 {}입니다."
+
+
+def headline(topic: Column, rebuttals: Column, revisions: Column) -> Column:
+    """The story in a sentence: the foremost aspect (null if none), how often authors answered and revised."""
+    counted = lambda text, n: F.when(n > 0, F.concat(F.lit(text.split("{}")[0]), n.cast("string"), F.lit(text.split("{}")[1])))
+    did = F.concat_ws(BOTH, counted(SINGLE_ANSWERS, rebuttals), counted(SINGLE_EDITS, revisions))
+    asked = F.concat(topic, F.lit(" 등"), F.lit(ASKED.removeprefix("{}")))
+    done = T.with_particle(did, "이", "가")
+    with_topic = F.when(did != "", F.concat(asked, done, F.lit(DID))).otherwise(F.concat(asked, F.lit(NOTHING_DONE)))
+    return F.when(topic.isNotNull(), with_topic).when(did != "", F.concat(done, F.lit(RECORDED))).otherwise(NOTHING_ASKED)
+
+
+def outcome_note(decision: Column, message: Column) -> Column:
+    before, after = RESULT.split("{}")
+    return F.coalesce(message, F.concat(F.lit(before), decision, F.lit(after)))
+
+
+def reports(queries: DataFrame, confidence: DataFrame, candidates: DataFrame, selected: DataFrame, evidence: DataFrame, summaries: DataFrame) -> DataFrame:
+    """A row for each query: its title, confidence, candidates, selected papers, evidence and summary with its citations.
+
+    queries: query_id, title, abstract, preferences; confidence: query_id, level, mean_cosine; candidates: query_id, rank,
+    paper_id, match_type; selected: query_id, llm_rank, paper_id, reason; evidence: query_id, label, paper_id, text;
+    summaries: query_id, summary. Citations are the labels of the evidence that the summary names. What a query
+    lacks is an empty list, or no confidence at all: weak.
+    """
+    rows = lambda df, name, order: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+    listed = [rows(candidates, "candidates", ("rank", "paper_id", "match_type")), rows(selected, "selected", ("llm_rank", "paper_id", "reason"))]
+    numbered = evidence.withColumn("kind", F.substring("label", 1, 1)).withColumn("number", T.number_in(F.col("label")))
+    listed.append(rows(numbered, "evidence", ("kind", "number", "label", "paper_id", "text")))
+    out = queries.join(confidence, "query_id", "left").join(summaries, "query_id", "left")
+    for df in listed:
+        out = out.join(df, "query_id", "left")
+    labels = F.transform("evidence", lambda e: e["label"])
+    cited = F.coalesce(T.citation_labels(F.coalesce("summary", F.lit("")), labels), F.array().cast("array<string>"))
+    full = {c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for df, c in zip(listed, ("candidates", "selected", "evidence"), strict=True)}
+    return out.withColumn("citations", cited).withColumns({"level": F.coalesce("level", F.lit("weak")), "mean_cosine": F.coalesce("mean_cosine", F.lit(0.0)), **full})
+
+
 def nothing_selected(level: Column, message: Column) -> Column:
     """The summary where no paper was selected: a warning if the retrieval was weak, else that the texts didn't match."""
     return F.when(level == "weak", F.concat(F.lit("> ⚠️ **"), message, F.lit(f"**\n\n{NO_REVIEWS}"))).otherwise(NO_MATCH)

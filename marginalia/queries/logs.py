@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marginalia import tables as tb
 from marginalia.operators import sinks, timeline
 from marginalia.queries.registry import query
+from marginalia.sources import harvest
 
 _EDITS = """edits AS (SELECT user_id, event_id, event_type IN ('click', 'view', 'purchase') AS has_title, CASE WHEN event_type <> 'purchase' THEN event_type || (event_id % 3) END AS title, event_type IN ('view', 'login') AS has_pdf, CAST(json_extract(props, '$.k') AS INT) % 4 AS pdf FROM events)"""
 
@@ -72,6 +73,44 @@ def latest_progress(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.progress(e, "user_id", "step", "at").select("user_id", "step", "latest.event_id", "latest.value")
 
 
+@query("""SELECT user_id, count(*) AS n, string_agg(event_type || ':' || event_id, ',' ORDER BY event_id) AS log FROM events GROUP BY 1""")
+def progress_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of each job as an array, in the order of its events."""
+    log = timeline.progress_log(tb.read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+    text = F.array_join(F.transform("log", lambda e: F.concat_ws(":", e["event_type"], e["event_id"].cast("string"))), ",")
+    return log.select("user_id", F.size("log").cast("bigint").alias("n"), text.alias("log"))
+
+
+_FORUM = """n AS (SELECT conv_id, turn, conv_id || '/' || turn AS note_id, text, CASE WHEN turn = 1 THEN 'Submission' WHEN turn % 5 = 0 THEN 'Official_Review' WHEN turn % 5 = 1 THEN 'Official_Comment' WHEN turn % 5 = 2 THEN 'Meta_Review' WHEN turn % 5 = 3 THEN 'Decision' ELSE 'Other' END AS inv,
+    CASE WHEN turn % 2 = 0 THEN '리뷰어 ' || turn ELSE '저자' END AS actor, turn % 2 = 1 AS author, 1700000000000 + turn * 60000 AS created, 1700000000000 + turn * 60000 + (conv_id % 2) * 90000 AS modified FROM conversations)"""
+
+
+@query(f"""WITH {_FORUM}, k AS (SELECT *, CASE inv WHEN 'Official_Review' THEN 'review' WHEN 'Decision' THEN 'decision' WHEN 'Meta_Review' THEN 'meta_review' WHEN 'Official_Comment' THEN CASE WHEN author THEN 'rebuttal' ELSE 'comment' END END AS kind FROM n WHERE inv NOT IN ('Submission', 'Other')),
+  e AS (SELECT conv_id, note_id AS event_id, created AS "at", kind, actor, CASE kind WHEN 'review' THEN actor || ' — ' || CASE WHEN conv_id % 3 = 0 THEN '8: accept' ELSE '5: borderline' END WHEN 'decision' THEN '최종 결과: ' || CASE WHEN conv_id % 2 = 0 THEN 'Accept' ELSE '결과 공개' END WHEN 'meta_review' THEN 'AC 총평'
+      ELSE actor || CASE WHEN conv_id % 2 = 0 THEN ': About it' ELSE '의 코멘트' END END AS headline FROM k
+    UNION ALL SELECT conv_id, note_id || ':update', modified, 'review_update', actor, actor || '가 저자 응답 이후 리뷰를 수정했습니다' || CASE WHEN conv_id % 3 = 0 THEN ' (최종 8: accept)' ELSE '' END || ' — 수정 전 내용은 공개되지 않습니다' FROM k WHERE kind = 'review' AND modified > created
+    UNION ALL SELECT DISTINCT conv_id, conv_id || '/r' || r, 1700000000000 + r * 1000, 'author_revision', '저자', CASE r WHEN 0 THEN '관측 가능한 최초 제출본 — 이전 내용은 확인할 수 없습니다' WHEN 1 THEN '수정본 — 제목, 초록' ELSE '수정본 — 제목·초록·첨부파일에는 변화가 없습니다' END FROM conversations CROSS JOIN range(3) t(r))
+  SELECT conv_id AS paper_id, event_id, "at", strftime(make_timestamp("at" * 1000) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS date, kind, actor, headline FROM e""")
+def forum_timelines(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of forums and revisions as events in words; stored reviews stand before live ones."""
+    c = tb.read(spark, sf, "conversations")
+    t, p = F.col("turn"), F.col("conv_id")
+    inv = F.when(t == 1, "Submission").when(t % 5 == 0, "Official_Review").when(t % 5 == 1, "Official_Comment").when(t % 5 == 2, "Meta_Review").when(t % 5 == 3, "Decision").otherwise("Other")
+    at = F.lit(1700000000000) + t * 60000
+    note_id = F.concat_ws("/", p.cast("string"), t.cast("string"))
+    notes = c.select(
+        p.alias("paper_id"), p.alias("forum"), note_id.alias("note_id"), F.lit("none").alias("submission_id"), F.array(F.concat(F.lit("V/-/"), inv)).alias("invitations"),
+        F.when(t % 2 == 0, F.concat(F.lit("V/Reviewer_"), t.cast("string"))).otherwise("V/Authors").alias("signature"), F.when(p % 2 == 0, at).alias("tcdate"), at.alias("cdate"), (at + (p % 2) * 90000).alias("tmdate"),
+        F.when(p % 2 == 0, "About it").alias("title"), F.col("text").alias("body"), F.when(p % 2 == 0, "Accept").alias("verdict"), F.lit("5: borderline").alias("rating_raw"),
+    )
+    papers = c.select(p.alias("forum")).distinct()
+    stored = c.filter("conv_id % 3 = 0").select(note_id.alias("note_id"), F.lit(8.0).alias("rating"), F.lit("8: accept").alias("rating_raw"))
+    edits = papers.select(F.col("forum").alias("paper_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r"))
+    labels = F.when(F.col("r") == 1, F.array(F.lit("제목"), F.lit("초록"))).otherwise(F.array().cast("array<string>"))
+    revisions = edits.select("paper_id", F.concat_ws("/r", F.col("paper_id").cast("string"), F.col("r").cast("string")).alias("revision_id"), (F.lit(1700000000000) + F.col("r") * 1000).alias("at"), F.lit("수정본").alias("kind_label"), (F.col("r") == 0).alias("is_baseline"), labels.alias("labels"))
+    return timeline.forum_events(harvest.forum_replies(notes, papers), stored, revisions).select("paper_id", "event_id", "at", "date", "kind", "actor", "headline")
+
+
 @query("""SELECT event_id, CASE WHEN status IN ('pending', 'running') AND n > 1 THEN 'failed' ELSE status END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, status IN ('pending', 'running') ORDER BY ts DESC, event_id DESC) AS n
   FROM (SELECT *, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' ELSE 'done' END AS status FROM events))""")
 def one_active_job(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia import tables as tb
 from marginalia.functions import rank as R, text as T
-from marginalia.operators import graph, match
+from marginalia.operators import graph, match, stats
 from marginalia.queries.registry import query
 
 _TRI = """list_distinct(flatten(list_transform(list_filter(string_split(norm, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, len('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i, 3)))))"""
@@ -66,42 +66,41 @@ def links_by_method(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).groupBy("method").agg(F.count("*").alias("n"))
 
 
-def _chain_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Each order to the same customer's next: chains as long as customers have orders."""
-    o = tb.papers(spark, sf).filter("id % 3 = 0")
-    nxt = F.lead("id").over(Window.partitionBy("author_id", F.floor(F.col("id") / 3000)).orderBy("id"))
-    return o.withColumn("later", nxt).filter("later IS NOT NULL").select(F.col("id").alias("earlier"), "later", F.lit("arxiv_id").alias("method"))
+def _chain_links(spark: SparkSession, sf: str, *within) -> DataFrame:
+    """Each order to the same customer's next (of one year, say): chains as long as customers have orders."""
+    nxt = F.lead("id").over(Window.partitionBy("author_id", *within).orderBy("id"))
+    return tb.papers(spark, sf).withColumn("later", nxt).filter("later IS NOT NULL").select(F.col("id").alias("earlier"), "later", F.lit("arxiv_id").alias("method"))
 
 
-_CHAIN = f"""{tb.PAPERS}, links AS (SELECT * FROM (SELECT id AS earlier, lead(id) OVER (PARTITION BY author_id, floor(id / 3000) ORDER BY id) AS later FROM papers WHERE id % 3 = 0) WHERE later IS NOT NULL),
-  bi AS (SELECT earlier AS x, later AS y FROM links UNION SELECT later, earlier FROM links), seeds AS (SELECT id FROM papers WHERE id % 3 = 0)"""
+_CHAIN = f"""{tb.PAPERS}, links AS (SELECT * FROM (SELECT id AS earlier, lead(id) OVER (PARTITION BY author_id, year ORDER BY id) AS later FROM papers) WHERE later IS NOT NULL),
+  bi AS (SELECT earlier AS x, later AS y FROM links UNION SELECT later, earlier FROM links)"""
 
 
-@query(f"""WITH RECURSIVE {_CHAIN}, r AS (SELECT id AS root, id FROM seeds UNION SELECT r.root, b.y FROM r JOIN bi b ON b.x = r.id)
-  SELECT root, count(*) AS stops, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY 1 HAVING count(*) < 12""")
+@query(f"""WITH RECURSIVE {_CHAIN}, r AS (SELECT id AS root, id FROM papers UNION SELECT r.root, b.y FROM r JOIN bi b ON b.x = r.id)
+  SELECT root, count(*) AS stops, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY 1""")
 def version_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Closure of links from each paper; chains that reached the cap, which it cuts at different hops, are left out."""
-    seeds = tb.papers(spark, sf).filter("id % 3 = 0").select("id")
-    r = graph.reach(seeds, _chain_links(spark, sf))
-    return r.groupBy("root").agg(F.count("*").alias("stops"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("stops < 12")
+    """Closure of links from each paper, without the cap, which SQL can't follow (submission_journeys has it)."""
+    r = graph.reach(tb.papers(spark, sf).select("id"), _chain_links(spark, sf, "year"), stop_at=None, hops=1000)
+    return r.groupBy("root").agg(F.count("*").alias("stops"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query()
 def submission_journeys(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered chains with outcome and direct links; tests compare it with fixtures."""
-    papers, links = tb.papers(spark, sf), _chain_links(spark, sf)
-    members = graph.reach(papers.filter("id % 3 = 0").select("id"), links).join(papers.select("id", "year", "decision"), "id")
+    """Journeys of all papers, cut at the cap: order, ratings, links, outcome; tests follow them by brute force."""
+    papers, links, reviews = tb.papers(spark, sf), _chain_links(spark, sf), tb.reviews(spark, sf)
+    members = graph.reach(papers.select("id"), links).join(papers.select("id", "year", "venue", "decision"), "id")
     order = graph.chain_order(members.select("root", "id", "year"), links.select("earlier", "later"))
-    stops = order.join(members, ["root", "id"])
-    return graph.adjacent_links(stops, links).join(graph.outcome(stops), "root").select("root", "stop", "id", "decision", "method", "outcome")
+    ratings = stats.review_summary(reviews).select(F.col("paper_id").alias("id"), "avg_rating", F.col("n_reviews").alias("rating_count"))
+    venues = stats.venue_stats(papers, reviews).select("venue", "rating_mean")
+    return graph.journeys(order.join(members, ["root", "id"]), links, ratings, venues)
 
 
-@query("""WITH t AS (SELECT p_partkey AS target_id, lower(p_name) AS key FROM part), g AS (SELECT ps.p_partkey AS ext_id, lower(ps.p_name) AS key, ps.p_size * 100000 + ps.p_partkey AS arrival FROM part ps WHERE ps.p_partkey % 2 = 0)
+@query("""WITH t AS (SELECT p_partkey AS target_id, lower(p_name) AS key FROM part), g AS (SELECT ps.p_partkey AS ext_id, lower(ps.p_name) AS key, ps.p_size * 100000 + ps.p_partkey AS arrival FROM part ps)
   SELECT target_id, arg_min(ext_id, arrival) AS ext_id FROM t JOIN g USING (key) GROUP BY 1""")
 def consumed_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Each title is taken by the first record that arrives."""
     part = tb.read(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("key"), (F.col("p_size") * 100000 + F.col("p_partkey")).alias("arrival"))
-    first = part.filter("p_partkey % 2 = 0").groupBy("key").agg(F.min_by("p_partkey", "arrival").alias("ext_id"), F.min("arrival").alias("arrival"))  # one row a key, so the join can't multiply
+    first = part.groupBy("key").agg(F.min_by("p_partkey", "arrival").alias("ext_id"), F.min("arrival").alias("arrival"))  # one row a key, so the join can't multiply
     return match.consume_titles(part.select(F.col("p_partkey").alias("target_id"), "key"), first)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia import tables as tb
 from marginalia.functions import rank as R, text as T
-from marginalia.operators import retrieval as op
+from marginalia.operators import retrieval as op, stats
 from marginalia.queries.registry import query
 
 WORDS = ("the", "thre", "tion", "hean", "erthe")
@@ -14,12 +14,12 @@ WORDS = ("the", "thre", "tion", "hean", "erthe")
 
 def _fields(spark: SparkSession, sf: str) -> DataFrame:
     """Ranking fields of documents: year and citations from the id and length, reviews for two in three."""
-    d = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("venue"), (2018 + F.col("doc_id") % 7).cast("int").alias("year"), "n_chars", (F.col("doc_id") % 3).alias("n_reviews"), T.dedupe_key(F.substring("text", 1, 40)).alias("norm_title"))
-    pct = F.cume_dist().over(Window.partitionBy("year").orderBy("n_chars"))
-    return d.withColumn("percentile", F.when(F.col("id") % 10 != 0, pct)).drop("n_chars")
+    d = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("venue"), (2018 + F.col("doc_id") % 7).cast("int").alias("year"), "n_chars", (F.col("doc_id") % 3).alias("n_reviews"), T.dedupe_key(F.col("text")).alias("norm_title"))
+    d = stats.with_cumulative_share(d.withColumn("norm_title", F.sha1("norm_title")), "year", "n_chars", "share")
+    return d.withColumn("percentile", F.when(F.col("id") % 10 != 0, F.col("share"))).drop("n_chars", "share")
 
 
-_FIELDS = """fields AS (SELECT doc_id AS id, source AS venue, (2018 + doc_id % 7)::INT AS year, doc_id % 3 AS n_reviews, lower(trim(substr(text, 1, 40))) AS norm_title,
+_FIELDS = """fields AS (SELECT doc_id AS id, source AS venue, (2018 + doc_id % 7)::INT AS year, doc_id % 3 AS n_reviews, sha1(lower(trim(text))) AS norm_title,
   CASE WHEN doc_id % 10 <> 0 THEN cume_dist() OVER (PARTITION BY 2018 + doc_id % 7 ORDER BY n_chars) END AS percentile FROM documents)"""
 _BM25 = """tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM documents SEMI JOIN rev ON rev.id = documents.doc_id),
   len AS (SELECT id, len(t) AS l, {tfs} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS al, {dfs} FROM len),

@@ -52,7 +52,7 @@ def area_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 _PATTERN_SQL = f"""WITH {tb.POINTS}, {tb.REVIEWS}, {tb.PAPERS}, m AS (SELECT paper_id FROM reviews GROUP BY 1 HAVING bool_and(NOT unsplit)), t AS (SELECT count(*) AS total FROM m),
   base AS (SELECT aspect, count(DISTINCT paper_id) / total AS rate FROM points SEMI JOIN m USING (paper_id) CROSS JOIN t WHERE sentiment = 'weakness' GROUP BY aspect, total),
-  near AS (SELECT * FROM points WHERE paper_id IN (SELECT id FROM papers ORDER BY id LIMIT 200) AND sentiment = 'weakness'), n AS (SELECT count(DISTINCT paper_id) AS n_papers FROM near),
+  near AS (SELECT * FROM points WHERE paper_id IN (SELECT id FROM papers WHERE venue = '1-URGENT' AND year = 1995) AND sentiment = 'weakness'), n AS (SELECT count(DISTINCT paper_id) AS n_papers FROM near),
   mine AS (SELECT id, decision LIKE 'accept%' AS acc FROM papers WHERE id IN (SELECT paper_id FROM near)), tot AS (SELECT count(*) AS decided, count(*) FILTER (WHERE acc) AS decided_acc FROM mine),
   k AS (SELECT aspect, count(*) AS paper_count, count(acc) AS with_n, count(*) FILTER (WHERE acc) AS with_acc FROM (SELECT DISTINCT aspect, paper_id FROM near WHERE aspect <> 'other') x LEFT JOIN mine ON mine.id = x.paper_id GROUP BY 1 HAVING count(*) >= 2),
   f AS (SELECT k.*, n_papers, rate, paper_count / n_papers / rate AS lift, decided - with_n AS without_n, decided_acc - with_acc AS without_acc,
@@ -66,7 +66,7 @@ _PATTERN_SQL = f"""WITH {tb.POINTS}, {tb.REVIEWS}, {tb.PAPERS}, m AS (SELECT pap
 def aspect_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Aspects of a neighbourhood against the base rates, the 8 foremost (the report's length)."""
     papers, points = tb.papers(spark, sf), tb.points(spark, sf)
-    near = points.filter("sentiment = 'weakness'").join(F.broadcast(papers.orderBy("id").limit(200).select(F.col("id").alias("paper_id"))), "paper_id", "left_semi")
+    near = points.filter("sentiment = 'weakness'").join(papers.filter("venue = '1-URGENT' AND year = 1995").select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
     out = stats.aspect_patterns(near, stats.base_rates(points, tb.reviews(spark, sf)), papers.select(F.col("id").alias("paper_id"), "decision"))
     return out.select("aspect", "paper_count", "n_papers", "with_n", "with_acc", "without_n", "without_acc", r6("lift").alias("lift"), r6("p_value").alias("p_value"), "is_distinctive")
 

@@ -12,22 +12,63 @@ from marginalia.queries.registry import query
 _SPLIT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1␞\2', 'g'), '␞'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) >= 25)[1:12]"
 
 
-@query(rf"""WITH s AS (SELECT doc_id, text, {_SPLIT} AS p FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+'))
+_BULLETS = r"list_filter(list_transform(regexp_split_to_array(text, '(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) >= 25)[1:12]"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+')) >= 2 THEN {_BULLETS} ELSE {_SPLIT} END AS p FROM d)
   SELECT doc_id, len(p) AS points, coalesce(list_sum(list_transform(p, lambda x: length(x))), 0)::BIGINT AS chars FROM s""")
 def sentence_points(spark: SparkSession, sf: str) -> DataFrame:
-    """points of unbulleted texts."""
-    d = tb.read(spark, sf, "documents").filter(~F.col("text").rlike(T.BULLET))
+    """points of texts, by their bullets or sentences."""
+    d = tb.read(spark, sf, "documents")
     p = T.split_points(F.col("text"))
     return d.select("doc_id", F.size(p).cast("bigint").alias("points"), F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x)).alias("chars"))
 
 
-@query("""WITH f(id, text) AS (VALUES (1, 'The baselines are weak and SOTA is missing.'), (2, 'Limited novelty; it is incremental.'), (3, 'Unclear how to set hyperparameters.'), (4, 'The proof is wrong.'), (5, 'No ImageNet results.'), (6, 'Typos everywhere.'), (7, 'It fails to cite prior work.'), (8, 'The impact is small.'), (9, 'I like it.'))
-  SELECT id, ['baselines', 'novelty', 'reproducibility', 'theoretical_soundness', 'experimental_scale', 'clarity', 'related_work', 'significance', 'other'][id] AS aspect FROM f""")
+_SENTENCES = ["The baselines are weak and SOTA is missing.", "Limited novelty; it is incremental.", "Unclear how to set hyperparameters.", "The proof is wrong.", "No ImageNet results.", "Typos everywhere.", "It fails to cite prior work.", "The impact is small.", "I like it."]
+_ASPECT = " ".join(f"WHEN regexp_matches(low, '{'|'.join(patterns)}') THEN '{aspect}'" for aspect, patterns in T.ASPECT_KEYWORDS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '') || ' ' || [{', '.join(f"'{x}'" for x in _SENTENCES)}][1 + doc_id % 9]) AS low FROM documents)
+  SELECT doc_id, CASE {_ASPECT} ELSE 'other' END AS aspect FROM t""")
 def aspects(spark: SparkSession, sf: str) -> DataFrame:
-    """the aspect of literal sentences (texts of the tables hold no keywords)."""
-    rows = ["The baselines are weak and SOTA is missing.", "Limited novelty; it is incremental.", "Unclear how to set hyperparameters.", "The proof is wrong.", "No ImageNet results.", "Typos everywhere.", "It fails to cite prior work.", "The impact is small.", "I like it."]
-    df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(rows)], "id int, text string")
-    return df.select("id", T.classify_aspect(F.col("text")).alias("aspect"))
+    """the aspect of every document with a sentence behind it (the texts themselves hold no keywords)."""
+    more = F.element_at(F.array(*map(F.lit, _SENTENCES)), (1 + F.col("doc_id") % 9).cast("int"))
+    return tb.read(spark, sf, "documents").select("doc_id", T.classify_aspect(F.concat_ws(" ", F.coalesce("text", F.lit("")), more)).alias("aspect"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM documents), s AS (SELECT doc_id, t, doc_id % 4 = 0 AND length(trim(t)) >= 40 AS found FROM d)
+  SELECT doc_id, CASE WHEN found THEN length(trim(t)) END AS section_chars FROM s""")
+def weakness_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """what stands under the weakness headings of unsplit reviews."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, F.concat(F.lit("Pros: a good idea that is well written overall.\nCons: "), t, F.lit("\nQuestions: "), t)).when(k == 1, F.lit("Cons: short")).otherwise(F.lit("Nothing under a heading here."))
+    return tb.read(spark, sf, "documents").select("doc_id", F.length(T.weakness_section(body)).alias("section_chars"))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM documents)
+  SELECT doc_id, md5(trim(CASE WHEN doc_id % 2 = 0 THEN 'a b c 1' ELSE substr(t, 1, 500) END)) AS abstract FROM d""")
+def abstracts_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    """the abstract of a first page, between its heading and the introduction, or its beginning."""
+    t = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, 500)
+    page = F.when(F.col("doc_id") % 2 == 0, F.lit("Title\nAbstract: a\n b  c\n1 Introduction\nx")).otherwise(t)
+    return tb.read(spark, sf, "documents").select("doc_id", F.md5(T.abstract_of(page)).alias("abstract"))
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Rebuttal_Revision' WHEN 1 THEN 'Camera_Ready_Revision' WHEN 2 THEN 'Withdrawal' WHEN 3 THEN 'Submission' WHEN 4 THEN 'Desk_Rejection' WHEN 5 THEN 'Revision' ELSE 'Some_Note' END AS suffix,
+  ['rebuttal', 'camera_ready', 'withdrawal', 'submission', 'withdrawal', 'revision', 'Some Note'][1 + event_id % 7] AS kind, ['리뷰 반영 수정', '게재 확정본', '철회', '최초 제출', '데스크 리젝', '수정본', 'Some Note'][1 + event_id % 7] AS label,
+  ['저자', '리뷰어 ' || user_id, 'AC', 'PC', '익명', 'Some One'][1 + event_id % 6] AS actor, CASE WHEN event_id % 3 = 0 THEN '(그림 ' || event_id || ')' WHEN event_id % 3 = 1 THEN '(박스 a' || event_id || ')' END AS placeholder,
+  event_type || '가' AS named FROM events""")
+def note_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds and names of invitations and actors, placeholders of media, particles."""
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    pick = lambda xs, n: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (1 + e % n).cast("int"))
+    path = F.concat(F.lit("V/2024/-/"), pick(["Rebuttal_Revision", "Camera_Ready_Revision", "Withdrawal", "Submission", "Desk_Rejection", "Revision", "Some_Note"], 7))
+    suffix = T.path_tails(F.array(path))[0]
+    signature = pick(["V/Authors", F.concat(F.lit("V/Reviewer_"), user), "V/Area_Chair_x", "V/Program_Chairs", "", "V/Some_One"], 6)
+    label = F.when(e % 3 == 0, F.concat(F.lit("Figure "), e.cast("string"))).when(e % 3 == 1, F.concat(F.lit("Box a"), e.cast("string"))).otherwise("Section 1")
+    return tb.read(spark, sf, "events").select("event_id", suffix.alias("suffix"), T.invitation_kind(suffix).alias("kind"), T.invitation_label(suffix).alias("label"), T.actor_name(signature).alias("actor"), T.label_placeholder(label).alias("placeholder"), T.with_particle(F.col("event_type"), "이", "가").alias("named"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 8.0 WHEN 1 THEN p_size::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN 2.5 END AS score,

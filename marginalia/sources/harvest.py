@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -33,6 +35,81 @@ def parsed_records(rows: DataFrame, xml_col: str = "xml") -> DataFrame:
     return r.select(F.col("r.identifier").alias("id"), squeezed(F.col("r.title")).alias("title"), squeezed(F.col("r.abstract")).alias("abstract"), "r.created", "r.updated", F.split("r.categories", r"\s+").alias("categories"), "r.keynames")
 
 
+def forum_replies(notes: DataFrame, papers: DataFrame) -> DataFrame:
+    """All notes of the papers' forums (papers: forum), the submissions among them."""
+    return notes.join(papers.select("forum").distinct(), "forum", "left_semi")
+
+
+def note_edits(edits: DataFrame, papers: DataFrame) -> DataFrame:
+    """(note_id, edits): each note's edits, oldest first; none for papers (note_id, conference) of an API without edit logs."""
+    version = F.element_at(F.create_map(*[F.lit(x) for pair in VENUES.items() for x in pair]), F.col("conference"))
+    known = papers.select("note_id", (F.coalesce(version, F.lit(1)) == 2).alias("logged"))
+    rows = edits.join(known.filter("logged"), "note_id", "left_semi").withColumn("tcdate", F.coalesce("tcdate", F.lit(0).cast("long")))
+    found = rows.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("tcdate", "edit_id", "content"))).alias("edits"))
+    kind = found.schema["edits"].dataType
+    return known.select("note_id").distinct().join(found, "note_id", "left").select("note_id", F.coalesce("edits", F.array().cast(kind)).alias("edits"))
+
+
+FEED = "STRUCT<entry: ARRAY<STRUCT<id: STRING, title: STRING>>>"
+
+
+def first_entries(feeds: DataFrame) -> DataFrame:
+    """(asked, id, title): the first entry of each landed answer (asked, xml) to a title search; none where there is no entry.
+
+    The id is the part of the entry's address behind /abs/, old ones with their archive, without the version.
+    """
+    entry = F.get(F.from_xml("xml", F.lit(FEED))["entry"], F.lit(0))
+    title = F.trim(F.regexp_replace(entry["title"], r"\s+", " "))
+    ref = F.regexp_replace(F.element_at(F.split(entry["id"], "/abs/"), -1), r"v\d+$", "")
+    return feeds.select("asked", ref.alias("id"), title.alias("title")).filter("id IS NOT NULL")
+
+
+class TokenPages(DataSource):
+    """Pages of a search or harvest that name the next one by a token: option fetch names module:function(part, token).
+
+    The function returns (rows, token), rows being a list of texts; a page without rows or without a token is the last. Option
+    parts names the sets that are harvested apart from one another (a JSON object of their first tokens, empty at the
+    beginning), a task for each, since a page depends on the one before. Rows come out page by page, as (part, page,
+    content, next_token); resume_points() of what was landed is the next run's parts.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "token_pages"
+
+    def schema(self) -> str:
+        return "part string, page int, content string, next_token string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TokenReader(self.options)
+
+
+class _TokenReader(DataSourceReader):
+    def __init__(self, options):
+        self.fetch, self.parts, self.pages = options["fetch"], json.loads(options.get("parts", '{"": ""}')), int(options.get("pages", "0"))
+
+    def partitions(self):
+        return [InputPartition(x) for x in sorted(self.parts.items())]
+
+    def read(self, partition):
+        import importlib
+
+        part, token = partition.value
+        module, _, name = self.fetch.partition(":")
+        call, page = getattr(importlib.import_module(module), name), 0
+        while not self.pages or page < self.pages:
+            rows, token = retried(lambda token=token: call(part, token))
+            yield from ((part, page, row, token or None) for row in rows)
+            if not rows or not token:
+                return
+            page += 1
+
+
+def resume_points(landed: DataFrame) -> DataFrame:
+    """(part, next_token) of landed pages: where each part goes on; null where it is done."""
+    return landed.groupBy("part").agg(F.max_by("next_token", "page").alias("next_token"))
+
+
 class PagedNotes(DataSource):
     """Notes of an offset-paginated service, a partition for each page: option fetch names module:function(offset, limit).
 
