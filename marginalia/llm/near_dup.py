@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm import textbytes as tb
-from marginalia.llm.components import connected_components
+from marginalia.llm.components import connected_components, smallest_ids
 from marginalia.llm.runs import forest, runs
 from marginalia.llm.storage import dropped, written
 
@@ -26,7 +26,9 @@ ROWS = 5
 MISS = 3e-7
 BLOCK_SHINGLES = 500_000
 #: What a text counts as at least, so that a block of short texts holds BLOCK_SHINGLES / LEAST_SHINGLES of them at most.
-LEAST_SHINGLES = 125
+LEAST_SHINGLES = 1000
+#: Pairs of blocks that a further round of stars has to be able to save.
+ROUND = 4096
 _ROUND = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -82,43 +84,60 @@ def _list_column(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sizes of sets and a 128-bit fingerprint of each, in two columns."""
+    with np.errstate(over="ignore"):
+        fp1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+        fp2 = np.array([tb.mix(s ^ _ROUND).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return [np.fromiter(map(len, sets), np.int64, len(sets)), fp1.view(np.int64), fp2.view(np.int64)]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, h): h tells texts under one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int, bands: int) -> DataFrame:
-    """(id, n_shingles, fp1, fp2, bands): the set's size, a 128-bit fingerprint of it, its band keys."""
+    """(id, h, n_shingles, fp1, fp2, bands): a hash of the text, its set's size, a 128-bit fingerprint of it, its band keys."""
 
     def work(batches):
         for batch in batches:
-            ids, at = batch.column(0), 0
+            at = 0
             for sets in _sets(batch.column(1), shingle):
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                with np.errstate(over="ignore"):
-                    fp1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                    fp2 = np.array([tb.mix(s ^ _ROUND).sum(dtype=np.uint64) for s in sets], np.uint64)
                 keys = band_keys(sketches(sets, rows * bands), rows, bands)
                 lists = _list_column(keys.ravel(), np.full(len(sets), bands))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(sizes), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), lists], ["id", "n_shingles", "fp1", "fp2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), batch.column(2).slice(at, len(sets)), *map(pa.array, _prints(sets)), lists], ["id", "h", "n_shingles", "fp1", "fp2", "bands"])
                 at += len(sets)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(work, "id long, h long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+
 
+def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cls, shingles): the sorted distinct shingle hashes of each class, from rows (text, cls, n_shingles, fp1, fp2).
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, shingles): the sorted distinct shingle hashes of each text."""
+    Texts of another set than their class says are passed over; of several texts of a class a task keeps the first.
+    """
 
     def work(batches):
+        seen: set[int] = set()
         for batch in batches:
-            ids, at = batch.column(0), 0
-            for sets in _sets(batch.column(1), shingle):
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), _list_column(np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes)], ["id", "shingles"])
-                at += len(sets)
+            classes, wanted, at = batch.column(1).to_pylist(), np.stack([c.to_numpy() for c in batch.columns[2:]]), 0
+            for sets in _sets(batch.column(0), shingle):
+                n = len(sets)
+                right = (np.stack(_prints(sets)) == wanted[:, at : at + n]).all(0)
+                keep = [i for i in np.flatnonzero(right).tolist() if classes[at + i] not in seen and not seen.add(classes[at + i])]
+                chosen = [sets[i] for i in keep]
+                sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
+                yield pa.RecordBatch.from_arrays([pa.array([classes[at + i] for i in keep], pa.int64()), _list_column(np.concatenate([*chosen, np.zeros(0, np.uint64)]), sizes)], ["cls", "shingles"])
+                at += n
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, shingles array<long>")
+    return texts.select("text", "cls", "n_shingles", "fp1", "fp2").mapInArrow(work, "cls long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) pairs of classes those with 100 |A & B| >= percent |A | B|."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return pairs.join(right, "b").join(left, "a").withColumn("both", both).filter(F.col("both") * (100 + percent) >= F.lit(percent) * (F.size("sa") + F.size("sb"))).select("a", "b")
 
@@ -126,52 +145,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, rows: int = ROWS, bands: int | None = None, stars: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row for each row of docs.
 
-    Texts are lower-cased (A-Z), cut into words at white space, and stand as sets of distinct shingles. Texts with equal
-    sets form a class. Classes that share a band key are candidates; they link if their full sets pass percent. Each
-    bucket first compares its members with its smallest one, and those left with the smallest of them. Buckets that are
-    still in several components are worked off in pairs of blocks, by matrix products over full sets, which return no
-    more than the links that join components. So no link inside a bucket is lost, and no pairs are emitted.
-    Unless bands is given, there are as many as leave a pair right at percent without a common key with a probability of
-    MISS at most: 26 at 0.85, 38 at 0.8.
-
-    Null and empty texts have an empty set and link with nothing; rows with a null id keep a null component_id; rows that
-    repeat an id count once in the graph and come out once each, with the component of their own set; other columns are
-    ignored; an empty table gives an empty one. component_id is the smallest id reachable, kept is id = component_id.
+    Texts are lower-cased (A-Z), cut into words at white space, and stand as sets of distinct shingles (64-bit hashes). Texts
+    with equal sets form a class with a key of its own. Classes that share a band key are candidates; they link if their
+    full sets pass percent. Each bucket first compares its members with its smallest one, and those left with the smallest
+    of them; this goes on while it shrinks buckets of several blocks and over ROUND pairs of blocks are left. Buckets that are still in several
+    components are worked off in pairs of blocks, by matrix products over full sets, which return no more than the
+    links that join components. So no link inside a bucket is lost, and no pairs are emitted. Unless bands is given, there are
+    as many as leave a pair right at percent without a common key with a probability of MISS at most: 26 at 0.85, 38 at 0.8.
+
+    Every row is a node, whatever its id: rows that repeat an id have the component of their own set. component_id is the
+    smallest id of the rows reachable, kept is id = component_id. Null and empty texts have an empty set and link with
+    nothing; rows with a null id join no others and keep a null component_id; other columns are ignored; an empty table
+    gives an empty one.
     """
     bands = bands or bands_for(percent, rows)
     feats = written(features(docs, id_col, text_col, shingle, rows, bands), "features")
     solid = feats.filter("n_shingles > 0 AND id IS NOT NULL")
-    # A written table: the join of all rows with it, at the end, reads two plain shuffles, so that Spark can split a hot class.
-    classes = written(solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
-    keyed = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
-    buckets = written(keyed.join(shared, "key").select("key", "id", "n_shingles", "lead"), "buckets")
-
-    touched = buckets.select("id").distinct()
-    sets = written(full_sets(docs.join(touched.select(F.col("id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, shingle), "sets")
-
-    links, label = None, None
-    for _ in range(stars):
+    # A written table: keys stay as they are, and the join of all rows with it, at the end, reads two plain shuffles, so that Spark can split a hot class.
+    classes = solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("id", "h")).alias("rep"), F.any_value("bands").alias("bands"))
+    classes = classes.select("fp1", "fp2", "n_shingles", F.col("rep.id").alias("least"), F.col("rep.h").alias("h"), "bands", F.monotonically_increasing_id().alias("cls"))
+    classes = written(classes, "classes")
+    # a bucket's lead is the class of the smallest id: of copies that came one after the other the likely original
+    keyed = classes.select("cls", "least", "n_shingles", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min_by("cls", "least").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("key", "lead")
+    buckets = written(keyed.join(shared, "key").select("key", "cls", "least", "n_shingles", "lead"), "buckets")
+
+    touched = classes.join(buckets.select("cls").distinct(), "cls").select("cls", "fp1", "fp2", "n_shingles", F.col("least").alias("id"), "h")
+    sets = written(full_sets(_texts(docs, id_col, text_col).join(touched, ["id", "h"]), shingle), "sets")
+
+    links, label, mixed, left = None, None, None, math.inf
+    while True:
         if label is None:
-            pairs = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+            pairs = buckets.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
         else:  # the members outside their lead's component meet the smallest of them
-            apart = _apart(buckets, label)
-            second = apart.filter("comp <> lead_comp").groupBy("key").agg(F.min("id").alias("second"))
-            pairs = apart.filter("comp <> lead_comp").join(second, "key").filter("id <> second").select(F.least("second", "id").alias("a"), F.greatest("second", "id").alias("b"))
+            apart = _apart(buckets, label).filter("comp <> lead_comp").select("key", "cls", "least")
+            second = written(apart.groupBy("key").agg(F.min_by("cls", "least").alias("second")), "second")  # written, so that a hot bucket can be split in the join
+            pairs = apart.join(second, "key").filter("cls <> second").select(F.least("second", "cls").alias("a"), F.greatest("second", "cls").alias("b"))
         links, label = _grown(links, _verified(pairs.distinct(), sets, percent), label)
-    apart = _apart(buckets, label)
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.greatest("n_shingles", F.lit(LEAST_SHINGLES))).alias("size")).filter("lo < hi")
-    rest = apart.join(mixed.select("key", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "key")
-    rest = rest.select("key", "id", "comp", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("key", "id", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets, "id")
-    rest = rest.select("key", "i", "j", "mine", "id", "comp", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+        stars -= 1
+        if stars > 0:
+            continue
+        dropped(mixed)
+        apart = _apart(buckets, label)
+        mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.greatest("n_shingles", F.lit(LEAST_SHINGLES))).alias("size")).filter("lo < hi")
+        mixed = written(mixed.select("key", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "mixed")
+        now = mixed.filter("blocks > 1").agg(F.coalesce(F.sum(F.expr("blocks * (blocks + 1L) / 2")), F.lit(0.0))).first()[0]
+        if now <= ROUND or now > 0.9 * left:
+            break
+        left = now
+    rest = apart.join(mixed, "key")
+    rest = rest.select("key", "cls", "comp", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = rest.select("key", "cls", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets, "cls")
+    rest = rest.select("key", "i", "j", "mine", "cls", "comp", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
     links, label = _grown(links, rest.mapInArrow(_block_links(percent), "a long, b long").distinct(), label)
 
-    found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    found = classes.join(smallest_ids(label, classes), "cls", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
     out = feats.select("id", "fp1", "fp2", "n_shingles").join(found, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
-    for table in (sets, buckets):
+    for table in (sets, buckets, mixed, links):
         dropped(table)
     return out
 
@@ -181,7 +213,7 @@ def _block_links(percent: int):
 
     def work(batches):
         for table in runs(batches, ("key", "i", "j")):
-            ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+            ids, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
             left = table.column("mine").to_numpy() == table.column("i")[0].as_py()
             a = np.flatnonzero(left)
             b = a if left.all() else np.flatnonzero(~left)
@@ -219,12 +251,12 @@ def _overlaps(flat: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray,
 def _apart(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """Buckets with the components of each member and of the bucket's smallest member."""
     lead = label.select(F.col("id").alias("lead"), F.col("component_id").alias("lead_comp"))
-    mine = label.select("id", F.col("component_id").alias("comp"))
-    return buckets.join(mine, "id", "left").join(lead, "lead", "left").withColumns({"comp": F.coalesce("comp", "id"), "lead_comp": F.coalesce("lead_comp", "lead")})
+    mine = label.select(F.col("id").alias("cls"), F.col("component_id").alias("comp"))
+    return buckets.join(mine, "cls", "left").join(lead, "lead", "left").withColumns({"comp": F.coalesce("comp", "cls"), "lead_comp": F.coalesce("lead_comp", "lead")})
 
 
 def _grown(links: DataFrame | None, new: DataFrame, label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    links = written(new if links is None else links.unionByName(new), "links")
-    if label is not None:
-        dropped(label)
-    return links, written(connected_components(links, "a", "b"), "labels")
+    both = written(new if links is None else links.unionByName(new), "links")
+    dropped(links)
+    dropped(label)
+    return both, written(connected_components(both, "a", "b"), "labels")

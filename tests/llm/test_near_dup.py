@@ -128,3 +128,34 @@ def test_connected_components(spark, edges):
                 low[a] = low[b] = min(low[a], low[b])
     out = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r.id: r.component_id for r in out} == low
+
+
+def by_rows(rows, percent=85):
+    """Each row a node of its own: (id, smallest id reachable) of every row, in order."""
+    found = brute([(n, t) for n, (_, t) in enumerate(rows)], percent)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        c = found[n][1]
+        least[c] = min(least.get(c, i), i)
+    return sorted((i, found[n][0], least[found[n][1]]) for n, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_id_with_several_texts_loses_no_link(spark, turned):
+    """Id 5 holds two texts, each near another row; ids 3 hold many, some of them alike."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (1, b + " z"), (8, "c d e f g h"), (8, "i j k l m n"), (9, "I j k l m n"), (8, "c d e f g h")]
+    rows += [(3, t) for t in corpus(seed=31, bases=6) if t]
+    rows = rows[::-1] if turned else rows
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == by_rows(rows)
+
+
+def test_star_rounds_go_on_while_large_buckets_shrink(spark, monkeypatch):
+    """Chains of near copies in one bucket: blocks of two texts, each round of stars joins more."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(near_dup, "ROUND", 0)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"c{k}{i}"] + base[k + 1 :])) for i, k in enumerate([3, 9, 20, 40, 3, 57, 9, 31, 44, 12])]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rows=1, bands=30, stars=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
