@@ -174,40 +174,43 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     `und` with score 0 where a text is null, empty or has no letter, and everywhere if nothing was learned. Ties go to the
     language that sorts first; repeated rows come out once each; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = _decided(rows, model, "text", ["id"])
-    return found.select(F.col("id").alias(id_col), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), "score")
 
+    def work(batches):
+        for batch in batches:
+            for at, lang, score in _languages(batch.column(1), model):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lang)), pa.array([x or "und" for x in lang], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score beside each row, whatever its id: `und` where a text has no letter, null where it has
-    letters and nothing was learned."""
-    return _decided(docs, model, text_col, docs.columns)
 
+def told(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose own text is `und`; ids play no part. If nothing was learned all texts with a letter stay."""
 
-def _decided(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
     def work(batches):
-        dim = model.prototypes.shape[1]
-        own = _PROFILERS.setdefault(dim, Profiler(dim=dim))
         for batch in batches:
-            at = 0
-            for texts in _chunks(batch.column(text_col)):
-                v = own.bundle(texts)
-                norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
-                letters = v.any(1)
-                if len(model.languages):
-                    cos = (v @ model.prototypes.T.astype(np.float32)) / np.maximum(norm, 1e-12)[:, None]
-                    best, score = cos.argmax(1), np.clip(cos.max(1), 0, 1)
-                    lang = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                else:
-                    score, lang = np.zeros(len(texts)), [None if ok else "und" for ok in letters.tolist()]
-                score = np.where(letters, score, 0.0)
-                rows = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], [*keep, "lang_pred", "score"])
-                at += len(texts)
-
-    schema = docs.select(keep).schema
-    return docs.mapInArrow(work, schema.add("lang_pred", "string").add("score", "double"))
+            stays = [x != "und" for _, lang, _ in _languages(batch.column(text_col), model) for x in lang]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def _languages(column: pa.Array, model: Model):
+    """Runs of texts: the first one's row, the language of each (`und` without a letter, None if nothing was learned), its score."""
+    dim, at = model.prototypes.shape[1], 0
+    own = _PROFILERS.setdefault(dim, Profiler(dim=dim))
+    for texts in _chunks(column):
+        v = own.bundle(texts)
+        norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+        letters = v.any(1)
+        if len(model.languages):
+            cos = (v @ model.prototypes.T.astype(np.float32)) / np.maximum(norm, 1e-12)[:, None]
+            best, score = cos.argmax(1), np.clip(cos.max(1), 0, 1)
+            lang = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+        else:
+            score, lang = np.zeros(len(texts)), [None if ok else "und" for ok in letters.tolist()]
+        yield at, lang, np.where(letters, score, 0.0).astype(np.float64)
+        at += len(texts)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, prototypes against their definition, odd rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -82,3 +83,55 @@ def test_labels_in_several_scripts(spark):
     model = langid.train(docs.filter("doc_id % 3 > 0"))
     out = langid.identify(docs.filter("doc_id % 3 = 0"), model).collect()
     assert len(model.languages) == 7 and all(r.lang_pred == rows[r.doc_id][1] for r in out)
+
+
+def by_definition(texts, dim=langid.DIM):
+    """The vector of each text, trigram by trigram in plain Python."""
+    known = {}
+
+    def vector(c):
+        if c not in known:
+            known[c] = langid._vector(c, dim).astype(np.int64)
+        return known[c]
+
+    grams, out = {}, []
+    for text in texts:
+        seq = [0]
+        for c in text or "":
+            point = ord(c.lower()[0]) if c.isalpha() else 0
+            if point or seq[-1]:
+                seq.append(point)
+        seq.append(0)
+        total = np.zeros(dim, np.int64)
+        for gram, n in Counter(zip(seq, seq[1:], seq[2:])).items():
+            if gram[1]:
+                if gram not in grams:
+                    grams[gram] = np.roll(vector(gram[0]), 2) * np.roll(vector(gram[1]), 1) * vector(gram[2])
+                total += n * grams[gram]
+        out.append(total)
+    return out
+
+
+def test_predictions_match_the_definition(spark):
+    """Prototypes, predictions and scores of a small table worked out text by text, with scripts, odd texts and clashing columns."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = [(10**6 + i, t, lang) for i, (t, lang) in enumerate([("привет как дела сегодня", "ru"), ("мы идём домой", "ru"), ("γειά σου κόσμε", "el"), ("καλημέρα σε όλους", "el"), ("", "ru"), (None, "ru"), ("123 --", None), ("πού είναι", None), ("где он", None), ("日本語の文", "ja"), ("文章です", None)])]
+    both = docs.union(spark.createDataFrame(more, docs.schema)).withColumn("score", F.lit(1)).withColumn("id", F.lit("x"))
+    rows = both.collect()
+    learned = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    assert max(Counter(r.lang for r in learned).values()) <= langid.PER_LANGUAGE  # so that all of them count
+    vectors = dict(zip([id(r) for r in rows], by_definition([r.text for r in rows]), strict=True))
+    languages = sorted({r.lang for r in learned})
+    prototypes = [sum(vectors[id(r)] for r in learned if r.lang == lang).astype(np.float64) for lang in languages]
+    want = {}
+    for r in rows:
+        v = vectors[id(r)].astype(np.float64)
+        cos = [v @ p / np.linalg.norm(v) / np.linalg.norm(p) if v.any() else 0.0 for p in prototypes]
+        want[r.doc_id] = (languages[int(np.argmax(cos))], max(0.0, max(cos))) if v.any() else ("und", 0.0)
+    model = langid.train(both.filter(~langid.held_out()))
+    assert model.languages == languages
+    out = langid.identify(both, model).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {i: lang for i, (lang, _) in want.items()}
+    assert all(abs(r.score - want[r.doc_id][1]) < 1e-5 for r in out)
+    stay = langid.told(both, model)
+    assert stay.columns == both.columns and sorted(r.doc_id for r in stay.collect()) == sorted(i for i, (lang, _) in want.items() if lang != "und")
