@@ -79,6 +79,13 @@ def reports(queries: DataFrame, confidence: DataFrame, candidates: DataFrame, se
     return out.withColumn("citations", cited).withColumns({"level": F.coalesce("level", F.lit("weak")), "mean_cosine": F.coalesce("mean_cosine", F.lit(0.0)), **full})
 
 
+def capped_texts(rows: DataFrame, order: list, cap: int = 6, chars: int = 1200) -> DataFrame:
+    """(paper_id, texts): the first cap texts of each paper by order, each cut to chars: what a writer is given of the facts."""
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order))).filter(F.col("k") <= cap)
+    listed = F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, chars).alias("text"))))
+    return rows.groupBy("paper_id").agg(F.transform(listed, lambda x: x["text"]).alias("texts"))
+
+
 def nothing_selected(level: Column, message: Column) -> Column:
     """The summary where no paper was selected: a warning if the retrieval was weak, else that the texts didn't match."""
     return F.when(level == "weak", F.concat(F.lit("> ⚠️ **"), message, F.lit(f"**\n\n{NO_REVIEWS}"))).otherwise(NO_MATCH)

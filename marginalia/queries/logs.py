@@ -129,6 +129,34 @@ def upserted(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.upsert(c.filter("k % 3 <> 0"), new, "k", keep=("bal",), keep_blank=("name",))
 
 
+@query("""SELECT event_id, user_id FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN '{' ELSE props END AS payload FROM events) WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-20' - INTERVAL 10 DAY AND event_id % 2 = 0 AND json_valid(payload)""")
+def cached_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What a cache still holds of a key: young enough, made as asked for, and readable."""
+    cache = tb.read(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("key"), F.col("ts").alias("built_at"), (F.col("event_id") % 2 == 0).alias("used_llm"), F.when(F.col("event_id") % 7 == 0, "{").otherwise(F.col("props")).alias("payload"))
+    return sinks.cached(cache, F.lit("view"), F.lit("2024-01-20").cast("timestamp_ntz"), days=10, needs_llm=True).select("event_id", "user_id")
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 2 = 1),
+  r AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 1, 1.0::DOUBLE FROM orders WHERE o_orderkey % 3 = 0)
+  SELECT 'authors' AS t, count(*) AS n, sum(hash_part)::BIGINT AS total FROM (SELECT length(name) + k AS hash_part FROM a) UNION ALL SELECT 'reviews', count(*), sum(l_quantity)::BIGINT FROM r UNION ALL SELECT 'papers', count(*), sum(o_orderkey)::BIGINT FROM orders""")
+def staged_load(spark: SparkSession, sf: str) -> DataFrame:
+    """One load of papers, authors and reviews, each table from the same staged rows, and what it leaves."""
+    authors = tb.read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    papers, reviews = tb.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), tb.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    new_authors = authors.filter("k % 2 = 1").withColumn("name", F.upper("name"))
+    new_reviews = papers.filter("k % 3 = 0").select(F.col("k").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"))
+    loaded = {
+        "authors": sinks.upsert(authors, new_authors, "k", keep_blank=("name",)).select((F.length("name") + F.col("k")).alias("x")),
+        "reviews": sinks.replace_children(reviews, new_reviews, "l_orderkey").select(F.col("l_quantity").alias("x")),
+        "papers": sinks.upsert(papers.withColumn("v", F.lit(0)), papers.filter("k % 3 = 0").withColumn("v", F.lit(1)), "k").select(F.col("k").alias("x")),
+    }
+    out = None
+    for name, rows in loaded.items():
+        row = rows.agg(F.count("*").alias("n"), F.sum("x").cast("bigint").alias("total")).select(F.lit(name).alias("t"), "n", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("""WITH new AS (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, 0.0::DOUBLE AS l_quantity FROM orders WHERE o_orderkey % 5 = 0)
   SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def replaced_children(spark: SparkSession, sf: str) -> DataFrame:

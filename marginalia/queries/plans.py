@@ -83,3 +83,12 @@ def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     summaries = queries.select("query_id", F.lit("It says so [E1, E2], and [E9] or [M1].").alias("summary"))
     out = story.reports(queries, confidence, candidates, selected, evidence, summaries)
     return out.select("query_id", "level", F.array_join(F.transform("candidates", lambda x: x["paper_id"].cast("string")), ",").alias("candidates"), F.array_join("citations", ",").alias("citations"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+  SELECT conv_id AS paper_id, count(*)::INT AS n, md5(string_agg(substr(text, 1, 1200), '|' ORDER BY k)) AS texts FROM r WHERE k <= 6 GROUP BY 1""")
+def narrative_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of a paper that a writer is given, six of 1200 characters at most (the feature)."""
+    c = tb.read(spark, sf, "conversations").select(F.col("conv_id").alias("paper_id"), "turn", "text")
+    out = story.capped_texts(c, ["turn"])
+    return out.select("paper_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts"))
