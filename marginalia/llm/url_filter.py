@@ -1,9 +1,11 @@
 """URLs judged by rules and, where no rule fits, by a path-template tree with labelled purity.
 
-The tree has a root for each host and a level for each path segment. A segment becomes a wildcard if it looks like a
-value (holds a digit) or if its siblings are mostly different from one another; below a wildcard the branches of all its
-values are one. Branches whose share of bad labels doesn't differ significantly from that of their siblings are
-merged. A template is rejected if its smoothed share of bad labels is high. All of it is grouping and joining.
+The tree has a root for each host and a level for each path segment, down to the last one. A segment becomes a wildcard if it
+looks like a value (holds a digit) or if its siblings are mostly different from one another; below a wildcard the branches
+of all its values are one. Branches whose share of bad labels doesn't differ significantly from that of their siblings
+are merged; a value whose share does, on enough labels, keeps a branch of its own. A template is rejected if its smoothed
+share of bad labels is high. All of it is grouping and joining; what is joined is written first, so that joins read
+plain shuffles, which Spark can split where a host or template is hot.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marginalia.llm.storage import written
+from marginalia.llm.storage import dropped, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,31 +59,48 @@ def _first_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple
     return text, verdict
 
 
-def templates(urls: DataFrame, *, depth: int = 6, fan_out: int = 16, repeat: float = 4.0, z: float = 1.96) -> DataFrame:
-    """Template counts: (host, template, n, labelled, bad) from rows (host, segments, bad), bad null where unlabelled.
+def templates(urls: DataFrame, *, fan_out: int = 16, repeat: float = 4.0, z: float = 1.96, least_labels: int = 8) -> DataFrame:
+    """(host, segments, n, labelled, bad, template) of each path, from rows (host, segments, bad), bad null where unlabelled.
 
-    Segments below depth are one tail wildcard `**`. A node's children are one wildcard if there are over fan_out of them
-    with fewer than repeat rows each on average.
+    A node's children are one wildcard if there are over fan_out of them (all that hold a digit count as one) with fewer
+    than repeat rows each on average. A child that would be part of a wildcard stands alone if its share of bad labels is
+    apart from its siblings' and at least least_labels labels tell so. Levels go on while a node has two paths or more; the
+    rest of a single path has no siblings and is named at once.
     """
+    level, done = 0, []
     rows = urls.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    rows = rows.withColumn("template", F.lit(""))
-    for level in range(depth):
-        rows = written(rows, "branches")  # else each level would hold the plans of all before it several times
-        seg = F.get("segments", F.lit(level))
-        rows = rows.withColumn("seg", F.when(seg.rlike("[0-9]"), F.lit("*")).otherwise(seg))
-        node = rows.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        parent = node.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-        wild = (F.col("kids") > fan_out) & (F.col("all_n") < repeat * F.col("kids"))
+    rows = written(rows.select("*", F.lit("").alias("template"), (F.size("segments") == 0).alias("ended")), "branches")
+    digit = lambda s: s.rlike("[0-9]")
+    while True:
+        done.append(rows.filter("ended").drop("ended"))
+        todo = rows.filter("NOT ended").withColumn("seg", F.get("segments", F.lit(level)))
+        if todo.isEmpty():
+            break
+        node = todo.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("paths"))
+        node = written(node.withColumn("value", digit(F.col("seg"))), "nodes")
+        kids = F.count_if(~F.col("value")) + F.max(F.col("value").cast("int"))
+        parent = node.groupBy("host", "template").agg(kids.alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "paths")))
+        parent = written(parent, "parents")
+        wild = F.col("value") | ((F.col("kids") > fan_out) & (F.col("all_n") < repeat * F.col("kids")))
         # the branch against its siblings: two shares that differ by less than z standard errors are one
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_labelled")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), rest_n)))
         apart = F.coalesce(F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest_n)) > z * error, F.lit(False))
-        few = F.col("all_labelled") > 0
-        named = node.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(wild | (few & ~apart & (F.col("kids") > 1)), F.lit("*")).otherwise(F.col("seg")).alias("name"))
-        rows = rows.join(named, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
-    tail = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return rows.withColumn("template", tail)
+        alone = wild & apart & (F.least(F.col("labelled"), rest_n) >= least_labels)
+        merged = ~alone & (wild | ((F.col("all_labelled") > 0) & ~apart & (F.col("kids") > 1)))
+        named = node.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(merged, F.lit("*")).otherwise(F.col("seg")).alias("name"), (F.col("all_paths") == 1).alias("single"))
+        named = written(named, "named")
+        tail = F.transform(F.slice("segments", level + 2, F.size("segments")), lambda s: F.when(digit(s), F.lit("*")).otherwise(s))
+        name = F.when(F.col("single"), F.concat_ws("/", F.array("name"), tail)).otherwise(F.col("name"))
+        nxt = todo.join(named, ["host", "template", "seg"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", F.lit("/"), name).alias("template"), (F.col("single") | (F.size("segments") == level + 1)).alias("ended"))
+        rows, level = written(nxt, "branches"), level + 1
+        for table in (node, parent, named):
+            dropped(table)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "toxic", *, rules: tuple[UrlRule, ...] = RULES, prior: float = 2.0, reject: float = 0.5) -> DataFrame:
@@ -102,13 +121,14 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     known = labels.filter(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("label"))
     rows = rows.join(known, "id", "left")
     bad = F.coalesce("label", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    leaves = written(templates(rows.withColumn("bad", bad)), "templates")
-    by_template = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
+    leaves = templates(rows.withColumn("bad", bad))
+    by_template = written(leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "by_template")
+    by_host = written(by_template.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad")), "by_host")
     overall = by_host.agg(F.coalesce(F.try_divide(F.sum("host_bad"), F.sum("host_labelled")), F.lit(0.0)).alias("share"))
     host_share = (F.col("host_bad") + prior * F.col("share")) / (F.col("host_labelled") + prior)
     purity = (F.col("bad") + prior * host_share) / (F.col("labelled") + prior)
     judged = by_template.join(by_host, "host").crossJoin(F.broadcast(overall)).select("host", "template", purity.alias("purity"))
+    judged = written(judged, "judged")
     place = leaves.select("host", "segments", "template").join(judged, ["host", "template"])
     out = rows.join(place, ["host", "segments"], "left")
     method = F.when(F.col("purity") > reject, F.lit("block")).otherwise(F.lit("allow"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from marginalia.llm import url_filter
 
-DEPTH, FAN_OUT, REPEAT, Z, PRIOR, REJECT = 6, 16, 4.0, 1.96, 2.0, 0.5
+FAN_OUT, REPEAT, Z, LEAST, PRIOR, REJECT = 16, 4.0, 1.96, 8, 2.0, 0.5
 
 
 def split(url):
@@ -21,6 +21,10 @@ def ruled(host, path):
     return max(fits, key=lambda r: len(r.text), default=None)
 
 
+def is_value(segment):
+    return bool(re.search("[0-9]", segment))
+
+
 def brute(pages, labels):
     known = defaultdict(list)
     for i, _, toxic in labels:
@@ -39,32 +43,33 @@ def brute(pages, labels):
         leaf[2] += bad or 0
         rows.append((i, host, segments, rule))
     template = dict.fromkeys(leaves, "")
-    for level in range(DEPTH):
+    for level in range(max((len(k[1]) for k in leaves), default=0)):
         nodes = defaultdict(lambda: [0, 0, 0])
-        seg = {k: "*" if re.search("[0-9]", k[1][level]) else k[1][level] for k in leaves if len(k[1]) > level}
+        seg = {k: k[1][level] for k in leaves if len(k[1]) > level}
         for k, s in seg.items():
             node = nodes[k[0], template[k], s]
             for j in range(3):
                 node[j] += leaves[k][j]
         parents = defaultdict(list)
-        for (host, above, _), counts in nodes.items():
-            parents[host, above].append(counts)
+        for (host, above, s), counts in nodes.items():
+            parents[host, above].append((counts, is_value(s)))
         name = {}
         for (host, above, s), (_, labelled, bad) in nodes.items():
-            kids = parents[host, above]
-            all_n, all_labelled, all_bad = (sum(c[j] for c in kids) for j in range(3))
+            all_n, all_labelled, all_bad = (sum(c[j] for c, _ in parents[host, above]) for j in range(3))
+            values = sum(v for _, v in parents[host, above])
+            kids = len(parents[host, above]) - values + min(values, 1)
             rest_n, rest_bad = all_labelled - labelled, all_bad - bad
             apart = False
             if labelled and rest_n:
                 pooled = all_bad / all_labelled
                 apart = abs(bad / labelled - rest_bad / rest_n) > Z * math.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / rest_n))
-            wild = len(kids) > FAN_OUT and all_n < REPEAT * len(kids)
-            name[host, above, s] = "*" if wild or (all_labelled > 0 and not apart and len(kids) > 1) else s
+            wild = is_value(s) or (kids > FAN_OUT and all_n < REPEAT * kids)
+            alone = wild and apart and min(labelled, rest_n) >= LEAST
+            name[host, above, s] = "*" if not alone and (wild or (all_labelled > 0 and not apart and kids > 1)) else s
         for k, s in seg.items():
             template[k] += "/" + name[k[0], template[k], s]
     by, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for k, (_, labelled, bad) in leaves.items():
-        template[k] += "/**" if len(k[1]) > DEPTH else ""
         for group in (by[k[0], template[k]], hosts[k[0]]):
             group[0] += labelled
             group[1] += bad
@@ -104,3 +109,17 @@ def test_random_trees(spark):
             labels.append((i, 0, int(rng.random() < (0.9 if parts and parts[0] == "sa" else 0.1))))
     got = same(spark, pages, labels)
     assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_deep_branches_and_values_of_their_own(spark):
+    """Branches that part below the sixth segment, and values (mp3, web2) whose labels differ, each get their own verdict."""
+    rows, labels = [], []
+    for i in range(120):
+        deep = "/a/b/c/d/e/f/" + ("good" if i % 2 else "evil") + f"/{i}"
+        value = f"/{'mp3' if i % 3 else 'web2'}/x{i}"
+        rows += [(i, f"http://deep.test{deep}"), (1000 + i, f"http://value.test{value}")]
+        if i < 100:
+            labels += [(i, 0, int(i % 2 == 0)), (1000 + i, 0, int(i % 3 == 0))]
+    got = {r.page_id: r for r in same(spark, rows, labels)}
+    assert all((got[i].verdict == "block") == (i % 2 == 0) and (got[1000 + i].verdict == "block") == (i % 3 == 0) for i in range(120))
+    assert got[1001].template.startswith("/mp3/") and got[1].template == "/a/b/c/d/e/f/good/*"
