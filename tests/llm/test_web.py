@@ -76,6 +76,7 @@ def test_url_plan_is_native(spark, capsys):
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
 
+DATE = "2024-01-01T00:00:00Z"
 PAGES = "page_id long, url string, html string"
 
 
@@ -92,6 +93,9 @@ def test_archives_round_trip(spark):
     want.append((None, 4, warc.sha1_base32(b"same"), "response", None))
     assert out == sorted(want, key=str)
     full = {r.page_id: r for r in warc.read_archives(spark, paths, with_payload=True).collect()}
+    ids = {r.record_id: r for r in full.values()}
+    assert len(ids) == len(full)
+    assert all(ids[r.refers_to_record].page_id == r.refers_to for r in full.values() if r.record_type == "revisit")
     assert bytes(full[7].payload).decode() == "é" * 100_000 and full[5].payload is None and full[7].url == "http://é/"
 
 
@@ -110,7 +114,7 @@ def archive(records, dictionary=b"WARC/1.1\r\nWARC-Type: response\r\n"):
 
 
 def test_one_frame_for_each_record():
-    records = [warc.page_record(i, f"http://h/{i}", "x" * i, None, "2024-01-01T00:00:00Z", "0:0:0") for i in range(20)]
+    records = [warc.response_record(i, f"http://h/{i}", b"x" * i, DATE) for i in range(20)]
     data = archive(records)
     for chunk in (1, 7, 1 << 20):
         assert [r for _, r in warc.frames(io.BytesIO(data), chunk) if r is not None] == records
@@ -118,17 +122,58 @@ def test_one_frame_for_each_record():
 
 @pytest.mark.parametrize("broken", [lambda a: a[:6], lambda a: a[:20], lambda a: a[:-3], lambda a: b"\x28" + a[1:], lambda a: a + b"junk"])
 def test_broken_archives(broken):
-    data = archive([warc.page_record(1, "u", "html", None, "2024-01-01T00:00:00Z", "0:0:0")])
+    data = archive([warc.response_record(1, "u", b"html", DATE)])
     with pytest.raises((warc.WarcError, zstandard.ZstdError)):
         list(warc.frames(io.BytesIO(broken(data))))
 
 
+def foreign(kind, block, *headers):
+    return warc.record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{kind}>"), ("WARC-Date", DATE), *headers], block)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """warcinfo, requests, WARC/1.0, repeated and folded headers, compressed or absent dictionaries, payloads of other forms."""
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nhtml\r\n0\r\n\r\n"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", ("Content-Type", "application/warc-fields")),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", ("Content-Type", "application/http;msgtype=request")),
+        foreign("response", http, ("Content-Type", "application/http;msgtype=response"), ("WARC-Target-URI", "http://a/"), ("WARC-Payload-Digest", "sha1:" + warc.sha1_base32(b"html")), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")),
+        foreign("response", b"1.2.3.4", ("Content-Type", "text/dns"), ("WARC-Target-URI", "dns:a"), ("X-Note", "one\r\n two")).replace(b"WARC/1.1", b"WARC/1.0", 1),
+        foreign("revisit", b"", ("WARC-Profile", "p"), ("WARC-Refers-To", "<urn:uuid:response>")),
+    ]
+    dictionary = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    whole = archive(records, dictionary)
+    small = zstandard.ZstdCompressor().compress(dictionary)
+    files = {"plain": whole, "packed": struct.pack("<II", warc.SKIPPABLE, len(small)) + small + whole[8 + len(dictionary) :], "none": b"".join(map(zstandard.ZstdCompressor().compress, records))}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.zst").write_bytes(data)
+        paths = spark.createDataFrame([(f"file://{tmp_path}/{name}.warc.zst",)], "path string")
+        out = [tuple(r) for r in warc.read_archives(spark, paths, with_payload=True).collect()]
+        assert out == [
+            (None, "http://a/", len(http) - http.index(b"4\r\n"), warc.sha1_base32(b"html"), "response", None, "<urn:uuid:response>", None, bytearray(b"4\r\nhtml\r\n0\r\n\r\n")),
+            (None, "dns:a", 7, warc.sha1_base32(b"1.2.3.4"), "response", None, "<urn:uuid:response>", None, bytearray(b"1.2.3.4")),
+            (None, None, None, None, "revisit", None, "<urn:uuid:revisit>", "<urn:uuid:response>", None),
+        ]
+        assert warc.read_archives(spark, paths, kinds=("warcinfo", "request")).count() == 2
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    rows = [(1, "u", "x", b"f"), (1, "u", "x", b"f"), (1, "v", "x", None), (2, "u", "x", None), (1, "u", "y", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, frame binary").selectExpr("*", "1 as sha", "2 as first_id")
+    out = warc.read_archives(spark, warc.write_archives(pages, fresh_path(spark, "warc"))).collect()
+    assert sorted((r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to) for r in out if r.record_type == "response") == sorted((1, u, warc.sha1_base32(h), "response", None) for u, h in [("u", b"x"), ("u", b"x"), ("v", b"x"), ("u", b"y")])
+    (revisit,) = (r for r in out if r.record_type == "revisit")
+    assert (revisit.page_id, revisit.refers_to) == (2, 1) and revisit.refers_to_record in {r.record_id for r in out if r.url == "u" and r.page_id == 1}
+    short = warc.read_archives(spark, warc.write_archives(pages, fresh_path(spark, "warc"), least_revisit=2)).collect()
+    assert {r.record_type for r in short} == {"response"}
+
+
 def test_broken_records():
-    good = warc.page_record(1, "u", "html", None, "2024-01-01T00:00:00Z", "0:0:0")
-    warc._checked(good)
+    good = warc.response_record(1, "u", b"html", DATE)
+    warc.checked(good)
     for bad in (good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"WARC-Date", b"X-Date"), good[:-1], good + b"x", good.replace(b"html\r\n", b"HTML\r\n"), good.replace(b"WARC-Type: response", b"WARC-Type response"), b"", good.replace(b"Content-Length: ", b"Content-Length: -")):
         with pytest.raises(warc.WarcError):
-            warc._checked(bad)
+            warc.checked(bad)
 
 
 def dice(units, threshold=0.8):
@@ -142,13 +187,57 @@ def dice(units, threshold=0.8):
 
 
 def units(text):
+    """All units of a text; windows as lists of paragraphs tried one after the other."""
     low = (text or "").lower()
-    return [*low.split("\n"), *re.split(r"\n[ \t\r]*\n", low), low]
+    paragraphs = [p for p in re.split(license_scan.PARAGRAPH, low) if license_scan.words(p)]
+    found = license_scan.anchors(license_scan.TEMPLATES, 0.8)
+    anchored = lambda u: any(all(w in u for w in a) for a in found)
+    known = set(license_scan.long_bigrams(license_scan.TEMPLATES))
+    end = [anchored(p) and len(license_scan.bigrams(p) & known) >= license_scan.ENDS for p in paragraphs]
+    out = [u for u in (*low.split("\n"), *re.split(license_scan.SENTENCE, low), *re.split(license_scan.PARAGRAPH, low), low) if anchored(u)]
+    for i, p in enumerate(paragraphs):
+        window = p
+        for j in range(i + 1, len(paragraphs)):
+            window += "\n" + paragraphs[j]
+            if len(license_scan.words(window)) > license_scan.window_words(license_scan.TEMPLATES, 0.8):
+                break
+            if end[i] and end[j]:
+                out.append(window)
+    return out
+
+
+def usual(text, mark=""):
+    """A licence in lines of twelve words, its sentences in paragraphs of their own, behind a comment mark."""
+    blocks = [s.split() for s in re.split(r"(?<=[.:]) (?=[A-Z0-9])", text)]
+    return f"\n{mark.rstrip()}\n".join("\n".join(mark + " ".join(b[i : i + 12]) for i in range(0, len(b), 12)) for b in blocks)
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "GPL-3.0-or-later", "Apache-2.0"])
+def test_full_texts_inside_longer_ones(spark, name):
+    """In paragraphs between prose, above code, in line comments and in a block comment, with a holder's name before."""
+    text = max((t for n, t in license_scan.TEMPLATES if n == name), key=len)
+    code = "\n\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(60))
+    head = "Copyright (c) 2020, Someone\n\n"
+    texts = [
+        "A long story.\n\n" * 50 + usual(text) + "\n\nIt goes on.\n" * 50,
+        head + usual(text) + "\n\n" + code,
+        "#!/bin/sh\n#\n# Copyright 2020\n#\n" + usual(text, "# ") + "\n\n" + code,
+        "/*\n * Copyright 2020 X\n *\n" + usual(text, " * ") + "\n */\n" + code,
+        "// " + text + "\n" + code,
+    ]
+    out = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.license == name and r.dice > 0.9} == set(range(len(texts)))
+
+
+def test_a_notice_inside_a_line(spark):
+    out = license_scan.scan_licenses(spark.createDataFrame([(1, "Great tool for all of us here! Released under the MIT License. See the notes below for how to build it."), (2, "the software licensed here is no licence at all")], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license, r.dice) for r in out] == [(1, "MIT", 1.0)]
 
 
 def test_licences_match_all_units_and_templates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = [(10**6 + i, f"intro words\n\n{t.replace(' the ', ' this ', 1)}\n\nmore") for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(10**7, None), (10**7 + 1, ""), (10**7 + 2, "license"), (10**7 + 3, "all rights reserved but these")]
+    extra += [(10**8 + i, f"prose before\n\n{usual(t, mark)}\n\nint main() {{}}\n\nmore code of the software") for i, (t, mark) in enumerate((t, m) for _, t in license_scan.TEMPLATES for m in ("", "# "))]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {(r.doc_id, r.license): (round(r.dice, 9), r.units) for r in license_scan.scan_licenses(both).collect()}
     want = {(r.doc_id, name): (round(x, 9), n) for r in both.collect() for name, (x, n) in dice(units(r.text)).items()}
