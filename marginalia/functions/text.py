@@ -17,11 +17,11 @@ ASPECT_KEYWORDS = [
     ("related_work", [r"\brelated work", r"\bmissing (?:citation|reference)", r"\bprior work", r"\bfails? to cite", r"\bliterature"]),
     ("significance", [r"\bsignifican", r"\bimpact", r"\bpractical (?:use|value|relevance)", r"\bmotivat", r"\bwhy .{0,30}(?:matter|important)", r"\bnot useful"]),
 ]
-# Patterns, limits and names of reviews, decisions and invitations.
-BULLET = r"(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+"
+# Patterns, limits and names of reviews, decisions and invitations. Lines end with line feeds alone (d).
+BULLET = r"(?md)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
-WEAK_HEAD = r"(?im)^[ \t]*(?:\*{0,2}|#{0,3})[ \t]*(?:cons|weakness(?:es)?|limitations?|drawbacks?|concerns?|criticisms?|negatives?|issues?)\b[ \t]*:?[ \t]*"
-STRONG_HEAD = r"(?im)^[ \t]*(?:\*{0,2}|#{0,3})[ \t]*(?:pros|strengths?|positives?|advantages?|summary|questions?)\b[ \t]*:?[ \t]*"
+WEAK_HEAD = r"(?imd)^[ \t]*(?:\*{0,2}|#{0,3})[ \t]*(?:cons|weakness(?:es)?|limitations?|drawbacks?|concerns?|criticisms?|negatives?|issues?)\b[ \t]*:?[ \t]*"
+STRONG_HEAD = r"(?imd)^[ \t]*(?:\*{0,2}|#{0,3})[ \t]*(?:pros|strengths?|positives?|advantages?|summary|questions?)\b[ \t]*:?[ \t]*"
 MIN_POINT_CHARS, MAX_POINTS, MIN_SECTION_CHARS = 25, 12, 40
 ACCEPT_PATTERNS = [(r"\boral\b", "accept-oral"), (r"\bspotlight\b", "accept-spotlight"), (r"\bposter\b", "accept-poster"), (r"\bnotable\b", "accept-notable"), (r"\baccept", "accept")]
 INVITATION_KINDS = [("Camera_Ready_Revision", "camera_ready"), ("Rebuttal_Revision", "rebuttal"), ("Desk_Rejection", "withdrawal"), ("Withdrawal", "withdrawal"), ("Revision", "revision"), ("Submission", "submission")]
@@ -123,9 +123,9 @@ def split_points(text: Column) -> Column:
 
 def weakness_section(text: Column) -> Column:
     """The bodies under weakness headings, each up to the next heading, joined by line feeds; null if none is long enough."""
-    marked = F.regexp_replace(F.regexp_replace(text, WEAK_HEAD, "␞W"), STRONG_HEAD, "␞S")
-    parts = F.filter(F.split(marked, "␞"), lambda p: p.startswith("W"))
-    bodies = F.transform(parts, lambda p: F.regexp_replace(F.substring(p, 2, 1 << 30), r"^\s+|\s+$", ""))
+    marked = F.regexp_replace(F.regexp_replace(text, WEAK_HEAD, "␞W␟"), STRONG_HEAD, "␞S␟")
+    parts = F.filter(F.split(marked, "␞"), lambda p: p.startswith("W␟"))
+    bodies = F.transform(parts, lambda p: F.regexp_replace(F.substring(p, 3, 1 << 30), r"^\s+|\s+$", ""))
     bodies = F.filter(bodies, lambda b: F.length(b) >= MIN_SECTION_CHARS)
     return F.when(F.size(bodies) > 0, F.array_join(bodies, "\n"))
 

@@ -42,13 +42,13 @@ def edit_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-  s AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+')) >= 2 THEN {_BULLETS} ELSE {_SPLIT} END AS p FROM d),
-  q AS (SELECT doc_id, list_concat(list_transform(p, lambda t: struct_pack(t := t, s := CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE 'weakness' END)), [struct_pack(t := 'Why is there no baseline of the usual size here?', s := 'question')])[1:12] AS p FROM s),
+  s AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?m)^\s*(?:[-*•·▪]|\(?\d+[.)]|\(?[a-z][.)])\s+')) >= 2 THEN {_BULLETS} ELSE {_SPLIT} END AS p, regexp_matches(text, '{T.WEAK_HEAD.replace("(?imd)", "(?im)")}') AS headed FROM d),
+  q AS (SELECT doc_id, list_concat(list_transform(p, lambda t: struct_pack(t := t, s := CASE WHEN doc_id % 2 = 0 AND NOT headed THEN 'unknown' ELSE 'weakness' END)), [struct_pack(t := 'Why is there no baseline of the usual size here?', s := 'question')])[1:12] AS p FROM s),
   x AS (SELECT doc_id, unnest(p) AS p, unnest(range(len(p))) AS n FROM q), y AS (SELECT doc_id, n, p.s AS s, lower(p.t) AS low FROM x)
   SELECT doc_id, string_agg(s || ':' || CASE {_ASPECT} ELSE 'other' END, ',' ORDER BY n) AS points FROM y GROUP BY 1""")
 def extracted_points(spark: SparkSession, sf: str) -> DataFrame:
     """The points of reviews with sentiment and aspect; what can't be told apart in an unsplit one is unknown."""
-    points = T.review_points(F.coalesce("text", F.lit("")), F.lit("Why is there no baseline of the usual size here?"), F.col("doc_id") % 2 == 0)
+    points = T.review_points(F.coalesce("text", F.lit("")), F.lit("Why is there no baseline of the usual size here?"), (F.col("doc_id") % 2 == 0) & ~F.coalesce(F.col("text").rlike(T.WEAK_HEAD), F.lit(False)))
     return tb.read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(points, lambda p: F.concat_ws(":", p["sentiment"], p["aspect"])), ",").alias("points"))
 
 

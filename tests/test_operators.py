@@ -36,6 +36,7 @@ def test_points(spark):
     section = one(spark, T.weakness_section(F.lit(body)))
     assert section.startswith("the experiments") and "Questions" not in section
     assert one(spark, T.weakness_section(F.lit("Cons: short"))) is None
+    assert one(spark, T.weakness_section(F.lit("What follows has no heading at all, whatever letter it begins with."))) is None
     points = one(spark, T.review_points(F.lit("No heading here but a long sentence about it. Another one that is long enough."), F.lit("Is there a question that is long enough?"), F.lit(True)))
     assert [p.sentiment for p in points] == ["unknown", "unknown", "question"]
 
