@@ -192,7 +192,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, thre
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, threshold: float = 0.5, block_words: int = 1 << 20) -> DataFrame:
     """(id_col, item_col, score): each text and item of which at least threshold stands in the text.
 
-    Words are runs of letters and digits with A-Z lower-cased. score is the alignment's score over the item's score
+    Words are runs of ASCII letters and digits and of all other characters outside ASCII, with A-Z lower-cased. score is the alignment's score over the item's score
     against itself: 1 for an exact copy. Every pair that reaches the threshold is found, however many texts hold the item.
     The benchmark is a set of queries, met with all texts in blocks of block_words words, so what is sent to the
     executors is bounded.
