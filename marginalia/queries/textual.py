@@ -20,9 +20,8 @@ _BULLETS = r"list_filter(list_transform(regexp_split_to_array(text, '(?m)^\s*(?:
   SELECT doc_id, len(p) AS points, coalesce(list_sum(list_transform(p, lambda x: length(x))), 0)::BIGINT AS chars FROM s""")
 def sentence_points(spark: SparkSession, sf: str) -> DataFrame:
     """points of texts, by their bullets or sentences."""
-    d = tb.read(spark, sf, "documents")
-    p = T.split_points(F.col("text"))
-    return d.select("doc_id", F.size(p).cast("bigint").alias("points"), F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x)).alias("chars"))
+    d = tb.read(spark, sf, "documents").select("doc_id", T.split_points(F.col("text")).alias("p"))  # once, for both columns
+    return d.select("doc_id", F.size("p").cast("bigint").alias("points"), F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + F.length(x)).alias("chars"))
 
 
 _SENTENCES = ["The baselines are weak and SOTA is missing.", "Limited novelty; it is incremental.", "Unclear how to set hyperparameters.", "The proof is wrong.", "No ImageNet results.", "Typos everywhere.", "It fails to cite prior work.", "The impact is small.", "I like it."]
