@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia import tables as tb
@@ -10,7 +13,9 @@ from marginalia.operators import layout
 from marginalia.plans import enrichment, story
 from marginalia.queries.registry import query
 from marginalia.queries.textual import _ASPECT, _BULLETS, _SPLIT
+from marginalia.session import checkpoint_dir
 from marginalia.sources import harvest
+from marginalia.streaming import ingest
 
 
 @query("""SELECT c_custkey::VARCHAR AS id, c_name || ' of ' || c_mktsegment AS title, '2020-01-0' || (1 + c_custkey % 9) AS created, 2 AS categories FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0""")
@@ -93,3 +98,56 @@ def enriched_papers(spark: SparkSession, sf: str) -> DataFrame:
     external = c.select(F.col("c_custkey").alias("ext_id"), F.concat(F.lit("1-urgent A Title of: many words "), F.col("c_custkey").cast("string")).alias("title"), F.lit(None).cast("int").alias("created_year"), none.alias("surnames"))
     citations = c.filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("ext_id"), F.floor("c_acctbal").alias("citation_count"))
     return enrichment.enriched(papers, external, citations).select("id", "ext_id", "citation_count", F.round("percentile", 6).alias("percentile"))
+
+
+def _landed(spark: SparkSession, sf: str) -> str:
+    """Customers as gzipped JSON lines, some of them blank, in a new folder of the shared one."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    lines = F.explode(F.when(F.col("c_custkey") % 10 == 0, F.array(line, F.lit(""))).otherwise(F.array(line)))
+    tb.read(spark, sf, "customer").select(lines.alias("value")).write.option("compression", "gzip").text(path)
+    return path
+
+
+_CUSTOMERS = "SELECT c_custkey AS id, c_name AS name FROM customer"
+
+
+@query(_CUSTOMERS)
+def landed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of gzipped JSON lines, blank ones skipped."""
+    return harvest.json_lines(spark, _landed(spark, sf), "id long, name string")
+
+
+@query(_CUSTOMERS)
+def ingested(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream of landed files has brought in; its second run finds nothing new."""
+    source = _landed(spark, sf)
+    for _ in range(2):
+        ingest.ingest_new(spark, source, "id long, name string", f"{source}-table", f"{source}-state").awaitTermination()
+    return spark.read.schema("id long, name string").parquet(f"{source}-table")
+
+
+def note_page(offset: int, limit: int) -> list[tuple[str, str]]:
+    """A page of a made-up service of 2345 notes."""
+    return [(f"n{i}", json.dumps({"n": i % 7})) for i in range(offset, min(offset + limit, 2345))]
+
+
+@query("""SELECT 'n' || i AS id, (i % 7)::BIGINT AS n FROM range(2345) t(i)""")
+def paged_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages of an offset-paginated service, a task for each."""
+    spark.dataSource.register(harvest.PagedNotes)
+    notes = spark.read.format("paged_notes").options(fetch=f"{__name__}:note_page", total="2345").load()
+    return notes.select("id", F.get_json_object("content", "$.n").cast("bigint").alias("n"))
+
+
+def title_page(part: str, token: str) -> tuple[list[str], str]:
+    """A page of a made-up search in three parts, of 100 to 300 records."""
+    start, end = int(token or 0), 100 * int(part)
+    return [f"{part}-{i}" for i in range(start, min(start + 40, end))], str(start + 40) if start + 40 < end else ""
+
+
+@query("""SELECT p || '-' || i AS content, p::VARCHAR AS part, (i // 40)::INT AS page FROM range(1, 4) a(p) JOIN range(300) t(i) ON i < 100 * p""")
+def token_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that name the next one by a token, part by part."""
+    spark.dataSource.register(harvest.TokenPages)
+    return spark.read.format("token_pages").options(fetch=f"{__name__}:title_page", parts='{"1": "", "2": "", "3": ""}').load().select("content", "part", "page")
