@@ -95,3 +95,16 @@ def test_null_ids_repeated_ids_and_no_label(spark):
     assert plain(stage["secrets"](spark, docs, SF)) == sorted(repr(r) for r in rows if r[1] != secret)
     blank = spark.createDataFrame([(i, t, None, "s", 0) for i, t in [(8, ""), (8, ""), (8, " "), (9, ""), (9, None), (9, None), (None, None), (None, None)]], schema)
     assert plain(stage["near_duplicates"](spark, blank, SF)) == sorted(map(repr, [(8, ""), (8, " "), (9, ""), (9, None), (None, None)]))
+
+
+def test_columns_with_clashing_names(spark):
+    """Extra columns named like those that stages work with come through each filtering stage unchanged."""
+    names = ("_row", "_row_", "score", "lang_pred", "id", "h", "cls", "bands", "spans", "component_id", "n_shingles", "first", "blank")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    for n, name in enumerate(names):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + n)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert all(r[c] == r.doc_id * 100 + n for r in out.collect() for n, c in enumerate(names)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == 60
