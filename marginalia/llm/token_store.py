@@ -20,10 +20,11 @@ from marginalia.llm.tokens import encoder
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, files: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, files: int | None = None, file_bytes: int = 128 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
     """Encode each text (null: empty) and its end id, and write the store in ascending id order.
 
-    Rows that repeat an id stand one after the other in text order; null ids come first. An empty table gives a store
+    There is a file for each file_bytes of text, but while tasks of a 32nd of that aren't enough for the cluster's cores, as
+    many as there are such. Rows that repeat an id stand one after the other in text order; null ids come first. An empty table gives a store
     without rows.
     """
 
@@ -41,8 +42,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
                 at += len(ids)
 
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if files is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(1, -(-size // file_bytes), min(spark.sparkContext.defaultParallelism, -(-32 * size // file_bytes)))
     rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     options = {
         "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true",

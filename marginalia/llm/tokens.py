@@ -2,7 +2,8 @@
 
 The pre-tokenizers of both vocabularies cut a text at places that don't depend on what stands further off. Texts are
 cut there (and only at places where the cut is certain), each distinct chunk is encoded once by the library, and its ids
-are kept in a table of fixed size. Texts for which the cuts are not certain are encoded whole by the library.
+are kept in a table of fixed size. Chunks are told apart by 64-bit hashes of their bytes and length, not by the bytes: among the
+2^21 chunks that a table holds two fall together with a chance of about 1e-7. Texts for which the cuts are not certain are encoded whole by the library.
 """
 
 from __future__ import annotations
