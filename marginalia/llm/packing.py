@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from marginalia.llm.storage import written
 from marginalia.llm.tokens import encoder
 
+#: Bins of a shard that may be found stuck before its search ends.
+PATIENCE = 8
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -83,11 +85,11 @@ class Bins:
     def least(self) -> int:
         return -(-int(self.sizes.sum()) // self.capacity)
 
-    def search(self) -> None:
+    def search(self, patience: int = PATIENCE) -> None:
         """Empty the emptiest bins by exchanges that move fill into fuller ones, as long as a bin can be emptied.
 
         Every exchange takes tokens from the emptiest bin to a bin at least as full, so the sum of squared fills grows
-        with each and the search ends.
+        with each and the search ends; it also ends once patience bins, from the emptiest on, let no exchange out.
         """
         stuck: set[int] = set()
         while sum(1 for b in self.items if b) > self.least():
@@ -100,7 +102,7 @@ class Bins:
                 stuck.clear()  # what did not fit before may do so now
             if self.items[source]:
                 stuck.add(source)
-                if len(stuck) > 8:
+                if len(stuck) >= patience:
                     return
 
     def _exchange(self, a: int) -> bool:
@@ -152,14 +154,14 @@ class Bins:
         return True
 
 
-def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacity: int, patience: int = PATIENCE) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each item and its place there."""
     sizes = np.asarray(lengths, np.int64)
     bin_of, place = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     part = np.flatnonzero(sizes < capacity)
     full = np.flatnonzero(sizes >= capacity)
     bins = Bins(sizes[part], capacity)
-    bins.search()
+    bins.search(patience)
     number = 0
     for b in bins.items:
         at = 0
@@ -171,12 +173,12 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bin_of, place
 
 
-def _packer(capacity: int, level: int, reopen: int):
+def _packer(capacity: int, level: int, reopen: int, patience: int):
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
         shard = table.column("shard")[0].as_py()
         lengths = table.column("length").to_numpy()
-        bin_of, place = pack(lengths, capacity)
+        bin_of, place = pack(lengths, capacity, patience)
         fill = np.bincount(bin_of, lengths)
         weak = np.argsort(fill, kind="stable")[:reopen]
         weak = weak[fill[weak] < capacity]
@@ -187,15 +189,20 @@ def _packer(capacity: int, level: int, reopen: int):
     return work
 
 
-def packed(cut_pieces: DataFrame, capacity: int = 1024, *, shard_items: int = 2000, merge: int = 64, reopen: int = 6) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (id, piece, length, ...), which must be cheap to read again."""
+def packed(cut_pieces: DataFrame, capacity: int = 1024, *, shard_items: int = 2000, merge: int = 64, reopen: int = 6, patience: int = PATIENCE) -> DataFrame:
+    """Add sequence_id and offset to a table of pieces (id, piece, length, ...), which must be cheap to read again.
+
+    Pieces are dealt to shards by a hash of id, piece and place, so that null and repeated ids are spread too. The reopen
+    emptiest bins of each shard are packed again together with those of merge - 1 other shards, and so on. A shard's
+    search ends after patience stuck bins: none of these numbers drops a piece, they only bound the work on the last bins.
+    """
     count = cut_pieces.count()
     shards = max(1, -(-count // shard_items))
-    todo = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
+    todo = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema.fields) + ", sequence_id long, offset long, weak boolean"
     done, level = [], 0
     while True:
-        level_out = written(todo.groupBy("shard").applyInArrow(_packer(capacity, level, reopen), schema), "packed")
+        level_out = written(todo.groupBy("shard").applyInArrow(_packer(capacity, level, reopen, patience), schema), "packed")
         if shards == 1:
             done.append(level_out)
             break
