@@ -3,7 +3,8 @@
 From each rule's pattern a Boolean query over trigrams is derived that every matching text satisfies. The index is
 partitioned by document: each Arrow batch is a segment with its own postings, so nothing is shuffled and a lost
 executor costs no more than its tasks. A rule runs only over the texts its query leaves; a rule without mandatory
-trigrams runs over all texts.
+trigrams runs over all texts. The pattern's syntax tree is the one of Python's own re package, whose parser modules are not
+part of its documented interface.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ MORE = (
 )
 RULES = BASE + MORE
 
-#: A query is True (any text), a trigram, or ("and" | "or", queries).
+#: A query is True (any text), a trigram of UTF-8 bytes with A-Z lower-cased, or ("and" | "or", queries).
 MOST_STRINGS = 64
 
 
@@ -66,18 +67,23 @@ def _any_of(parts: list) -> object:
     return True if not parts or True in parts else parts[0] if len(parts) == 1 else ("or", tuple(parts))
 
 
+def _low(code_point: int) -> str:
+    """A character with A-Z lower-cased, as the index has it."""
+    return chr(code_point + 32 if 65 <= code_point <= 90 else code_point)
+
+
 def _of_strings(strings: set[str]) -> object:
     """Any text that holds one of the strings."""
-    return _any_of([_all_of([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    return _any_of([_all_of([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(x.encode("utf-8", "surrogatepass") for x in strings)])
 
 
 def _strings(node) -> set[str] | None:
     """All strings that a node can match, lower-cased, if they are few."""
     op, arg = node
     if op is sre.LITERAL:
-        return {chr(arg).lower()}
+        return {_low(arg)}
     if op is sre.IN and all(x[0] is sre.LITERAL for x in arg) and len(arg) <= 8:
-        return {chr(x[1]).lower() for x in arg}
+        return {_low(x[1]) for x in arg}
     if op is sre.SUBPATTERN:
         return _joined(arg[3])
     if op is sre.BRANCH:
@@ -134,16 +140,16 @@ def trigram_query(pattern: str) -> object:
     return _query(sre_parser.parse(pattern))
 
 
-def _trigrams(query: object) -> set[str]:
-    return set() if query is True else {query} if isinstance(query, str) else set().union(*map(_trigrams, query[1]))
+def _trigrams(query: object) -> set[bytes]:
+    return set() if query is True else {query} if isinstance(query, bytes) else set().union(*map(_trigrams, query[1]))
 
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
 
-def code(trigram: str) -> int:
-    a, b, c = trigram.encode()
+def code(trigram: bytes) -> int:
+    a, b, c = trigram
     return a << 16 | b << 8 | c
 
 
@@ -172,7 +178,7 @@ def matching_rows(query: object, index: dict[int, np.ndarray], rows: int) -> np.
     """Rows that satisfy a query."""
     if query is True:
         return np.arange(rows)
-    if isinstance(query, str):
+    if isinstance(query, bytes):
         return index.get(code(query), np.zeros(0, np.int64))
     parts = [matching_rows(q, index, rows) for q in query[1]]
     if query[0] == "or":

@@ -62,8 +62,8 @@ def test_more_kinds(spark):
 def satisfied(query, text):
     if query is True:
         return True
-    if isinstance(query, str):
-        return query in text.lower()
+    if isinstance(query, bytes):
+        return query in text.encode("utf-8", "surrogatepass").lower()
     return (all if query[0] == "and" else any)(satisfied(q, text) for q in query[1])
 
 
@@ -75,11 +75,34 @@ def test_trigram_queries_miss_no_match(rule, data):
     assert satisfied(s.trigram_query(rule.pattern), text)
 
 
+def test_rules_outside_ascii(spark):
+    """Letters of two to four bytes in a rule, with and without case, next to what only looks alike."""
+    rules = (s.Rule("cle", "clé=[a-z]+"), s.Rule("Cle", "CLÉ:[a-z]+", True), s.Rule("ja", "鍵[:=][0-9]{3,}"), s.Rule("e", "É"), s.Rule("smile", "[😀😁]x"))
+    texts = ["clé=abc", "cle=abc", "clÉ:x CLÉ:yz clé:no", "鍵=123 鍵=12", "é É", "😀x 😂x 😁y", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in s.scan_secrets(df, rules=rules).collect()}
+    want = {i: sorted((m.start(), n, r.kind, m.end()) for n, r in enumerate(rules) for m in r.compiled().finditer(t or "")) for i, t in enumerate(texts)}
+    assert out == {i: [(kind, a, b) for a, _, kind, b in found] for i, found in want.items()}
+    assert sum(map(len, out.values())) == 8
+
+
+def test_very_long_texts_and_ties(spark):
+    """Matches at both ends and across every inner boundary; several kinds that begin at one place come in rule order."""
+    long = "password=abcdefgh " + "filler words " * 300_000 + "token=0123456789abcdef0123456789abcdef"
+    tied = "0123456789abcdef" * 3
+    rules = (*s.BASE, s.Rule("digits", "[0-9]{10}"), s.Rule("all", "[0-9a-f]{48}"))
+    df = spark.createDataFrame([(1, long), (2, tied)], "doc_id long, text string")
+    out = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in s.scan_secrets(df, rules=rules).collect()}
+    n = len(long)
+    assert out[1] == [("assign", 0, 17), ("assign", n - 38, n), ("hex", n - 32, n), ("digits", n - 32, n - 22), ("digits", n - 16, n - 6)]
+    assert out[2] == [("hex", 0, 48), ("digits", 0, 10), ("all", 0, 48), ("digits", 16, 26), ("digits", 32, 42)]
+
+
 def test_trigram_queries():
-    assert s.trigram_query("abcd") == ("and", ("abc", "bcd"))
-    assert s.trigram_query("abc|xyz") == ("or", ("abc", "xyz"))
+    assert s.trigram_query("abcd") == ("and", (b"abc", b"bcd"))
+    assert s.trigram_query("abc|xyz") == ("or", (b"abc", b"xyz"))
     assert s.trigram_query("[0-9a-f]+") is True  # scans all
-    assert s.trigram_query("abc.*xyz") == ("and", ("abc", "xyz"))
+    assert s.trigram_query("abc.*xyz") == ("and", (b"abc", b"xyz"))
     assert s.trigram_query(s.BASE[0].pattern) is not True
 
 
