@@ -67,8 +67,11 @@ def _log_choose(n: Column, k: Column) -> Column:
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     """P(X >= k) for n trials of chance p, k over n counting as n; 1 where n or p is not valid."""
     k, n = F.least(k.cast("int"), n.cast("int")), n.cast("int")
-    term = lambda i: F.exp(_log_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    total = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda s, i: s + term(i))
+    first = _log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p)
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("log"))
+    # each term from the one before: the last step's logarithm of zero is null and never used
+    step = lambda s, i: F.struct((s["sum"] + F.exp(s["log"])).alias("sum"), (s["log"] + F.log((n - i) / (i + 1)) + F.log(p / (1 - p))).alias("log"))
+    total = F.aggregate(F.sequence(k, n), start, step)["sum"]
     return F.when((n <= 0) | (p <= 0) | (p >= 1) | (k <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
