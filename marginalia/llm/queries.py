@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_templates, op6_warc_archives, op7_license_scan, op8_minhash_near_dedup, op9_token_store, op10_secret_scan)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import langid, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.filter(~toxicity.held_out())
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out()).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.score_texts(docs, toxicity.train(learned.join(labels, "doc_id"), langid.train(learned)))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "lang_told")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.fill_middle import digest, fill_in_middle
+
+    return digest(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+_ALL = (
+    op1_benchmark_decontamination, op2_hyperdimensional_langid, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_templates, op6_warc_archives, op7_license_scan,
+    op8_minhash_near_dedup, op9_token_store, op10_secret_scan, op11_ranked_search, op12_toxicity, op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _BITS = "".join(f"{' + ' if n else ''}{16 >> n} * substr(bits, 5 * i + {n + 1}, 1)::INT" for n in range(5))
 
@@ -127,4 +153,20 @@ ORACLES: dict[str, str] = {
       SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), '') AS payload_digest,
       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM h""",
     "op7_license_scan": _license_oracle(),
+    "op11_ranked_search": r"""WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+      cut AS (SELECT r, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM lowered WHERE low IS NOT NULL),
+      sized AS (SELECT r, doc_id, t, len(t)::BIGINT AS n FROM cut WHERE len(t) > 0), s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS l FROM sized),
+      items AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE text IS NOT NULL),
+      asked AS (SELECT q, item_id, unnest(t) AS term FROM items), terms AS (SELECT DISTINCT term FROM asked),
+      tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM sized) SEMI JOIN terms USING (term) GROUP BY ALL),
+      w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf CROSS JOIN s GROUP BY term, n_docs),
+      scored AS (SELECT q, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // l))))::BIGINT AS score FROM asked JOIN tf USING (term) JOIN w USING (term) CROSS JOIN s GROUP BY ALL)
+      SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_fill_in_middle": r"""WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+      d AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM h),
+      c AS (SELECT doc_id, text, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+      p AS (SELECT *, coalesce(array_to_string(u[1:lo], ''), '') AS pre, coalesce(array_to_string(u[lo + 1:hi], ''), '') AS mid, coalesce(array_to_string(u[hi + 1:], ''), '') AS suf FROM c)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }

@@ -27,11 +27,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df as Parquet, by the writer's options, to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._marginalia_path = path
     return out
