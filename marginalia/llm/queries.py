@@ -93,7 +93,7 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = docs.filter(~toxicity.held_out())
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out()).select("doc_id", F.col("toxic").alias("label"))
-    found = toxicity.score_texts(docs, toxicity.train(learned.join(labels, "doc_id"), langid.train(learned)))
+    found = toxicity.score_texts(docs, toxicity.train(learned, labels, langid.train(learned)))
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "lang_told")
 
 
