@@ -33,19 +33,22 @@ def consume_titles(targets: DataFrame, pages: DataFrame) -> DataFrame:
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("target_id").orderBy("arrival"))).filter("n = 1").select("target_id", "ext_id")
 
 
-def pairs_by_key(rows: DataFrame, key: str, method: str, confidence: float, most: int = 1000) -> DataFrame:
-    """Unordered pairs (a < b) of ids with an equal key, null and empty keys aside.
+def pairs_by_key(rows: DataFrame, key: str, method: str, confidence: float, *, every: bool = False) -> DataFrame:
+    """Links between rows (id, venue, year) of one key that differ in venue or year; null and empty keys aside.
 
-    A key of over most ids gives a pair of each id with the smallest, which links the same ids with one another: pairs grow with
-    the rows and not with the square of a hot key.
+    Each row is linked with the smallest id of every other (venue, year) of its key. So links grow with the rows, each row that
+    any other may be linked with has a link, and the same rows reach one another as if all pairs were linked. With every
+    all those pairs are given (a < b), whose number grows with the square of a key. Columns: a, b, vy_a, vy_b, method, confidence;
+    a pair may come twice.
     """
-    a = rows.filter(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("id").alias("a"), key)
-    sizes = a.groupBy(key).agg(F.count("*").alias("n"), F.min("a").alias("first")).filter("n > 1")
-    a = a.join(sizes, key)
-    few = a.filter(F.col("n") <= most)
-    pairs = few.select("a", key).join(few.select(F.col("a").alias("b"), key), key).filter("a < b").select("a", "b")
-    pairs = pairs.unionByName(a.filter((F.col("n") > most) & (F.col("a") > F.col("first"))).select(F.col("first").alias("a"), F.col("a").alias("b")))
-    return pairs.select("a", "b", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
+    mine = rows.filter(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col("id").alias("a"), F.struct("venue", "year").alias("vy_a"), F.col(key).alias("key"))
+    other = mine.select(F.col("a").alias("b"), F.col("vy_a").alias("vy_b"), "key")
+    if not every:
+        other = other.groupBy("key", "vy_b").agg(F.min("b").alias("b"))
+    pairs = mine.join(other, "key").filter("vy_a <> vy_b" + (" AND a < b" if every else ""))
+    swap = F.col("a") > F.col("b")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("vy_a", "vy_b").alias("vy_a"), either("vy_b", "vy_a").alias("vy_b"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
 
 
 def similar_titles(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -70,19 +73,16 @@ def similar_titles(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def merged_links(*found: DataFrame) -> DataFrame:
-    """Pairs (a, b, method, confidence) from methods in falling priority: the first method that has a pair keeps it."""
+    """Pairs from pairs_by_key(), by methods in falling priority: the first method that has a pair keeps it."""
     out = None
     for n, df in enumerate(found):
         df = df.withColumn("priority", F.lit(n))
         out = df if out is None else out.unionByName(df)
-    best = Window.partitionBy("a", "b").orderBy("priority", F.desc("confidence"))
-    return out.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n", "priority")
+    return out.groupBy("a", "b").agg(F.min_by(F.struct("vy_a", "vy_b", "method", "confidence"), F.struct("priority", -F.col("confidence"))).alias("x")).select("a", "b", "x.*")
 
 
-def oriented(links: DataFrame, papers: DataFrame, first_venue: str) -> DataFrame:
-    """Links from the earlier to the later paper by (year, first_venue before others); pairs of one venue and year are out."""
-    key = F.struct("year", (F.col("venue") != first_venue).cast("int").alias("v"))
-    k = papers.select("id", key.alias("k"), F.struct("venue", "year").alias("vy"))
-    both = links.join(k.select(F.col("id").alias("a"), F.col("k").alias("ka"), F.col("vy").alias("va")), "a").join(k.select(F.col("id").alias("b"), F.col("k").alias("kb"), F.col("vy").alias("vb")), "b").filter("va <> vb")
-    keep = F.col("ka") <= F.col("kb")
-    return both.select(F.when(keep, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(keep, F.col("b")).otherwise(F.col("a")).alias("later"), "method", "confidence")
+def oriented(links: DataFrame, first_venue: str) -> DataFrame:
+    """Links from the earlier to the later paper by (year, first_venue before others)."""
+    place = lambda c: F.struct(F.col(f"{c}.year"), (F.col(f"{c}.venue") != first_venue).cast("int"))
+    keep = place("vy_a") <= place("vy_b")
+    return links.select(F.when(keep, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(keep, F.col("b")).otherwise(F.col("a")).alias("later"), "method", "confidence")

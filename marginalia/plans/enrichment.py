@@ -20,10 +20,11 @@ def enriched(papers: DataFrame, external: DataFrame, citations: DataFrame) -> Da
     return citation_percentile(fill(papers, found, "id", "ext_id").join(counts, "ext_id", "left"))
 
 
-def version_links(papers: DataFrame, first_venue: str) -> DataFrame:
-    """(earlier, later, method, confidence) of papers with one external id, else with one normalised title.
+def version_links(papers: DataFrame, first_venue: str, *, every: bool = False) -> DataFrame:
+    """(earlier, later, method, confidence) of papers with one external id, else with one normalised title, in another venue or year.
 
-    papers: id, ext_id, norm_title, venue, year.
+    papers: id, ext_id, norm_title, venue, year. Each paper is linked with one of every other venue and year that shares its
+    key, or with every such paper, as in pairs_by_key().
     """
-    found = merged_links(pairs_by_key(papers, "ext_id", "arxiv", 1.0), pairs_by_key(papers, "norm_title", "exact", 0.95))
-    return oriented(found, papers, first_venue)
+    found = merged_links(pairs_by_key(papers, "ext_id", "arxiv", 1.0, every=every), pairs_by_key(papers, "norm_title", "exact", 0.95, every=every))
+    return oriented(found, first_venue)

@@ -47,11 +47,11 @@ _LINKS = f"""{tb.PAPERS}, k1 AS (SELECT a.id AS a, b.id AS b, 'arxiv_id' AS meth
     FROM m JOIN papers x ON x.id = a JOIN papers y ON y.id = b WHERE (x.venue, x.year) <> (y.venue, y.year))"""
 
 
-def _links(spark: SparkSession, sf: str) -> DataFrame:
+def _links(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     p = tb.papers(spark, sf)
-    by_venue = match.pairs_by_key(p.withColumn("key", F.concat_ws("|", F.col("author_id").cast("string"), "venue")), "key", "arxiv_id", 1.0)
-    by_year = match.pairs_by_key(p.withColumn("key", F.concat_ws("|", F.col("author_id").cast("string"), F.col("year").cast("string"))), "key", "title_exact", 0.95)
-    return match.oriented(match.merged_links(by_venue, by_year), p, "1-URGENT")
+    by_venue = match.pairs_by_key(p.withColumn("key", F.concat_ws("|", F.col("author_id").cast("string"), "venue")), "key", "arxiv_id", 1.0, every=every)
+    by_year = match.pairs_by_key(p.withColumn("key", F.concat_ws("|", F.col("author_id").cast("string"), F.col("year").cast("string"))), "key", "title_exact", 0.95, every=every)
+    return match.oriented(match.merged_links(by_venue, by_year), "1-URGENT")
 
 
 @query(f"WITH {_LINKS} SELECT * FROM links")
@@ -60,6 +60,17 @@ def submission_links(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).select("earlier", "later", "method", "confidence")
 
 
+@query(f"""WITH {tb.PAPERS}, v AS (SELECT DISTINCT author_id, venue, year, min(id) OVER (PARTITION BY author_id, venue, year) AS b FROM papers),
+  k AS (SELECT id, v.b, 'arxiv_id' AS method, 0 AS p FROM papers p JOIN v ON v.author_id = p.author_id AND v.venue = p.venue AND v.year <> p.year
+    UNION ALL SELECT id, v.b, 'title_exact', 1 FROM papers p JOIN v ON v.author_id = p.author_id AND v.year = p.year AND v.venue <> p.venue),
+  m AS (SELECT least(id, b) AS a, greatest(id, b) AS b, arg_min(method, p) AS method FROM k GROUP BY 1, 2),
+  o AS (SELECT a, b, method, (x.year, (x.venue <> '1-URGENT')::INT) <= (y.year, (y.venue <> '1-URGENT')::INT) AS keep FROM m JOIN papers x ON x.id = a JOIN papers y ON y.id = b)
+  SELECT CASE WHEN keep THEN a ELSE b END AS earlier, CASE WHEN keep THEN b ELSE a END AS later, method FROM o""")
+def link_stars(spark: SparkSession, sf: str) -> DataFrame:
+    """The same links by one paper of each venue and year, which grow with the papers and join the same ones."""
+    return _links(spark, sf, every=False).select("earlier", "later", "method")
+
+
 @query(f"WITH {_LINKS} SELECT method, count(*) AS n FROM links GROUP BY 1")
 def links_by_method(spark: SparkSession, sf: str) -> DataFrame:
     """Links by method."""

@@ -83,10 +83,38 @@ def test_percentiles_count_values_first(spark):
     assert len(out) == 300 and all(r.percentile == pytest.approx(want[r.id]) if want[r.id] is not None else r.percentile is None for r in out)
 
 
-def test_pairs_of_hot_keys(spark):
-    rows = spark.createDataFrame([(i, "hot") for i in range(9, 0, -1)] + [(20, "k"), (21, "k"), (22, "k"), (30, "x"), (31, ""), (32, ""), (33, None)], "id long, key string")
-    got = sorted((r.a, r.b) for r in match.pairs_by_key(rows, "key", "m", 1.0, most=3).collect())
-    assert got == [(1, i) for i in range(2, 10)] + [(20, 21), (20, 22), (21, 22)]
+def _linked(pairs):
+    """The smallest id that each linked id reaches."""
+    low = {}
+    find = lambda x: x if low.setdefault(x, x) == x else find(low[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        low[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(low)}
+
+
+def test_links_are_never_lost_with_the_size_of_a_key(spark):
+    """Each paper keeps a link, whatever its key's size; hot keys give as many links as papers and venues ask for."""
+    from marginalia.plans.enrichment import version_links
+
+    for n in (999, 1000, 1001, 5000):
+        papers = spark.range(n).selectExpr("id", "'x' AS ext_id", "cast(null AS string) AS norm_title", "CASE WHEN id % 7 = 0 THEN 'B' ELSE 'A' END AS venue", "cast(2020 + id % 2 AS int) AS year")
+        links = [(r.earlier, r.later) for r in version_links(papers, "A").collect()]
+        assert {x for link in links for x in link} == set(range(n)) and n - 1 <= len(links) <= 3 * n
+        assert set(_linked(links).values()) == {0}
+
+
+def test_link_stars_join_what_all_pairs_join(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", "c", "", None, f"k{i}"]), rng.choice(["A", "B"]), rng.choice([2020, 2021])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, key string, venue string, year int")
+    brute = {(a, b) for a, k, v, y in rows for b, j, w, z in rows if a < b and k and k == j and (v, y) != (w, z)}
+    every = [(r.a, r.b) for r in match.pairs_by_key(df, "key", "m", 1.0, every=True).collect()]
+    few = {(r.a, r.b) for r in match.pairs_by_key(df, "key", "m", 1.0).collect()}
+    assert len(every) == len(brute) and set(every) == brute and few <= brute and _linked(few) == _linked(brute)
+
 
 
 def test_duplicates_fold_up_to_the_slots(spark):
