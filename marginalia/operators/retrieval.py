@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from marginalia.functions import rank as R
 from marginalia.functions.text import tokens
 
-K1, B = 1.2, 0.75
+K1, BM25_B = 1.2, 0.75
 
 
 def list_papers(papers: DataFrame, *, venue: str | None = None, year: int | None = None, area: str | None = None, words: Sequence[str] = (), limit: int = 20, offset: int = 0) -> DataFrame:
@@ -49,7 +49,7 @@ def bm25(docs: DataFrame, words: Sequence[str], k: int, id_col: str = "id", text
         return held.select("id", F.size("t").alias("len"), *[_count(w).alias(f"tf{i}") for i, w in enumerate(words)])
 
     stats = counts(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
     score = sum((part(i) for i in range(len(words))), F.lit(0.0))
     # on the text itself: a filter on the counts would be pushed below them, with the tokens worked out anew for each word
     any_of = F.lower(text_col).rlike(f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])") if words else F.lit(False)
@@ -107,7 +107,13 @@ def rerank_preferred(candidates: DataFrame, fields: DataFrame, newest: DataFrame
 def hybrid_search(docs: DataFrame, vectors: DataFrame, fields: DataFrame, query: list[float], words: Sequence[str], *, k: int = 50, pool: int = 100, preset: str = "balanced") -> DataFrame:
     """The whole search: docs (id, text), vectors (id, embedding), fields as in rerank; docs without reviews don't count."""
     reviewed = fields.filter("n_reviews > 0").select("id")
-    found = fuse(nearest(vectors.join(reviewed, "id", "left_semi"), query, pool), bm25(docs.join(reviewed, "id", "left_semi"), words, pool))
+    found = nearest(vectors.join(reviewed, "id", "left_semi"), query, pool), bm25(docs.join(reviewed, "id", "left_semi"), words, pool)
+    return ranked_pool(*found, fields, k=k, preset=preset)
+
+
+def ranked_pool(by_vector: DataFrame, by_words: DataFrame, fields: DataFrame, *, k: int = 50, preset: str = "balanced") -> DataFrame:
+    """k slots of what two searches found, by scans or by indexes: fused, reranked, duplicates folded."""
+    found = fuse(by_vector, by_words)
     ranked = rerank(found, fields, fields.agg(F.max("year").alias("max_year")), preset)
     ranked = ranked.withColumn("position", F.row_number().over(Window.orderBy(F.desc("final_score"), "id")))
     return fold_duplicates(ranked, k)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia import tables as tb
 from marginalia.functions import rank as R, text as T
-from marginalia.operators import retrieval as op, stats
+from marginalia.operators import cells, postings, retrieval as op, stats
 from marginalia.queries.registry import query
+from marginalia.session import checkpoint_dir
 
 WORDS = ("the", "thre", "tion", "hean", "erthe")
 
@@ -40,6 +43,12 @@ _HYBRID = f"""{_FIELDS}, rev AS (SELECT id FROM fields WHERE n_reviews > 0), {_V
   placed AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, id) AS position FROM ranked)"""
 
 
+_PICKED = f"""WITH {_HYBRID}, slots AS (SELECT *, min(position) OVER (PARTITION BY norm_title, venue) AS slot_at FROM placed),
+  cut AS (SELECT slot_at FROM (SELECT DISTINCT slot_at FROM slots) ORDER BY 1 OFFSET 50 LIMIT 1),
+  picked AS (SELECT * FROM slots WHERE position < coalesce((SELECT slot_at FROM cut), 1000000) QUALIFY row_number() OVER (PARTITION BY norm_title, venue ORDER BY n_reviews DESC, position) = 1)
+  SELECT id, row_number() OVER (ORDER BY slot_at)::INT AS slot, round(final_score, 6) AS final_score, CASE WHEN fts_rank IS NULL THEN 'semantic' WHEN vector_rank IS NULL THEN 'lexical' ELSE 'both' END AS match_type FROM picked"""
+
+
 def _query_vector(spark: SparkSession, sf: str, vec_id: int = 7) -> list[float]:
     return list(tb.read(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
@@ -54,15 +63,48 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_search(spark, sf)
 
 
-@query(f"""WITH {_HYBRID}, slots AS (SELECT *, min(position) OVER (PARTITION BY norm_title, venue) AS slot_at FROM placed),
-  cut AS (SELECT slot_at FROM (SELECT DISTINCT slot_at FROM slots) ORDER BY 1 OFFSET 50 LIMIT 1),
-  picked AS (SELECT * FROM slots WHERE position < coalesce((SELECT slot_at FROM cut), 1000000) QUALIFY row_number() OVER (PARTITION BY norm_title, venue ORDER BY n_reviews DESC, position) = 1)
-  SELECT id, row_number() OVER (ORDER BY slot_at)::INT AS slot, round(final_score, 6) AS final_score, CASE WHEN fts_rank IS NULL THEN 'semantic' WHEN vector_rank IS NULL THEN 'lexical' ELSE 'both' END AS match_type FROM picked""")
+@query(_PICKED)
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship, 50 slots of a pool of 100 (its own limits)."""
     return _hybrid(spark, sf).select("id", "slot", F.round("final_score", 6).alias("final_score"), "match_type")
 
 
+def _indexes(spark: SparkSession, sf: str, reviewed: DataFrame) -> tuple[cells.Cells, str]:
+    """Both indexes of the reviewed rows, in the shared folder."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/marginalia/indexes-{uuid.uuid4().hex}"
+    docs = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = tb.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return cells.build(vectors.join(reviewed, "id", "left_semi"), f"{base}/cells"), postings.build(docs.join(reviewed, "id", "left_semi"), f"{base}/words")
+
+
+@query(_PICKED)
+def indexed_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship's rows from stored indexes: cells read as far as the bound asks, postings of the query's words."""
+    fields = _fields(spark, sf)
+    index, words = _indexes(spark, sf, fields.filter("n_reviews > 0").select("id"))
+    by_vector = cells.nearest(index, spark, _query_vector(spark, sf), 100, exact=True)
+    return op.ranked_pool(by_vector, postings.search(spark, words, WORDS, 100), fields).select("id", "slot", F.round("final_score", 6).alias("final_score"), "match_type")
+
+
+@query()
+def nearest_by_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest of every 50th vector (a set of queries), over the cells nearest to each; its recall is tested against exact search."""
+    vectors = tb.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = cells.build(vectors, f"{checkpoint_dir(spark).rstrip('/')}/marginalia/cells-{uuid.uuid4().hex}")
+    return cells.nearest_of_all(index, vectors.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 20)
+
+
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM documents)
+  SELECT doc_id, list_has_all(t, ['the', 'and', 'of']) AS all_terms FROM t WHERE list_has_any(t, ['the', 'and', 'of'])""")
+def indexed_term_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold any or all of the query's terms, from the postings of those terms alone."""
+    docs = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = postings.build(docs, f"{checkpoint_dir(spark).rstrip('/')}/marginalia/words-{uuid.uuid4().hex}")
+    some, every = (postings.matching(spark, path, ["the", "and", "of"], every=e) for e in (False, True))
+    both = some.join(every.withColumn("all_terms", F.lit(True)), "id", "left")
+    return both.select(F.col("id").alias("doc_id"), F.coalesce("all_terms", F.lit(False)).alias("all_terms"))
+
+
 @query(f"""WITH {_FIELDS}, rev AS (SELECT id FROM fields WHERE n_reviews > 0), {_VEC} SELECT round(avg(cosine) FILTER (WHERE vector_rank <= 5), 6) AS mean_cosine,
   CASE WHEN avg(cosine) FILTER (WHERE vector_rank <= 5) >= 0.93 THEN 'strong' WHEN avg(cosine) FILTER (WHERE vector_rank <= 5) >= 0.9 THEN 'moderate' ELSE 'weak' END AS level FROM vec""")
 def retrieval_confidence(spark: SparkSession, sf: str) -> DataFrame:
