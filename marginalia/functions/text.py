@@ -231,6 +231,16 @@ def looks_garbled(text: Column) -> Column:
     return (F.size(tokens) >= 20) & (single > 0.18 * F.size(tokens))
 
 
+def without_clip_leak(text: Column, reference: Column, run: int = 5) -> Column:
+    """text without the letters that a crop cut off: `run` or more words of one to three letters at its end, unless they stand in
+    the reference, whose white space counts as single blanks."""
+    tail = r"(?:^|\s)([A-Za-z]{1,3}(?:\s+[A-Za-z]{1,3})*)\s*$"
+    found = F.regexp_replace(F.regexp_extract(text, tail, 1), r"\s+", " ")
+    stands = F.contains(F.trim(F.regexp_replace(reference, r"\s+", " ")), found)
+    leaked = (F.size(F.split(found, " ")) >= run) & ~F.coalesce(stands, F.lit(False))
+    return F.when(leaked, F.regexp_replace(F.regexp_replace(text, tail, ""), r"\s+$", "")).otherwise(text)
+
+
 def flatten_block(text: Column) -> Column:
     """A block's lines as one: a hyphen at a line's end goes with the break, other breaks are blanks."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"-\n\s*", ""), r"\s*\n\s*", " "), r"^\s+|\s+$", "")

@@ -55,11 +55,11 @@ def overlapping(blocks: DataFrame, share: float = 0.8) -> DataFrame:
     height = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
     area = lambda t: (F.col(f"{t}.x1") - F.col(f"{t}.x0")) * (F.col(f"{t}.y1") - F.col(f"{t}.y0"))
     near = a.join(b, F.expr("a.doc_id = b.doc_id AND a.page = b.page AND a.block_id < b.block_id")).filter((width > 0) & (height > 0))
-    return near.filter(width * height >= share * F.least(area("a"), area("b"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.block_id").alias("a"), F.col("b.block_id").alias("b"))
+    return near.filter(width * height >= share * F.least(area("a"), area("b"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.page").alias("page"), F.col("a.block_id").alias("a"), F.col("b.block_id").alias("b"))
 
 
 def merged_overlaps(blocks: DataFrame, share: float = 0.8, rounds: int = 20) -> DataFrame:
-    """(doc_id, page, block_id, x0, y0, x1, y1, text): blocks that overlap by share become one, until none do.
+    """(doc_id, page, block_id, x0, y0, x1, y1, text): blocks that overlap by share become one, until none do; captions never merge.
 
     A merged block has the smallest id, the box around all and their texts from top to bottom. Every round joins a block with
     the smallest it overlaps; pages that are done are compared again at no cost but the join.
@@ -67,44 +67,20 @@ def merged_overlaps(blocks: DataFrame, share: float = 0.8, rounds: int = 20) ->
     from marginalia.session import checkpoint_dir
 
     checkpoint_dir(blocks.sparkSession)
-    rows = blocks.select("doc_id", "page", "block_id", "x0", "y0", "x1", "y1", F.array(F.struct("y0", "x0", "text")).alias("texts")).checkpoint()
+    own = F.array(F.struct("y0", "x0", "text")).alias("texts")
+    caption = F.coalesce(F.trim("text").rlike(r"(?i)^(figure|table)\s+\d+[:.]"), F.lit(False))
+    plain = blocks.select("doc_id", "page", "block_id", "x0", "y0", "x1", "y1", "text", caption.alias("caption"))
+    columns = ["doc_id", "page", "block_id", "x0", "y0", "x1", "y1"]
+    captions_apart = plain.filter("caption").select(*columns, own)
+    rows = plain.filter("NOT caption").select(*columns, own).checkpoint()
     for _ in range(rounds):
-        into = overlapping(rows, share).groupBy("doc_id", F.col("b").alias("block_id")).agg(F.min("a").alias("into")).checkpoint()
+        into = overlapping(rows, share).groupBy("doc_id", "page", F.col("b").alias("block_id")).agg(F.min("a").alias("into")).checkpoint()
         if into.isEmpty():
             break
-        named = rows.join(into, ["doc_id", "block_id"], "left").withColumn("block_id", F.coalesce("into", "block_id"))
+        named = rows.join(into, ["doc_id", "page", "block_id"], "left").withColumn("block_id", F.coalesce("into", "block_id"))
         box = (F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
         rows = named.groupBy("doc_id", "page", "block_id").agg(*box, F.flatten(F.collect_list("texts")).alias("texts")).checkpoint()
-    return rows.withColumn("text", F.array_join(F.transform(F.array_sort("texts"), lambda t: t["text"]), "\n")).drop("texts")
-
-
-def equation_regions(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, number, x0, y0, x1, y1): numbered equations, `(3)` alone at a block's end, with the blocks beside them.
-
-    What stands left of a number in the same band of lines belongs to it.
-    """
-    number = F.regexp_extract("text", r"\((\d{1,3})\)\s*$", 1)
-    marks = blocks.withColumn("number", number).filter((F.col("number") != "") & (F.length(F.trim("text")) <= F.length("number") + 2))
-    marks = marks.select("doc_id", "page", F.col("number").cast("int").alias("number"), *[F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")])
-    middle = (F.col("y0") + F.col("y1")) / 2
-    near = marks.join(blocks, ["doc_id", "page"], "left").filter((F.col("x0") <= F.col("m_x0")) & middle.between(F.col("m_y0"), F.col("m_y1")))
-    return near.groupBy("doc_id", "page", "number").agg(F.min(F.least("x0", "m_x0")).alias("x0"), F.min(F.least("y0", "m_y0")).alias("y0"), F.max(F.greatest("x1", "m_x1")).alias("x1"), F.max(F.greatest("y1", "m_y1")).alias("y1"))
-
-
-def filled_boxes(drawings: DataFrame, blocks: DataFrame, share: float = 0.8) -> DataFrame:
-    """(doc_id, page, box_id, label, text): filled drawings that hold text, told apart by a hash of it.
-
-    drawings: doc_id, page, box_id, x0, y0, x1, y1, filled. A block belongs to the smallest box that covers share of it.
-    """
-    d = drawings.filter("filled").select("doc_id", "page", "box_id", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    width = F.least("x1", "b_x1") - F.greatest("x0", "b_x0")
-    height = F.least("y1", "b_y1") - F.greatest("y0", "b_y0")
-    inside = (width > 0) & (height > 0) & (width * height >= share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    size = (F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0"))
-    owner = blocks.join(d, ["doc_id", "page"]).filter(inside).groupBy("doc_id", "page", "block_id").agg(F.min_by("box_id", F.struct(size, "box_id")).alias("box_id"))
-    parts = F.array_sort(F.collect_list(F.struct("y0", "x0", "text")))
-    held = blocks.join(owner, ["doc_id", "page", "block_id"]).groupBy("doc_id", "page", "box_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
-    return held.filter(F.trim("text") != "").select("doc_id", "page", "box_id", F.concat(F.lit("Box "), T.content_hash(F.col("text"))).alias("label"), "text")
+    return rows.select(*columns, "texts").unionByName(captions_apart).withColumn("text", F.array_join(F.transform(F.array_sort("texts"), lambda t: t["text"]), "\n")).drop("texts")
 
 
 def page_title(spans: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.queries import landed, logs, matching, plans, report, retrieval, statistics, textual  # noqa: F401
+from marginalia.queries import landed, logs, matching, pages, plans, report, retrieval, statistics, textual  # noqa: F401
 from marginalia.queries.registry import ORACLES, QUERIES
 from marginalia.queries.retrieval import flagship
 

@@ -111,7 +111,7 @@ def block_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of a page that overlap by 80 % of the smaller one."""
     e = F.col("event_id")
     blocks = tb.read(spark, sf, "events").select(e.alias("block_id"), F.col("user_id").alias("doc_id"), (e % 10).alias("page"), (e % 7).cast("double").alias("x0"), (e % 7 + 20).cast("double").alias("x1"), (e % 3).cast("double").alias("y0"), (e % 3 + 10).cast("double").alias("y1"))
-    return layout.overlapping(blocks)
+    return layout.overlapping(blocks).select("doc_id", "a", "b")
 
 
 @query("""SELECT p_partkey, 1990 + p_size % 30 AS year, CASE p_partkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'replaced' END AS verb, 'hyphenated ' || p_brand || ' line' AS flat,

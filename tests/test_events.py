@@ -116,7 +116,6 @@ def test_link_stars_join_what_all_pairs_join(spark):
     assert len(every) == len(brute) and set(every) == brute and few <= brute and _linked(few) == _linked(brute)
 
 
-
 def test_duplicates_fold_up_to_the_slots(spark):
     rows = [(1, 1, "a", "v", 0), (2, 2, "b", "v", 5), (3, 3, "a", "v", 7), (4, 4, None, "v", 1), (5, 5, "b", "v", 9), (6, 6, "c", "v", 1), (7, 7, "a", "v", 99)]
     df = spark.createDataFrame(rows, "id long, position int, norm_title string, venue string, n_reviews int")
@@ -129,12 +128,6 @@ def test_blocks_merge_until_none_overlap(spark):
     rows = [("d", 1, 1, 0.0, 0.0, 10.0, 10.0, "a"), ("d", 1, 2, 1.0, 1.0, 11.0, 10.0, "b"), ("d", 1, 3, 9.0, 1.0, 11.0, 10.0, "c"), ("d", 1, 4, 50.0, 50.0, 60.0, 60.0, "d"), ("d", 2, 5, 0.0, 0.0, 10.0, 10.0, "e")]
     out = {r.block_id: r for r in layout.merged_overlaps(spark.createDataFrame(rows, schema)).collect()}
     assert set(out) == {1, 4, 5} and out[1].text == "a\nb\nc" and (out[1].x1, out[1].y1) == (11.0, 10.0)
-    rows = [("d", 1, 1, 0.0, 0.0, 40.0, 10.0, "x = y"), ("d", 1, 2, 80.0, 2.0, 90.0, 8.0, "(3)"), ("d", 1, 3, 0.0, 30.0, 90.0, 40.0, "as in (3)")]
-    (eq,) = layout.equation_regions(spark.createDataFrame(rows, schema)).collect()
-    assert (eq.number, eq.x0, eq.x1, eq.y1) == (3, 0.0, 90.0, 10.0)
-    drawings = spark.createDataFrame([("d", 1, 7, 0.0, 0.0, 100.0, 100.0, True), ("d", 1, 8, 0.0, 0.0, 50.0, 12.0, True), ("d", 1, 9, 0.0, 0.0, 99.0, 99.0, False)], "doc_id string, page int, box_id int, x0 double, y0 double, x1 double, y1 double, filled boolean")
-    boxes = {r.box_id: r.text for r in layout.filled_boxes(drawings, spark.createDataFrame(rows, schema)).collect()}
-    assert boxes == {8: "x = y", 7: "(3)\nas in (3)"}
 
 
 def token_page(part, token):
