@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia import tables as tb
 from marginalia.operators import sinks, timeline
 from marginalia.queries.registry import query
+from marginalia.session import checkpoint_dir
 from marginalia.sources import harvest
+from marginalia.streaming import jobs
 
 _EDITS = """edits AS (SELECT user_id, event_id, event_type IN ('click', 'view', 'purchase') AS has_title, CASE WHEN event_type <> 'purchase' THEN event_type || (event_id % 3) END AS title, event_type IN ('view', 'login') AS has_pdf, CAST(json_extract(props, '$.k') AS INT) % 4 AS pdf FROM events)"""
 
@@ -208,3 +212,29 @@ def daily_events(spark: SparkSession, sf: str) -> DataFrame:
     """T03, and an addition: tumbling windows over the event log."""
     e = tb.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+_KIND = "CASE event_type WHEN 'view' THEN 'start' WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END"
+_JOB_LIMIT = 2 * 24 * 60  # minutes: events of a user are days apart
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS job_id, ts AS seen, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type <> 'click'),
+  s(key, k, held, since, ended, ended_since, ended_at, status) AS (SELECT key, 0, NULL::BIGINT, NULL::TIMESTAMP, []::BIGINT[], []::TIMESTAMP[], []::TIMESTAMP[], []::VARCHAR[] FROM (SELECT DISTINCT key FROM e)
+    UNION ALL SELECT key, k, CASE WHEN kind = 'start' AND (held IS NULL OR old) THEN job_id WHEN kind = 'start' AND NOT old THEN held END, CASE WHEN kind = 'start' AND (held IS NULL OR old) THEN seen WHEN kind = 'start' AND NOT old THEN since END,
+      CASE WHEN old OR (held IS NOT NULL AND kind <> 'start') THEN [held] ELSE [] END, CASE WHEN old OR (held IS NOT NULL AND kind <> 'start') THEN [since] ELSE [] END,
+      CASE WHEN old THEN [since + INTERVAL {_JOB_LIMIT} MINUTE] WHEN held IS NOT NULL AND kind <> 'start' THEN [seen] ELSE [] END, CASE WHEN old THEN ['expired'] WHEN held IS NOT NULL AND kind <> 'start' THEN [kind] ELSE [] END
+    FROM (SELECT s.key, e.k, e.kind, e.job_id, e.seen, s.held, s.since, coalesce(s.held IS NOT NULL AND e.seen >= s.since + INTERVAL {_JOB_LIMIT} MINUTE, false) AS old FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)),
+  last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1)
+  SELECT key AS user_id, unnest(ended) AS job_id, unnest(ended_since) AS created_at, unnest(ended_at) AS ended_at, unnest(status) AS status FROM s
+  UNION ALL SELECT key, held, since, since + INTERVAL {_JOB_LIMIT} MINUTE, 'expired' FROM last WHERE held IS NOT NULL AND since + INTERVAL {_JOB_LIMIT} MINUTE <= (SELECT max(ts) FROM events)""")
+def job_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """One active job a user, ended by events or by a timer, as a stream over event files that land part by part."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/marginalia/jobs-{uuid.uuid4().hex}"
+    e = tb.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("job_id"), F.col("ts").alias("at"), F.expr(_KIND).alias("kind"))
+    parts = F.ntile(4).over(Window.orderBy("day"))  # of a row a day
+    days = e.groupBy(F.to_date("at").alias("day")).agg(F.count("*").alias("n")).withColumn("part", parts).groupBy("part").agg(F.min("day").alias("first"), F.max("day").alias("last")).orderBy("part").collect()
+    for d in days:  # parts land in the order of their events; the stream is stopped after two and taken up again
+        e.filter(F.to_date("at").between(d["first"], d["last"])).write.mode("append").parquet(f"{base}/events")
+        if d.part % 2 == 0:
+            jobs.follow(spark, f"{base}/events", f"{base}/ends", f"{base}/state", _JOB_LIMIT).awaitTermination()
+    return spark.read.schema(jobs.SCHEMA).parquet(f"{base}/ends").withColumnRenamed("key", "user_id")
