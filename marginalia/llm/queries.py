@@ -113,30 +113,29 @@ _BITS = "".join(f"{' + ' if n else ''}{16 >> n} * substr(bits, 5 * i + {n + 1},
 
 
 def _license_oracle() -> str:
-    from marginalia.llm.license_scan import ENDS, PARAGRAPH, SENTENCE, TEMPLATES, anchors, bigrams, long_bigrams, window_words
+    """The definition over all units, with the templates and the cuts as data; no filter but the bound on sizes."""
+    from marginalia.llm.license_scan import ENDS, PARAGRAPH, SENTENCE, TEMPLATES, bigrams, long_bigrams, window_words
 
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
     listed = lambda texts: f"[{', '.join(map(quoted, texts))}]"
     known = ", ".join(f"({quoted(name)}, {listed(sorted(bigrams(text)))})" for name, text in TEMPLATES)
-    holds = lambda text: " OR ".join("(" + " AND ".join(f"contains({text}, {quoted(w)})" for w in anchor) + ")" for anchor in anchors(TEMPLATES, 0.8))
     grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     most = window_words(TEMPLATES, 0.8)
     return f"""WITH t(license, own) AS (VALUES {known}),
-      low AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+      low AS (SELECT DISTINCT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
       all_units AS (SELECT doc_id, unnest(list_concat(string_split(low, chr(10)), regexp_split_to_array(low, '{SENTENCE}'), regexp_split_to_array(low, '{PARAGRAPH}'), [low])) AS unit FROM low),
-      units AS (SELECT doc_id, unit FROM all_units WHERE {holds("unit")}),
-      cut AS (SELECT doc_id, regexp_split_to_array(low, '{PARAGRAPH}') AS ps FROM low WHERE {holds("low")}),
-      paras AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS p FROM cut),
-      told AS (SELECT doc_id, pos, regexp_extract_all(p, '[a-z0-9]+') AS w, {holds("p")} AS anchored FROM paras),
-      ends AS (SELECT *, len(w) AS n, anchored AND len(list_intersect({grams("w")}, {listed(long_bigrams(TEMPLATES))})) >= {ENDS} AS ends FROM told WHERE len(w) > 0),
-      placed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM ends),
-      windows AS (SELECT a.doc_id, flatten(list(c.w ORDER BY c.pos)) AS w FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.pos < b.pos AND b.upto - a.upto + a.n <= {most}
-        JOIN placed c ON c.doc_id = a.doc_id AND c.pos BETWEEN a.pos AND b.pos WHERE a.ends AND b.ends GROUP BY a.doc_id, a.pos, b.pos),
-      words AS (SELECT doc_id, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM units UNION SELECT doc_id, w FROM windows),
-      grams AS (SELECT doc_id, w, {grams("w")} AS p FROM words WHERE len(w) > 1),
-      scored AS (SELECT doc_id, w, license, 2.0::DOUBLE * len(list_intersect(p, own)) / (len(p) + len(own)) AS dice FROM grams CROSS JOIN t),
-      best AS (SELECT doc_id, w, dice, license FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY dice DESC, license) = 1)
-      SELECT doc_id, license, max(dice) AS dice, count(*) AS units FROM best GROUP BY doc_id, license"""
+      cut AS (SELECT doc_id, low, regexp_split_to_array(low, '{PARAGRAPH}') AS ps FROM low),
+      told AS (SELECT doc_id, low, unnest(range(len(ps))) AS pos, regexp_extract_all(unnest(ps), '[a-z0-9]+') AS w FROM cut),
+      ends AS (SELECT *, len(w) AS n, len(list_intersect({grams("w")}, {listed(long_bigrams(TEMPLATES))})) >= {ENDS} AS ends FROM told WHERE len(w) > 0),
+      placed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, low ORDER BY pos) AS upto FROM ends),
+      windows AS (SELECT a.doc_id, a.low, a.pos AS lo, b.pos AS hi, flatten(list(c.w ORDER BY c.pos)) AS w FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.low = b.low AND a.pos < b.pos AND b.upto - a.upto + a.n <= {most}
+        JOIN placed c ON c.doc_id = a.doc_id AND c.low = a.low AND c.pos BETWEEN a.pos AND b.pos WHERE a.ends AND b.ends GROUP BY ALL),
+      words AS (SELECT DISTINCT doc_id, NULL AS low, NULL AS lo, NULL AS hi, regexp_extract_all(unit, '[a-z0-9]+') AS w FROM all_units UNION ALL SELECT * FROM windows),
+      grams AS (SELECT *, {grams("w")} AS p FROM words WHERE len(w) > 1),
+      scored AS (SELECT * EXCLUDE (p, own), len(list_intersect(p, own)) AS shared, 2.0::DOUBLE * len(list_intersect(p, own)) / (len(p) + len(own)) AS dice FROM grams JOIN t ON len(p) BETWEEN len(own) * 0.66 AND len(own) * 1.51),
+      best AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, low, lo, hi, w ORDER BY dice DESC, license, shared) = 1),
+      kept AS (SELECT * FROM best b WHERE lo IS NULL OR NOT EXISTS (SELECT 1 FROM best o WHERE o.doc_id = b.doc_id AND o.low = b.low AND o.lo <= b.lo AND o.hi >= b.hi AND (o.lo < b.lo OR o.hi > b.hi) AND o.license <> b.license AND o.shared > b.shared))
+      SELECT doc_id, license, max(dice) AS dice, count(DISTINCT w) AS units FROM kept GROUP BY doc_id, license"""
 
 
 #: SQL for the queries that it can express over whole tables; the others are tested against brute force in tests/llm.

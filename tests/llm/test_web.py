@@ -176,25 +176,20 @@ def test_broken_records():
             warc.checked(bad)
 
 
-def dice(units, threshold=0.8):
-    found = {}
-    for unit in units:
-        own = license_scan.bigrams(unit)
-        best = min(((-2 * len(own & of) / (len(own) + len(of)), name) for name, of in ((n, license_scan.bigrams(t)) for n, t in license_scan.TEMPLATES)), default=(0, ""))
-        if own and -best[0] >= threshold:
-            found.setdefault(best[1], {})[tuple(license_scan.words(unit))] = -best[0]
-    return {name: (max(x.values()), len(x)) for name, x in found.items()}
-
-
-def units(text):
-    """All units of a text; windows as lists of paragraphs tried one after the other."""
+def nearest(unit, threshold=0.8, templates=license_scan.TEMPLATES):
+    """(dice, licence, shared) of the nearest template, None below the threshold."""
+    own = license_scan.bigrams(unit)
+    best = min(((-2 * len(own & of) / (len(own) + len(of)), name, len(own & of)) for name, of in ((n, license_scan.bigrams(t)) for n, t in templates)), default=None) if own else None
+    return (-best[0], *best[1:]) if best and -best[0] >= threshold else None
+
+
+def licences(text):
+    """Licence to (best dice, number of distinct units), by all units; windows as runs of paragraphs tried one after the other."""
     low = (text or "").lower()
     paragraphs = [p for p in re.split(license_scan.PARAGRAPH, low) if license_scan.words(p)]
-    found = license_scan.anchors(license_scan.TEMPLATES, 0.8)
-    anchored = lambda u: any(all(w in u for w in a) for a in found)
     known = set(license_scan.long_bigrams(license_scan.TEMPLATES))
-    end = [anchored(p) and len(license_scan.bigrams(p) & known) >= license_scan.ENDS for p in paragraphs]
-    out = [u for u in (*low.split("\n"), *re.split(license_scan.SENTENCE, low), *re.split(license_scan.PARAGRAPH, low), low) if anchored(u)]
+    end = [len(license_scan.bigrams(p) & known) >= license_scan.ENDS for p in paragraphs]
+    found = [(None, u, nearest(u)) for u in {*low.split("\n"), *re.split(license_scan.SENTENCE, low), *re.split(license_scan.PARAGRAPH, low), low}]
     for i, p in enumerate(paragraphs):
         window = p
         for j in range(i + 1, len(paragraphs)):
@@ -202,8 +197,14 @@ def units(text):
             if len(license_scan.words(window)) > license_scan.window_words(license_scan.TEMPLATES, 0.8):
                 break
             if end[i] and end[j]:
-                out.append(window)
-    return out
+                found.append(((i, j), window, nearest(window)))
+    found = [f for f in found if f[2]]
+    inside = lambda a, b: a and b and a != b and b[0] <= a[0] and a[1] <= b[1]
+    kept = [f for f in found if not any(inside(f[0], g[0]) and g[2][1] != f[2][1] and g[2][2] > f[2][2] for g in found)]
+    out = {}
+    for _, unit, (x, name, _) in kept:
+        out.setdefault(name, {})[tuple(license_scan.words(unit))] = x
+    return {name: (max(x.values()), len(x)) for name, x in out.items()}
 
 
 def usual(text, mark=""):
@@ -240,10 +241,43 @@ def test_licences_match_all_units_and_templates(spark):
     extra += [(10**8 + i, f"prose before\n\n{usual(t, mark)}\n\nint main() {{}}\n\nmore code of the software") for i, (t, mark) in enumerate((t, m) for _, t in license_scan.TEMPLATES for m in ("", "# "))]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {(r.doc_id, r.license): (round(r.dice, 9), r.units) for r in license_scan.scan_licenses(both).collect()}
-    want = {(r.doc_id, name): (round(x, 9), n) for r in both.collect() for name, (x, n) in dice(units(r.text)).items()}
+    want = {(r.doc_id, name): (round(x, 9), n) for r in both.collect() for name, (x, n) in licences(r.text).items()}
     assert got == want and len(got) > 40
 
 
+def notices(name, version):
+    """A notice as its licence gives it, with three ends, plain and in a block comment."""
+    thing = "library" if name.startswith("L") else "program"
+    text = f"This {thing} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {name}General Public License as published by\nthe Free Software Foundation; either version {version} of the License, or\n(at your option) any later version.\n\n"
+    text += f"This {thing} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n{name}General Public License for more details.\n\nYou should have received a copy of the GNU {name}General Public License\nalong with this {thing}"
+    ends = ("; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA\n", ".  If not, see <https://www.gnu.org/licenses/>.\n", "; if not, write to the Free Software\nFoundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA\n")
+    marked = [(text + e).replace("\n", "\n * ") for e in ends]
+    return [text + e for e in ends] + [f"/*\n * {t}\n */\nint x;\n\nint y;" for t in marked]
+
+
+def test_gnu_notices_are_told_apart(spark):
+    kinds = {"LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"), "LGPL-2.0": ("Library ", "2"), "GPL-1.0": ("", "1"), "GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "AGPL-3.0": ("Affero ", "3")}
+    rows = [(i, f"{kind}-or-later", text) for i, (kind, text) in enumerate((k, t) for k, of in kinds.items() for t in notices(*of))]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, want string, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(i, name) for i, name, _ in rows} and min(r.dice for r in got) > 0.9
+
+
+def test_a_licence_in_paragraphs_hides_the_one_inside(spark):
+    text = usual(max((t for n, t in license_scan.TEMPLATES if n == "BSD-3-Clause"), key=len))
+    both = usual(max((t for n, t in license_scan.TEMPLATES if n == "BSD-2-Clause"), key=len))
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, both), (3, f"{text}\n\nother things\n\n{both}")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "BSD-3-Clause"), (2, "BSD-2-Clause"), (3, "BSD-2-Clause"), (3, "BSD-3-Clause")]
+
+
+def test_templates_of_a_caller(spark):
+    """Long ones without any usual stem, in a whole text, in a paragraph and with a tenth of the words gone."""
+    own = " ".join(f"{w}{i}" for i in range(30) for w in ("alpha", "be", "c"))
+    less = " ".join(w for i, w in enumerate(own.split()) if i % 20)
+    docs = spark.createDataFrame([(1, own), (2, f"some prose\n\n{own}\n\nmore"), (3, less), (4, own[:100]), (5, "software license")], "doc_id long, text string")
+    got = license_scan.scan_licenses(docs, templates=(("Own", own), ("Short", "do as you like")))
+    assert sorted((r.doc_id, r.license) for r in got.collect()) == [(1, "Own"), (2, "Own"), (3, "Own")]
+
+
 def test_licence_odd_rows(spark):
     df = spark.createDataFrame([(1, "All rights reserved.", "x"), (1, "All rights reserved.", "x"), (None, "Released under the MIT License.", None), (2, "word " * 500_000 + "\nReleased under the MIT License.", None)], "doc_id long, text string, license string")
     assert sorted((str(r.doc_id), r.license, r.units) for r in license_scan.scan_licenses(df).collect()) == [("1", "All-rights-reserved", 1), ("2", "MIT", 2), ("None", "MIT", 1)]
