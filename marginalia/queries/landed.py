@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia import tables as tb
 from marginalia.functions import text as T
@@ -127,27 +127,48 @@ def ingested(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("id long, name string").parquet(f"{source}-table")
 
 
-def note_page(offset: int, limit: int) -> list[tuple[str, str]]:
-    """A page of a made-up service of 2345 notes."""
-    return [(f"n{i}", json.dumps({"n": i % 7})) for i in range(offset, min(offset + limit, 2345))]
+def note_page(offset: int, limit: int, root: str) -> list[tuple[str, str]]:
+    """A page of landed notes, as a service gives it by offset."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
 
+    where, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+    folder = f"{base}/page={offset // limit}"
+    if where.get_file_info(folder).type != fs.FileType.Directory:
+        return []
+    return [(r["id"], r["content"]) for r in ds.dataset(folder, filesystem=where, format="parquet").to_table().to_pylist()]
 
-@query("""SELECT 'n' || i AS id, (i % 7)::BIGINT AS n FROM range(2345) t(i)""")
+
+@query("""SELECT 'n' || o_orderkey AS id, o_custkey AS n FROM orders""")
 def paged_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """All pages of an offset-paginated service, a task for each."""
+    """All pages of notes that were landed by offset, a task for each."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/notes-{uuid.uuid4().hex}"
+    o = tb.read(spark, sf, "orders")
+    first = F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")) - 1
+    sizes = o.groupBy((F.col("o_orderkey") % 256).alias("k")).agg(F.count("*").alias("size")).orderBy("k").collect()  # 256 rows
+    starts, total = {}, 0
+    for r in sizes:
+        starts[r.k], total = total, total + r.size
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("k")) if starts else F.lit(0)
+    notes = o.withColumn("k", F.col("o_orderkey") % 256).withColumn("n", first + start)
+    notes.select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("id"), F.to_json(F.struct(F.col("o_custkey").alias("n"))).alias("content"), F.floor(F.col("n") / 1000).alias("page")).repartition("page").write.partitionBy("page").parquet(root)
     spark.dataSource.register(harvest.PagedNotes)
-    notes = spark.read.format("paged_notes").options(fetch=f"{__name__}:note_page", total="2345").load()
-    return notes.select("id", F.get_json_object("content", "$.n").cast("bigint").alias("n"))
-
-
-def title_page(part: str, token: str) -> tuple[list[str], str]:
-    """A page of a made-up search in three parts, of 100 to 300 records."""
-    start, end = int(token or 0), 100 * int(part)
-    return [f"{part}-{i}" for i in range(start, min(start + 40, end))], str(start + 40) if start + 40 < end else ""
-
-
-@query("""SELECT p || '-' || i AS content, p::VARCHAR AS part, (i // 40)::INT AS page FROM range(1, 4) a(p) JOIN range(300) t(i) ON i < 100 * p""")
-def token_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages that name the next one by a token, part by part."""
-    spark.dataSource.register(harvest.TokenPages)
-    return spark.read.format("token_pages").options(fetch=f"{__name__}:title_page", parts='{"1": "", "2": "", "3": ""}').load().select("content", "part", "page")
+    read = spark.read.format("paged_notes").options(fetch=f"{__name__}:note_page", total=str(total), root=root).load()
+    return read.select("id", F.get_json_object("content", "$.n").cast("bigint").alias("n"))
+
+
+@query("""SELECT replace(c_mktsegment, ' ', '_') AS part, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 40)::INT AS page, c_custkey AS id, c_name AS title FROM customer""")
+def harvested_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A harvest by set and token over landed XML pages as a stream, stopped after three pages of each set and taken up again."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/harvest-{uuid.uuid4().hex}"
+    c = tb.read(spark, sf, "customer").withColumn("part", F.replace("c_mktsegment", F.lit(" "), F.lit("_")))
+    record = F.concat(F.lit("<record><id>"), F.col("c_custkey").cast("string"), F.lit("</id><title>"), "c_name", F.lit("</title></record>"))
+    harvest.land_pages(c.withColumn("xml", record), f"{base}/pages", "part", "c_custkey", "xml", 40)
+    parts = json.dumps(sorted(r.part for r in c.select("part").distinct().collect()))  # five sets
+    spark.dataSource.register(harvest.HarvestStream)
+    for pages in ("3", "0"):
+        rows = spark.readStream.format("harvest_stream").options(root=f"{base}/pages", parts=parts, pages=pages).load()
+        rows.writeStream.format("parquet").option("path", f"{base}/landed").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    landed = spark.read.schema("part string, page int, xml string").parquet(f"{base}/landed")
+    found = landed.select("part", "page", F.explode(F.from_xml("xml", F.lit("record ARRAY<STRUCT<id: BIGINT, title: STRING>>"))["record"]).alias("r"))
+    return found.select("part", "page", "r.id", "r.title")

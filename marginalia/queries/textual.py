@@ -36,21 +36,22 @@ def aspects(spark: SparkSession, sf: str) -> DataFrame:
     return tb.read(spark, sf, "documents").select("doc_id", T.classify_aspect(F.concat_ws(" ", F.coalesce("text", F.lit("")), more)).alias("aspect"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM documents), s AS (SELECT doc_id, t, doc_id % 4 = 0 AND length(trim(t)) >= 40 AS found FROM d)
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM documents), s AS (SELECT doc_id, t, doc_id % 4 <> 1 AND length(trim(t)) >= 40 AS found FROM d)
   SELECT doc_id, CASE WHEN found THEN length(trim(t)) END AS section_chars FROM s""")
 def weakness_sections(spark: SparkSession, sf: str) -> DataFrame:
     """what stands under the weakness headings of unsplit reviews."""
     t = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
     k = F.col("doc_id") % 4
-    body = F.when(k == 0, F.concat(F.lit("Pros: a good idea that is well written overall.\nCons: "), t, F.lit("\nQuestions: "), t)).when(k == 1, F.lit("Cons: short")).otherwise(F.lit("Nothing under a heading here."))
+    head = F.when(k == 0, "Pros: a good idea that is well written overall.\nCons: ").when(k == 2, "Strengths: it works.\nWeaknesses:\n").otherwise("Summary: as said.\n\nWeaknesses: ")
+    body = F.when(k == 1, F.lit("Cons: short")).otherwise(F.concat(head, t, F.lit("\nQuestions: "), t))
     return tb.read(spark, sf, "documents").select("doc_id", F.length(T.weakness_section(body)).alias("section_chars"))
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM documents)
-  SELECT doc_id, md5(trim(CASE WHEN doc_id % 2 = 0 THEN 'a b c 1' ELSE substr(t, 1, 500) END)) AS abstract FROM d""")
+  SELECT doc_id, md5(trim(CASE WHEN doc_id % 2 = 0 THEN 'a b c 1' ELSE substr(t, 1, 2500) END)) AS abstract FROM d""")
 def abstracts_from_text(spark: SparkSession, sf: str) -> DataFrame:
     """the abstract of a first page, between its heading and the introduction, or its beginning."""
-    t = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, 500)
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
     page = F.when(F.col("doc_id") % 2 == 0, F.lit("Title\nAbstract: a\n b  c\n1 Introduction\nx")).otherwise(t)
     return tb.read(spark, sf, "documents").select("doc_id", F.md5(T.abstract_of(page)).alias("abstract"))
 

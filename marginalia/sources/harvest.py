@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Conference, API generation.
 VENUES = {"ICLR": 2, "NeurIPS": 2, "ICML": 2}
@@ -105,6 +105,92 @@ class _TokenReader(DataSourceReader):
             page += 1
 
 
+def landed_page(root: str, part: str, token: str) -> tuple[str, str] | None:
+    """(xml, next token) of a page that land_pages() wrote; None where there is none. Any store that pyarrow reads will do."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    where, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+    folder = f"{base}/part={part}/token={token}"
+    if where.get_file_info(folder).type != fs.FileType.Directory:
+        return None
+    rows = ds.dataset(folder, filesystem=where, format="parquet").to_table(columns=["xml", "next"]).to_pylist()
+    return (rows[0]["xml"], rows[0]["next"] or "") if rows else None
+
+
+def land_pages(records: DataFrame, root: str, part: str, order: str, xml: str, size: int) -> None:
+    """Write records as pages of size, as a service would give them: part by part, each page with the token of the next.
+
+    part, order and xml name the columns of records; part's values must do as names of folders. The first token is 0.
+    """
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    paged = records.withColumn("n", n).withColumn("token", F.floor(F.col("n") / size))
+    pages = paged.groupBy(F.col(part).alias("part"), "token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(xml).alias("x")))), lambda r: r["x"]), "").alias("x"))
+    last = paged.groupBy(F.col(part).alias("part")).agg(F.max("token").alias("last"))
+    following = F.when(F.col("token") < F.col("last"), (F.col("token") + 1).cast("string"))
+    pages.join(last, "part").select("part", "token", F.concat(F.lit("<page>"), "x", F.lit("</page>")).alias("xml"), following.alias("next")).write.partitionBy("part", "token").parquet(root)
+
+
+class HarvestStream(DataSource):
+    """A stream of a harvest's pages, part by part: option root is a folder of landed pages, parts a JSON list of names.
+
+    The offset is the token that each part goes on with and its page's number, so a stopped stream goes on where it was,
+    each page once. A batch takes at most option pages of each part (0: all there are); the driver follows the tokens,
+    the pages are read in tasks, one for each. Rows: part, page, xml.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "harvest_stream"
+
+    def schema(self) -> str:
+        return "part string, page int, xml string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _HarvestReader(self.options)
+
+
+class _HarvestReader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.root, self.parts, self.pages, self.at = options["root"], json.loads(options["parts"]), int(options.get("pages", "0")), None
+
+    def initialOffset(self) -> dict:
+        return {part: ["0", 0] for part in self.parts}
+
+    def _follow(self, part: str, token: str, page: int, most: int):
+        """The pages of a part from a token on, and where it goes on after them; an empty token is its end."""
+        taken = []
+        while token and (not most or len(taken) < most):
+            found = retried(lambda token=token: landed_page(self.root, part, token))
+            if found is None:
+                break
+            taken.append((page, token))
+            token, page = found[1], page + 1
+        return taken, [token, page]
+
+    def latestOffset(self) -> dict:
+        start = self.at or self.initialOffset()
+        return {part: self._follow(part, *start.get(part, ["0", 0]), self.pages)[1] for part in self.parts}
+
+    def partitions(self, start: dict, end: dict):
+        out = []
+        for part in self.parts:
+            token, page = start.get(part, ["0", 0])
+            if end[part][1] > page:
+                out += [InputPartition((part, p, t)) for p, t in self._follow(part, token, page, end[part][1] - page)[0]]
+        self.at = end
+        return out
+
+    def read(self, partition):
+        part, page, token = partition.value
+        yield part, page, retried(lambda: landed_page(self.root, part, token))[0]
+
+    def commit(self, end: dict) -> None:
+        self.at = end
+
+
 def resume_points(landed: DataFrame) -> DataFrame:
     """(part, next_token) of landed pages: where each part goes on; null where it is done."""
     return landed.groupBy("part").agg(F.max_by("next_token", "page").alias("next_token"))
@@ -114,7 +200,7 @@ class PagedNotes(DataSource):
     """Notes of an offset-paginated service, a partition for each page: option fetch names module:function(offset, limit).
 
     The function returns a list of (id, json) and a shorter list than limit on the last page. option total is the probe
-    of the number of notes.
+    of the number of notes; option root, where given, is the function's third argument.
     """
 
     @classmethod
@@ -130,7 +216,7 @@ class PagedNotes(DataSource):
 
 class _PageReader(DataSourceReader):
     def __init__(self, options):
-        self.fetch, self.total, self.limit = options["fetch"], int(options["total"]), int(options.get("limit", "1000"))
+        self.fetch, self.total, self.limit, self.root = options["fetch"], int(options["total"]), int(options.get("limit", "1000")), options.get("root")
 
     def partitions(self):
         return [InputPartition(offset) for offset in range(0, max(1, self.total), self.limit)]
@@ -139,7 +225,8 @@ class _PageReader(DataSourceReader):
         import importlib
 
         module, _, name = self.fetch.partition(":")
-        yield from retried(lambda: getattr(importlib.import_module(module), name)(partition.value, self.limit))
+        more = (self.root,) if self.root else ()
+        yield from retried(lambda: getattr(importlib.import_module(module), name)(partition.value, self.limit, *more))
 
 
 def retried(call, attempts: int = 3, decide=lambda error: True):
