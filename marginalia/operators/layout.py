@@ -58,7 +58,7 @@ def overlapping(blocks: DataFrame, share: float = 0.8) -> DataFrame:
     return near.filter(width * height >= share * F.least(area("a"), area("b"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.page").alias("page"), F.col("a.block_id").alias("a"), F.col("b.block_id").alias("b"))
 
 
-def merged_overlaps(blocks: DataFrame, share: float = 0.8, rounds: int = 20) -> DataFrame:
+def merged_overlaps(blocks: DataFrame, share: float = 0.8) -> DataFrame:
     """(doc_id, page, block_id, x0, y0, x1, y1, text): blocks that overlap by share become one, until none do; captions never merge.
 
     A merged block has the smallest id, the box around all and their texts from top to bottom. Every round joins a block with
@@ -73,7 +73,7 @@ def merged_overlaps(blocks: DataFrame, share: float = 0.8, rounds: int = 20) ->
     columns = ["doc_id", "page", "block_id", "x0", "y0", "x1", "y1"]
     captions_apart = plain.filter("caption").select(*columns, own)
     rows = plain.filter("NOT caption").select(*columns, own).checkpoint()
-    for _ in range(rounds):
+    while True:
         into = overlapping(rows, share).groupBy("doc_id", "page", F.col("b").alias("block_id")).agg(F.min("a").alias("into")).checkpoint()
         if into.isEmpty():
             break
@@ -84,10 +84,22 @@ def merged_overlaps(blocks: DataFrame, share: float = 0.8, rounds: int = 20) ->
 
 
 def page_title(spans: DataFrame) -> DataFrame:
-    """The title of each document: spans of page 1 in at least 75 % of the largest type, in reading order."""
+    """The title of each document: spans of page 1 in at least 75 % of the largest type, in reading order.
+
+    Spans of one line (tops within 0.6 of the type's size) whose gap is at most 0.15 of it are parts of one word; that takes
+    their right ends, the column x1. Others, and spans without x1, are set apart by a blank.
+    """
     first = spans.filter("page = 1")
     top = first.groupBy("doc_id").agg(F.max("size").alias("top"))
     big = first.join(top, "doc_id").filter(F.col("size") >= 0.75 * F.col("top"))
-    parts = F.array_sort(F.collect_list(F.struct("y0", "x0", "text")))
-    text = F.array_join(F.transform(parts, lambda p: p["text"]), " ")
+    big = big.withColumn("right", F.col("x1") if "x1" in spans.columns else F.lit(None).cast("double"))
+    parts = F.array_sort(F.collect_list(F.struct("y0", "x0", "text", "right", "size")))
+
+    def add(s: Column, p: Column) -> Column:
+        near = (F.abs(p["y0"] - s["y0"]) <= 0.6 * p["size"]) & (p["x0"] - s["right"] <= 0.15 * p["size"])
+        glue = F.when(F.coalesce(near, F.lit(False)) | (s["text"] == ""), F.lit("")).otherwise(" ")
+        return F.struct(F.concat(s["text"], glue, p["text"]).alias("text"), p["y0"].cast("double").alias("y0"), p["right"].cast("double").alias("right"))
+
+    none = F.lit(None).cast("double")
+    text = F.aggregate(parts, F.struct(F.lit("").alias("text"), none.alias("y0"), none.alias("right")), add)["text"]
     return big.groupBy("doc_id").agg(F.regexp_replace(text, r"(\w)- (\p{Ll})", "$1$2").alias("title"))

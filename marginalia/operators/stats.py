@@ -103,3 +103,17 @@ def set_scores(pred: DataFrame, truth: DataFrame, key: str = "id", item: str = "
     both = both.filter("n_true > 0")
     pr, rc = F.coalesce(F.try_divide("hit", "n_pred"), F.lit(0.0)), F.col("hit") / F.col("n_true")
     return both.select(key, "n_pred", "n_true", "hit", pr.alias("precision"), rc.alias("recall"), F.coalesce(F.try_divide(2 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"))
+
+
+def share_sweep(neighbours: DataFrame, points: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(sample_id, k, aspect, n, share): of the first k neighbours of a sample, how many have a point of each aspect, for every k at once.
+
+    neighbours: sample_id, paper_id, rank from 1; points: paper_id, aspect. One join serves all k; a sample with fewer than k
+    neighbours divides by those it has, and aspects that none of the k has are left out.
+    """
+    near = neighbours.filter(F.col("rank") <= max(ks))
+    sizes = near.groupBy("sample_id").agg(F.count("*").alias("held"))
+    first = lambda k: F.count_if(F.col("rank") <= k)
+    counts = near.join(points.select("paper_id", "aspect").distinct(), "paper_id").groupBy("sample_id", "aspect").agg(F.array(*[F.struct(F.lit(k).alias("k"), first(k).alias("n")) for k in ks]).alias("by_k"))
+    rows = counts.join(sizes, "sample_id").select("sample_id", "aspect", "held", F.explode("by_k").alias("x")).select("sample_id", "x.k", "aspect", "x.n", "held")
+    return rows.filter("n > 0").select("sample_id", "k", "aspect", "n", (F.col("n") / F.least("held", "k")).alias("share"))

@@ -89,3 +89,31 @@ def capped_texts(rows: DataFrame, order: list, cap: int = 6, chars: int = 1200)
 def nothing_selected(level: Column, message: Column) -> Column:
     """The summary where no paper was selected: a warning if the retrieval was weak, else that the texts didn't match."""
     return F.when(level == "weak", F.concat(F.lit("> ⚠️ **"), message, F.lit(f"**\n\n{NO_REVIEWS}"))).otherwise(NO_MATCH)
+
+
+# What is said of a history that can't be shown, or not in full.
+NO_HISTORY, NOT_READ = "{}는 심사 이력을 조회할 수 없는 학회입니다.", "OpenReview 조회에 실패했습니다 ({}). 잠시 후 다시 시도해 주세요."
+FINAL_REVIEWS = "리뷰 본문과 점수는 최종 수정본입니다. 리뷰어가 저자 응답 이후 리뷰를 고친 경우 최초 게시 시점의 내용과 다르며, 고치기 전 점수는 공개되지 않습니다."
+OLD_INTERFACE = "이 학회는 저자 수정 이력을 공개하지 않습니다(2023년 이전 학회는 구 API를 씁니다). 리뷰와 저자 응답은 아래에 있지만, 저자가 제목·초록·PDF를 어떻게 고쳤는지는 볼 수 없습니다 — 고치지 않았다는 뜻이 아닙니다."
+BODY_UNSEEN = "확인할 수 있는 수정은 제목·초록·첨부파일까지입니다. 논문 본문이 어떻게 바뀌었는지는 PDF 안에 있어 알 수 없습니다."
+NO_EDITS = "저자가 제목·초록을 고친 기록은 공개되지 않았습니다. 수정하지 않았다는 뜻이 아니라, 학회가 수정 내역을 열지 않은 경우입니다."
+NO_EVENTS = "이 논문에는 공개된 리뷰·응답 기록이 없습니다."
+
+
+def histories(papers: DataFrame, registry: DataFrame, landed: DataFrame) -> DataFrame:
+    """(paper_id, supported, replies, caveats): each paper's history, or in its place why there is none; a part that fails takes no row with it.
+
+    papers: paper_id, venue; registry: venue, version (v1 or v2) of venues that have histories; landed: paper_id, replies and
+    edits as JSON arrays, error where reading them failed. replies is the landed array where it can be read. Edits of a
+    paper that aren't its baseline change what the caveats say.
+    """
+    rows = papers.join(registry, "venue", "left").join(landed.withColumn("landed", F.lit(True)), "paper_id", "left")
+    readable = F.coalesce(F.col("landed") & F.col("error").isNull() & F.try_parse_json("replies").isNotNull() & F.try_parse_json("edits").isNotNull(), F.lit(False))
+    known = F.col("version").isNotNull()
+    why = F.when(~F.coalesce("landed", F.lit(False)), "NotFound").otherwise(F.coalesce("error", F.lit("JSONDecodeError")))
+    said = lambda text, value: F.concat(F.lit(text.split("{}")[0]), value, F.lit(text.split("{}")[1]))
+    edited = F.exists(F.from_json("edits", "ARRAY<STRUCT<is_baseline: BOOLEAN>>"), lambda e: ~F.coalesce(e["is_baseline"], F.lit(False)))
+    empty = (F.coalesce(F.json_array_length("replies"), F.lit(0)) == 0) & (F.coalesce(F.json_array_length("edits"), F.lit(0)) == 0)
+    notes = F.array(F.lit(FINAL_REVIEWS), F.when(F.col("version") != "v2", OLD_INTERFACE).when(F.coalesce(edited, F.lit(False)), BODY_UNSEEN).otherwise(NO_EDITS), F.when(empty, NO_EVENTS))
+    caveats = F.when(~known, F.array(said(NO_HISTORY, F.col("venue")))).when(~readable, F.array(said(NOT_READ, why))).otherwise(F.array_compact(notes))
+    return rows.select("paper_id", (known & readable).alias("supported"), F.when(known & readable, F.col("replies")).alias("replies"), caveats.alias("caveats"))

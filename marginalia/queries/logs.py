@@ -91,10 +91,11 @@ _FORUM = """n AS (SELECT conv_id, turn, conv_id || '/' || turn AS note_id, text,
 
 @query(f"""WITH {_FORUM}, k AS (SELECT *, CASE inv WHEN 'Official_Review' THEN 'review' WHEN 'Decision' THEN 'decision' WHEN 'Meta_Review' THEN 'meta_review' WHEN 'Official_Comment' THEN CASE WHEN author THEN 'rebuttal' ELSE 'comment' END END AS kind FROM n WHERE inv NOT IN ('Submission', 'Other')),
   e AS (SELECT conv_id, note_id AS event_id, created AS "at", kind, actor, CASE kind WHEN 'review' THEN actor || ' — ' || CASE WHEN conv_id % 3 = 0 THEN '8: accept' ELSE '5: borderline' END WHEN 'decision' THEN '최종 결과: ' || CASE WHEN conv_id % 2 = 0 THEN 'Accept' ELSE '결과 공개' END WHEN 'meta_review' THEN 'AC 총평'
-      ELSE actor || CASE WHEN conv_id % 2 = 0 THEN ': About it' ELSE '의 코멘트' END END AS headline FROM k
-    UNION ALL SELECT conv_id, note_id || ':update', modified, 'review_update', actor, actor || '가 저자 응답 이후 리뷰를 수정했습니다' || CASE WHEN conv_id % 3 = 0 THEN ' (최종 8: accept)' ELSE '' END || ' — 수정 전 내용은 공개되지 않습니다' FROM k WHERE kind = 'review' AND modified > created
-    UNION ALL SELECT DISTINCT conv_id, conv_id || '/r' || r, 1700000000000 + r * 1000, 'author_revision', '저자', CASE r WHEN 0 THEN '관측 가능한 최초 제출본 — 이전 내용은 확인할 수 없습니다' WHEN 1 THEN '수정본 — 제목, 초록' ELSE '수정본 — 제목·초록·첨부파일에는 변화가 없습니다' END FROM conversations CROSS JOIN range(3) t(r))
-  SELECT conv_id AS paper_id, event_id, "at", strftime(make_timestamp("at" * 1000) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS date, kind, actor, headline FROM e""")
+      ELSE actor || CASE WHEN conv_id % 2 = 0 THEN ': About it' ELSE '의 코멘트' END END AS headline,
+      CASE WHEN kind <> 'review' THEN md5(CASE WHEN length(text) > 3000 THEN rtrim(substr(text, 1, 3000), ' ') || ' …' ELSE text END) END AS text, CASE WHEN kind = 'review' THEN CASE WHEN conv_id % 3 = 0 THEN 8.0::DOUBLE ELSE 5 END END AS rating FROM k
+    UNION ALL SELECT conv_id, note_id || ':update', modified, 'review_update', actor, actor || '가 저자 응답 이후 리뷰를 수정했습니다' || CASE WHEN conv_id % 3 = 0 THEN ' (최종 8: accept)' ELSE '' END || ' — 수정 전 내용은 공개되지 않습니다', NULL, CASE WHEN conv_id % 3 = 0 THEN 8.0::DOUBLE END FROM k WHERE kind = 'review' AND modified > created
+    UNION ALL SELECT DISTINCT conv_id, conv_id || '/r' || r, 1700000000000 + r * 1000, 'author_revision', '저자', CASE r WHEN 0 THEN '관측 가능한 최초 제출본 — 이전 내용은 확인할 수 없습니다' WHEN 1 THEN '수정본 — 제목, 초록' ELSE '수정본 — 제목·초록·첨부파일에는 변화가 없습니다' END, NULL, NULL FROM conversations CROSS JOIN range(3) t(r))
+  SELECT conv_id AS paper_id, event_id, "at", strftime(make_timestamp("at" * 1000) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS date, kind, actor, headline, text, rating FROM e""")
 def forum_timelines(spark: SparkSession, sf: str) -> DataFrame:
     """Replies of forums and revisions as events in words; stored reviews stand before live ones."""
     c = tb.read(spark, sf, "conversations")
@@ -112,7 +113,7 @@ def forum_timelines(spark: SparkSession, sf: str) -> DataFrame:
     edits = papers.select(F.col("forum").alias("paper_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r"))
     labels = F.when(F.col("r") == 1, F.array(F.lit("제목"), F.lit("초록"))).otherwise(F.array().cast("array<string>"))
     revisions = edits.select("paper_id", F.concat_ws("/r", F.col("paper_id").cast("string"), F.col("r").cast("string")).alias("revision_id"), (F.lit(1700000000000) + F.col("r") * 1000).alias("at"), F.lit("수정본").alias("kind_label"), (F.col("r") == 0).alias("is_baseline"), labels.alias("labels"))
-    return timeline.forum_events(harvest.forum_replies(notes, papers), stored, revisions).select("paper_id", "event_id", "at", "date", "kind", "actor", "headline")
+    return timeline.forum_events(harvest.forum_replies(notes, papers), stored, revisions).select("paper_id", "event_id", "at", "date", "kind", "actor", "headline", F.md5("text").alias("text"), "rating")
 
 
 @query("""SELECT event_id, CASE WHEN status IN ('pending', 'running') AND n > 1 THEN 'failed' ELSE status END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, status IN ('pending', 'running') ORDER BY ts DESC, event_id DESC) AS n

@@ -126,3 +126,23 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     fills = b.filter("n % 11 = 0").selectExpr("doc_id", "page", "x0", "x0 + 320 AS x1", "y0", "y1")
     boxes = regions.box_regions(fills, b, figures.unionByName(tables), WIDTH).checkpoint()
     return regions.full_text(b, figures, tables, boxes, regions.equation_regions(b, b, WIDTH).checkpoint())
+
+
+@query("""WITH b AS (SELECT event_id AS block_id, user_id AS doc_id, (event_id % 3)::INT AS page, (event_id % 2)::DOUBLE AS x0, (event_id % 2 + 50 + event_id % 9)::DOUBLE AS x1, (event_id * 13 % 2000)::DOUBLE AS y0, (event_id * 13 % 2000 + 10 + event_id % 20)::DOUBLE AS y1, event_id::VARCHAR AS text FROM events),
+  g AS (SELECT doc_id, median(y1 - y0) * 0.5 AS gap FROM b GROUP BY 1), l AS (SELECT *, lag(y1) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0, y1) AS above FROM b JOIN g USING (doc_id)),
+  r AS (SELECT *, count(*) FILTER (WHERE above IS NULL OR y0 - above >= gap) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0, y1 ROWS UNBOUNDED PRECEDING) AS run FROM l)
+  SELECT doc_id, page, x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, chr(10) ORDER BY y0, text) AS text FROM r GROUP BY doc_id, page, x0, run""")
+def merged_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """X11: blocks of a column that follow one another closely as one, by half the median height of a document's lines."""
+    e = F.col("event_id")
+    y = (e * 13 % 2000).cast("double")
+    b = tb.read(spark, sf, "events").select(e.alias("block_id"), F.col("user_id").alias("doc_id"), (e % 3).cast("int").alias("page"), (e % 2).cast("double").alias("x0"), (e % 2 + 50 + e % 9).cast("double").alias("x1"), y.alias("y0"), (y + 10 + e % 20).alias("y1"), e.cast("string").alias("text"))
+    return layout.merged_close(b)
+
+
+@query("""WITH s AS (SELECT p_partkey AS doc_id, string_split(p_name || ' ' || p_brand, ' ') AS w FROM part) SELECT doc_id, w[1] || coalesce(w[2], '') || CASE WHEN len(w) > 2 THEN ' ' || array_to_string(w[3:], ' ') ELSE '' END AS title FROM s""")
+def split_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of spans of which the first two are halves of a word, by the gap between them."""
+    p = tb.read(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("k", "text"))
+    spans = p.select("doc_id", F.lit(1).alias("page"), (F.col("k") % 2).cast("double").alias("dy"), (100.0 * F.col("k")).alias("x0"), F.when(F.col("k") == 0, 99.0).otherwise(100.0 * F.col("k") + 60).alias("x1"), F.lit(17.0).alias("size"), "text")
+    return layout.page_title(spans.withColumn("y0", F.lit(80.0)))

@@ -92,3 +92,21 @@ def narrative_facts(spark: SparkSession, sf: str) -> DataFrame:
     c = tb.read(spark, sf, "conversations").select(F.col("conv_id").alias("paper_id"), "turn", "text")
     out = story.capped_texts(c, ["turn"])
     return out.select("paper_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1), s AS (SELECT conv_id, turns, conv_id % 4 AS v, conv_id % 10 AS k FROM c)
+  SELECT conv_id AS paper_id, v < 3 AND k NOT IN (3, 7, 9) AS supported, CASE WHEN v < 3 AND k NOT IN (3, 7, 9) THEN CASE WHEN k = 1 THEN 0 ELSE turns END END::INT AS replies,
+  CASE WHEN v = 3 THEN replace('{story.NO_HISTORY}', '{{}}', 'V3') WHEN k IN (3, 7, 9) THEN replace('{story.NOT_READ}', '{{}}', CASE k WHEN 3 THEN 'JSONDecodeError' WHEN 7 THEN 'NotFound' ELSE 'Timeout' END)
+    ELSE '{story.FINAL_REVIEWS}' || '|' || CASE WHEN v = 0 THEN '{story.OLD_INTERFACE}' WHEN conv_id % 3 = 0 THEN '{story.BODY_UNSEEN}' ELSE '{story.NO_EDITS}' END || CASE WHEN k = 1 AND conv_id % 3 > 1 THEN '|{story.NO_EVENTS}' ELSE '' END END AS caveats FROM s""")
+def story_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every paper has its row, though some histories are broken, missing, timed out or of venues without any."""
+    c, p = tb.read(spark, sf, "conversations"), F.col("paper_id")
+    turns = c.groupBy(F.col("conv_id").alias("paper_id")).agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
+    papers = turns.select("paper_id", F.concat(F.lit("V"), (p % 4).cast("string")).alias("venue"))
+    registry = spark.createDataFrame([("V0", "v1"), ("V1", "v2"), ("V2", "v2")], "venue string, version string")
+    k = p % 10
+    replies = F.when(k == 3, '[{"turn": ').when(k == 1, "[]").otherwise(F.to_json("turns"))
+    edits = F.when(p % 3 == 0, '[{"is_baseline": true}, {"is_baseline": false}]').when(p % 3 == 1, '[{"is_baseline": true}]').otherwise("[]")
+    landed = turns.filter(k != 7).select("paper_id", replies.alias("replies"), edits.alias("edits"), F.when(k == 9, "Timeout").alias("error"))
+    out = story.histories(papers, registry, landed)
+    return out.select("paper_id", "supported", F.json_array_length("replies").alias("replies"), F.array_join("caveats", "|").alias("caveats"))

@@ -133,6 +133,17 @@ def beta_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("beta", "aspect", r6((F.col("n") / F.col("total")) / F.pow(F.col("held") / F.col("total"), F.col("beta"))).alias("score"))
 
 
+@query(f"""WITH {tb.POINTS}, h AS (SELECT l_suppkey AS sample_id, l_orderkey AS paper_id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2), r AS (SELECT sample_id, paper_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, paper_id) AS rank FROM h),
+  p AS (SELECT DISTINCT paper_id, aspect FROM points WHERE sentiment = 'weakness'), s AS (SELECT sample_id, k, aspect, count(*) AS n, count(*) / least(k, (SELECT count(*) FROM r q WHERE q.sample_id = r.sample_id AND q.rank <= k)) AS share FROM r JOIN p USING (paper_id) JOIN (VALUES (20), (50), (100), (150)) t(k) ON rank <= k GROUP BY sample_id, k, aspect)
+  SELECT k, aspect, sum(n)::BIGINT AS papers, round(avg(share), 6) AS share FROM s GROUP BY k, aspect""")
+def top_k_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each aspect stands among a sample's first 20, 50, 100 and 150 neighbours."""
+    hits = tb.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("paper_id")).agg(F.max("l_extendedprice").alias("score"))
+    near = hits.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "paper_id")))
+    sweep = stats.share_sweep(near, tb.points(spark, sf).filter("sentiment = 'weakness'"), (20, 50, 100, 150))
+    return sweep.groupBy("k", "aspect").agg(F.sum("n").alias("papers"), r6(F.avg("share")).alias("share"))
+
+
 @query("""WITH last AS (SELECT user_id, max(ts) AS last_ts FROM events WHERE event_type = 'view' GROUP BY 1), running AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 400),
   old AS (SELECT e.event_id, e.props FROM events e LEFT JOIN last l USING (user_id) WHERE e.event_type = 'click' AND greatest(e.ts, coalesce(l.last_ts, e.ts)) < TIMESTAMP '2024-01-29' AND e.user_id NOT IN (SELECT user_id FROM running))
   SELECT count(*) AS n, coalesce(sum(length(props)), 0)::BIGINT AS bytes FROM old""")
