@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from marginalia.session import checkpoint_dir
+
 SEGMENTS = "array<struct<op: string, text: string>>"
 
 
@@ -61,20 +63,20 @@ def letter_bound(old: Column, new: Column) -> Column:
     return F.coalesce(F.try_divide(2 * F.least(a, b), a + b), F.lit(1.0))
 
 
-def greedy_pairs(scores: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs by falling score; ties by left, then right."""
-    left: set = set()
-    right: set = set()
-    keep = []
-    for row in scores.sort_values(["score", "left", "right"], ascending=[False, True, True]).itertuples():
-        if row.left not in left and row.right not in right:
-            left.add(row.left)
-            right.add(row.right)
-            keep.append(row.Index)
-    return scores.loc[keep]
-
-
 def greedy_match(scores: DataFrame, group: str | list[str], threshold: float) -> DataFrame:
-    """Greedy one-to-one matching inside each group of a score table (group, left, right, score)."""
-    rows = scores.filter(F.col("score") >= threshold)
-    return rows.groupBy(group).applyInPandas(greedy_pairs, rows.schema)
+    """Rows of a score table (group, left, right, score) that greedy one-to-one matching takes in each group: by falling score,
+    then by left, then by right.
+
+    Rounds of joins: a pair that is the best left of both its sides is one that the greedy way takes; the pairs of those sides go,
+    and the next round looks among the rest. No group has to fit into a task. Rows that repeat a pair count as one.
+    """
+    checkpoint_dir(scores.sparkSession)
+    keys = [group] if isinstance(group, str) else list(group)
+    rows = scores.filter(F.col("score") >= threshold).dropDuplicates([*keys, "left", "right"]).checkpoint()
+    rest, taken = rows.select(*keys, "left", "right", "score"), None
+    while not rest.isEmpty():
+        best = lambda one, other: rest.groupBy(*keys, one).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(other).alias("x"))).getField("x").alias(other))  # noqa: E731, B023
+        found = best("left", "right").join(best("right", "left"), [*keys, "left", "right"]).checkpoint()
+        taken = found if taken is None else taken.unionByName(found)
+        rest = rest.join(found.select(*keys, "left"), [*keys, "left"], "left_anti").join(found.select(*keys, "right"), [*keys, "right"], "left_anti").select(*keys, "left", "right", "score").checkpoint()
+    return rows.limit(0) if taken is None else rows.join(taken, [*keys, "left", "right"], "left_semi")

@@ -34,6 +34,28 @@ def reach(seeds: DataFrame, links: DataFrame, *, stop_at: int | None = MAX_STOPS
     return seen
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, root): each linked paper with the smallest id that it reaches over links (earlier, later) in either direction.
+
+    Trees of parents are hooked on one another and made flat in the same round, so a chain of n papers takes about log n rounds;
+    no pairs of a component are made, and papers without links aren't there.
+    """
+    checkpoint_dir(links.sparkSession)
+    both = links.select(F.col("earlier").alias("u"), F.col("later").alias("v")).filter("u <> v")
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    tree = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root")).checkpoint()
+    while True:
+        above = tree.select("id", "root").join(tree.select(F.col("id").alias("root"), F.col("root").alias("grand")), "root")
+        near = both.join(above.select(F.col("id").alias("v"), "grand"), "v").groupBy("u").agg(F.min("grand").alias("least"))
+        near = above.join(near, above["id"] == near["u"]).select("id", "root", F.least("least", "grand").alias("least"))
+        lower = near.select("id", "least").unionByName(near.select(F.col("root").alias("id"), "least"))
+        new = lower.groupBy("id").agg(F.min("least").alias("low")).join(tree, "id").select("id", F.least("low", "root").alias("root"), (F.col("low") < F.col("root")).alias("moved")).checkpoint()
+        done = new.filter("moved").isEmpty()
+        tree = new.select("id", "root")
+        if done:
+            return tree
+
+
 def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
     """Order of one chain: ready stops by (year, id), what is left on a cycle after them by (year, id)."""
     nodes = {int(i): int(y) for i, y in zip(pdf["id"], pdf["year"], strict=True)}

@@ -91,8 +91,10 @@ _CHAIN = f"""{tb.PAPERS}, links AS (SELECT * FROM (SELECT id AS earlier, lead(id
   SELECT root, count(*) AS stops, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY 1""")
 def version_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Closure of links from each paper, without the cap, which SQL can't follow (submission_journeys has it)."""
-    r = graph.reach(tb.papers(spark, sf).select("id"), _chain_links(spark, sf, "year"), stop_at=None, hops=1000)
-    return r.groupBy("root").agg(F.count("*").alias("stops"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    part = graph.components(_chain_links(spark, sf, "year"))
+    whole = tb.papers(spark, sf).select("id").join(part, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    ends = whole.groupBy("part").agg(F.count("*").alias("stops"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return whole.join(ends, "part").select(F.col("id").alias("root"), "stops", "first_id", "last_id")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 from pyspark.sql import Row, functions as F
 
@@ -137,6 +138,39 @@ def test_greedy_match(spark):
     assert {(r.left, r.right) for r in diff.greedy_match(rows, "g", 0.2).collect()} == {(1, 2), (2, 1)}
 
 
+def test_greedy_match_is_the_greedy_loop(spark):
+    """Random scores with many ties, several groups, repeated rows, labels and numbers."""
+    rng = random.Random(9)
+    rows = [(f"g{i % 4}", f"a{rng.randint(0, 12)}", rng.randint(0, 12), rng.randint(0, 8) / 8, i) for i in range(500)] + [("x", "a", 1, None, 1), ("y", "a", 1, 0.1, 2)]
+    want, used = set(), set()
+    for g, a, b, s, _ in sorted((r for r in rows if r[3] is not None and r[3] >= 0.2), key=lambda r: (-r[3], r[1], r[2])):
+        if (g, "l", a) not in used and (g, "r", b) not in used:
+            used |= {(g, "l", a), (g, "r", b)}
+            want.add((g, a, b, s))
+    best = {}
+    for r in rows:
+        if r[3] is not None:
+            best[r[:3]] = max(best.get(r[:3], 0.0), r[3])
+    once = [(*k, s, "extra") for k, s in best.items()]
+    got = diff.greedy_match(spark.createDataFrame([*once, *once], "g string, left string, right int, score double, more string"), "g", 0.2)
+    assert sorted((r.g, r.left, r.right, r.score) for r in got.collect()) == sorted(want) and got.columns == ["g", "left", "right", "score", "more"]
+    assert diff.greedy_match(got.limit(0), ["g"], 0.2).count() == 0
+
+
+def test_components_of_random_graphs_and_chains(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(1000 + (i * 7) % 120, 1000 + ((i + 1) * 7) % 120) for i in range(119)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    low = {}
+    find = lambda x: x if low.setdefault(x, x) == x else find(low[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        low[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r.id: r.root for r in graph.components(spark.createDataFrame(edges, "earlier long, later long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    assert graph.components(spark.createDataFrame([], "earlier long, later long")).count() == 0
+
+
 def test_upsert_is_idempotent(spark):
     new = spark.createDataFrame([("p1", "title", None), (None, "no id", None)], "k string, title string, emb string")
     old = spark.createDataFrame([("p1", "old", "vec")], "k string, title string, emb string")
