@@ -176,7 +176,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     linked = rows.select("id", "url", "html").mapInArrow(compressed, "id long, url string, sha string, size long, frame binary").join(again, ["sha", "size"], "left")
 
     def work(batches):
-        part, number, out = TaskContext.get().partitionId(), 0, None
+        # the attempt is part of the names, so a lost or speculative one never writes over files that the manifest lists
+        part, attempt, number, out = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, None
         system, base = _file_system(folder)
         system.create_dir(base, recursive=True)
         pack = packer()
@@ -190,7 +191,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in batches:
             for page, url, sha, length, frame, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    final = f"{base}/part-{part:05d}-{number:05d}.warc.zst"
+                    final = f"{base}/part-{part:05d}-{attempt}-{number:05d}.warc.zst"
                     temporary = f"{base}/.{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary, compression=None)
                     out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
