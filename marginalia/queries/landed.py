@@ -172,3 +172,14 @@ def harvested_pages(spark: SparkSession, sf: str) -> DataFrame:
     landed = spark.read.schema("part string, page int, xml string").parquet(f"{base}/landed")
     found = landed.select("part", "page", F.explode(F.from_xml("xml", F.lit("record ARRAY<STRUCT<id: BIGINT, title: STRING>>"))["record"]).alias("r"))
     return found.select("part", "page", "r.id", "r.title")
+
+
+@query("""WITH f AS (SELECT page_id, coalesce(html, '') || chr(10) AS body FROM pages) SELECT page_id, octet_length(encode(body)) AS length, md5(body) AS content FROM f WHERE octet_length(encode(body)) <= 2000""")
+def attachments(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files, read back as far as they are no larger than a cap (the feature)."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/attachments-{uuid.uuid4().hex}"
+    pages = tb.read(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(root)
+    files = harvest.attachments(spark, f"{root}/*/*.txt", 2000)
+    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint")
+    return files.select(page.alias("page_id"), "length", F.md5("content").alias("content"))
