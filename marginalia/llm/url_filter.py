@@ -2,7 +2,7 @@
 
 The tree has a root for each host and a level for each path segment, down to the last one. A segment becomes a wildcard if it
 looks like a value (holds a digit) or if its siblings are mostly different from one another; below a wildcard the branches
-of all its values are one. Branches whose share of bad labels doesn't differ significantly from that of their siblings
+of all its values are one. Segments that all paths of a branch share are followed in one step. Branches whose share of bad labels doesn't differ significantly from that of their siblings
 are merged; a value whose share does, on enough labels, keeps a branch of its own. A template is rejected if its smoothed
 share of bad labels is high. All of it is grouping and joining; what is joined is written first, so that joins read
 plain shuffles, which Spark can split where a host or template is hot.
@@ -64,22 +64,22 @@ def templates(urls: DataFrame, *, fan_out: int = 16, repeat: float = 4.0, z: flo
 
     A node's children are one wildcard if there are over fan_out of them (all that hold a digit count as one) with fewer
     than repeat rows each on average. A child that would be part of a wildcard stands alone if its share of bad labels is
-    apart from its siblings' and at least least_labels labels tell so. Levels go on while a node has two paths or more; the
-    rest of a single path has no siblings and is named at once.
+    apart from its siblings' and at least least_labels labels tell so. A segment without siblings has its name at once, so
+    a round follows each node down to where its paths fork: rounds count the forks on a path, not its segments.
     """
-    level, done = 0, []
+    done = []
     rows = urls.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    rows = written(rows.select("*", F.lit("").alias("template"), (F.size("segments") == 0).alias("ended")), "branches")
+    rows = written(rows.select("*", F.lit("").alias("template"), F.lit(0).alias("level"), (F.size("segments") == 0).alias("ended")), "branches")
     digit = lambda s: s.rlike("[0-9]")
     while True:
-        done.append(rows.filter("ended").drop("ended"))
-        todo = rows.filter("NOT ended").withColumn("seg", F.get("segments", F.lit(level)))
+        done.append(rows.filter("ended").drop("ended", "level"))
+        todo = rows.filter("NOT ended").withColumn("seg", F.get("segments", "level"))
         if todo.isEmpty():
             break
         node = todo.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("paths"))
         node = written(node.withColumn("value", digit(F.col("seg"))), "nodes")
         kids = F.count_if(~F.col("value")) + F.max(F.col("value").cast("int"))
-        parent = node.groupBy("host", "template").agg(kids.alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "paths")))
+        parent = node.groupBy("host", "template").agg(kids.alias("kids"), F.count("*").alias("segs"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "paths")))
         parent = written(parent, "parents")
         wild = F.col("value") | ((F.col("kids") > fan_out) & (F.col("all_n") < repeat * F.col("kids")))
         # the branch against its siblings: two shares that differ by less than z standard errors are one
@@ -89,13 +89,18 @@ def templates(urls: DataFrame, *, fan_out: int = 16, repeat: float = 4.0, z: flo
         apart = F.coalesce(F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest_n)) > z * error, F.lit(False))
         alone = wild & apart & (F.least(F.col("labelled"), rest_n) >= least_labels)
         merged = ~alone & (wild | ((F.col("all_labelled") > 0) & ~apart & (F.col("kids") > 1)))
-        named = node.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(merged, F.lit("*")).otherwise(F.col("seg")).alias("name"), (F.col("all_paths") == 1).alias("single"))
-        named = written(named, "named")
-        tail = F.transform(F.slice("segments", level + 2, F.size("segments")), lambda s: F.when(digit(s), F.lit("*")).otherwise(s))
-        name = F.when(F.col("single"), F.concat_ws("/", F.array("name"), tail)).otherwise(F.col("name"))
-        nxt = todo.join(named, ["host", "template", "seg"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", F.lit("/"), name).alias("template"), (F.col("single") | (F.size("segments") == level + 1)).alias("ended"))
-        rows, level = written(nxt, "branches"), level + 1
-        for table in (node, parent, named):
+        forks = _forks(todo, parent)
+        named = node.join(parent, ["host", "template"])
+        named = named.withColumn("fork", F.lit(None).cast("int")) if forks is None else named.join(forks, ["host", "template"], "left")
+        steps = F.when(F.col("segs") > 1, F.lit(1)).otherwise(F.col("fork"))
+        named = written(named.select("host", "template", "seg", F.when(merged, F.lit("*")).otherwise(F.col("seg")).alias("name"), steps.alias("steps")), "named")
+        left = F.size("segments") - F.col("level")
+        took = F.least(F.coalesce("steps", left), left)
+        names = F.transform(F.slice("segments", F.col("level") + 1, took), lambda s: F.when(digit(s), F.lit("*")).otherwise(s))
+        name = F.when(F.col("steps") == 1, F.col("name")).otherwise(F.array_join(names, "/"))
+        nxt = todo.join(named, ["host", "template", "seg"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", F.lit("/"), name).alias("template"), (F.col("level") + took).alias("level"), (took == left).alias("ended"))
+        rows = written(nxt, "branches")
+        for table in (node, parent, named, forks):
             dropped(table)
     out = done[0]
     for more in done[1:]:
@@ -103,6 +108,25 @@ def templates(urls: DataFrame, *, fan_out: int = 16, repeat: float = 4.0, z: flo
     return out
 
 
+def _forks(todo: DataFrame, parent: DataFrame) -> DataFrame | None:
+    """(host, template, fork) of the nodes with several paths and one next segment: how many segments their paths share
+    before two of them differ, null if all of them lie on one path. None if there are no such nodes.
+
+    Each path is compared with the longest one of its node: what agrees with that so far agrees with one another.
+    """
+    chains = parent.filter("segs = 1 AND all_paths > 1").select("host", "template")
+    if chains.isEmpty():
+        return None
+    paths = written(todo.join(chains, ["host", "template"], "left_semi").select("host", "template", F.slice("segments", F.col("level") + 1, F.size("segments") - F.col("level")).alias("rest")), "chains")
+    longest = written(paths.groupBy("host", "template").agg(F.max_by("rest", F.size("rest")).alias("longest")), "longest")
+    differs = F.zip_with("rest", F.slice("longest", 1, F.size("rest")), lambda a, b: a != b)
+    at = F.nullif(F.array_position(differs, F.lit(True)), F.lit(0)) - 1
+    out = written(paths.join(longest, ["host", "template"]).groupBy("host", "template").agg(F.min(at).cast("int").alias("fork")), "forks")
+    dropped(paths)
+    dropped(longest)
+    return out
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "toxic", *, rules: tuple[UrlRule, ...] = RULES, prior: float = 2.0, reject: float = 0.5) -> DataFrame:
     """(id_col, host, path, rule, verdict, template, purity): one row for each page.
 

@@ -123,3 +123,30 @@ def test_deep_branches_and_values_of_their_own(spark):
     got = {r.page_id: r for r in same(spark, rows, labels)}
     assert all((got[i].verdict == "block") == (i % 2 == 0) and (got[1000 + i].verdict == "block") == (i % 3 == 0) for i in range(120))
     assert got[1001].template.startswith("/mp3/") and got[1].template == "/a/b/c/d/e/f/good/*"
+
+
+def test_shared_segments_take_one_round(spark, monkeypatch):
+    """Paths that share hundreds of segments, some of which end on the way, take a round for each fork only."""
+    rounds = []
+    monkeypatch.setattr(url_filter, "written", lambda df, name, kept=url_filter.written: rounds.append(name) or kept(df, name))
+    trap = [f"t{i}" if i % 3 else str(i) for i in range(300)]
+    rows = [(i, "http://two.test/" + "/".join([*trap[:200], end])) for i, end in enumerate(("a", "b"))]
+    rows += [(100 + i, "http://trap.test/" + "/".join(trap[:i])) for i in range(301)]
+    rows += [(500 + i, "http://mixed.test/" + "/".join([*trap[: 20 + i % 3], *(["x"] if i % 2 else []), str(i)])) for i in range(60)]
+    rows += [(900, "http://once.test/" + "/".join(trap)), (901, "http://root.test"), (902, None)]
+    labels = [(i, 0, i % 2) for i in range(0, 903, 3)]
+    got = {r.page_id: r.template for r in same(spark, rows, labels)}
+    assert got[0].count("/") == 201 and got[400].count("/") == 300
+    assert rounds.count("nodes") <= 6
+
+
+def test_random_chains(spark):
+    """Trees that are mostly chains, with values, ends on the way and a literal star."""
+    rng = random.Random(11)
+    stems = [[rng.choice(["a", "b", "*", "7", "c9"]) for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    pages = []
+    for i in range(600):
+        stem = rng.choice(stems)
+        tail = [rng.choice(["x", "y", "1", "2"]) for _ in range(rng.randint(0, 2))]
+        pages.append((i, f"http://{rng.choice(['h.test', 'y.com'])}/" + "/".join(stem[: rng.choice([len(stem), rng.randint(0, len(stem))])] + tail)))
+    same(spark, pages, [(i, 0, int(rng.random() < 0.3)) for i in range(0, 600, 2)])
