@@ -23,8 +23,10 @@ from marginalia.llm import textbytes as tb
 from marginalia.llm.storage import written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds of an item that must stand close to each other (fewer where it needs fewer), and seeds looked at in one go.
-TOGETHER, HITS = 3, 1 << 21
+#: Seeds of an item that must stand close to each other (fewer where it needs fewer), and places of items looked at in one go.
+TOGETHER, HITS = 3, 1 << 19
+#: Bytes of whole texts (or one longer text) whose words are held at once.
+AT_ONCE = 1 << 22
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -155,14 +157,16 @@ def _windows(items: Items, words: np.ndarray, places: np.ndarray):
 
 def _leaks(items: Items, column: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of texts the row, item and score of each alignment at or above the threshold."""
-    words, places = _words(column)
+    data, offsets = tb.column_bytes(column)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for text, item, left, right in _windows(items, words, places):
-        for lo in range(0, len(text), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
-            scores = align([items.words[i] for i in item[part]], [words[a:b] for a, b in zip(left[part], right[part], strict=True)])
-            good = scores >= threshold
-            out.append((text[part][good], item[part][good], scores[good]))
+    for first, end in tb.row_spans(offsets, AT_ONCE):
+        words, places = tb.word_hashes(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first], tb.ALNUM, tb.FOLDED)
+        for text, item, left, right in _windows(items, words, places):
+            for lo in range(0, len(text), 1 << 14):
+                part = slice(lo, lo + (1 << 14))
+                scores = align([items.words[i] for i in item[part]], [words[a:b] for a, b in zip(left[part], right[part], strict=True)])
+                good = scores >= threshold
+                out.append((text[part][good] + first, item[part][good], scores[good]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
