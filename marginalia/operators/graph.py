@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from marginalia.session import checkpoint_dir
+from marginalia.session import checkpoint_dir, written
 
 MAX_STOPS = 12
+OUT = ("reject", "desk-reject", "withdrawn")
 
 
 def reach(seeds: DataFrame, links: DataFrame, *, stop_at: int | None = MAX_STOPS, hops: int = 12) -> DataFrame:
@@ -18,20 +22,23 @@ def reach(seeds: DataFrame, links: DataFrame, *, stop_at: int | None = MAX_STOPS
     A root stops growing after the hop in which it has reached stop_at papers (none: it goes on), so a hop may go over that
     number.
     """
-    checkpoint_dir(seeds.sparkSession)
     both = links.select(F.col("earlier").alias("x"), F.col("later").alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    seen = seeds.select(F.col("id").alias("root"), "id").distinct()
+    # papers that the last hop found, with the number found so far; links go both ways, so only it and the hop before can be met again
+    edge = written(seeds.select(F.col("id").alias("root"), "id").distinct().withColumn("n", F.lit(1).cast("long")), "reach")
+    levels, last = [edge], edge.limit(0)
+    root = Window.partitionBy("root")
     for _ in range(hops):
-        grows = seen
-        if stop_at is not None:
-            grows = seen.join(seen.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") < stop_at), "root", "left_semi")
-        more = grows.join(both, F.col("id") == F.col("x")).select("root", F.col("y").alias("id"))
-        grown = seen.unionByName(more).distinct().checkpoint()
-        if grown.count() == seen.count():
-            return grown
-        seen = grown
-    return seen
+        grows = edge if stop_at is None else edge.filter(F.col("n") < stop_at)
+        near = grows.join(both, F.col("id") == F.col("x")).select("root", F.col("y").alias("id"), F.lit(0).cast("long").alias("n"))
+        met = near.unionByName(grows).unionByName(last).repartition("root").groupBy("root", "id").agg(F.max("n").alias("n"))
+        met = met.withColumn("all", F.max("n").over(root) + F.count_if(F.col("n") == 0).over(root))
+        found = written(met.filter("n = 0").select("root", "id", F.col("all").alias("n")), "reach")
+        if found.isEmpty():
+            break
+        levels.append(found)
+        edge, last = found, grows
+    return reduce(DataFrame.unionByName, levels).select("root", "id")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -56,22 +63,30 @@ def components(links: DataFrame) -> DataFrame:
             return tree
 
 
-def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Order of one chain: ready stops by (year, id), what is left on a cycle after them by (year, id)."""
-    nodes = {int(i): int(y) for i, y in zip(pdf["id"], pdf["year"], strict=True)}
-    before = {i: {int(x) for x in e if int(x) in nodes} for i, e in zip(nodes, pdf["before"], strict=True)}
-    ready, out = [(y, i) for i, y in nodes.items() if not before[i]], []
+def _kahn(ids, years, before) -> list[int]:
+    """Places of one chain's stops in order: ready stops by (year, id), what is left on a cycle after them by (year, id)."""
+    place = {int(i): k for k, i in enumerate(ids)}
+    key = [(int(y), int(i)) for y, i in zip(years, ids, strict=True)]
+    after, waits = [[] for _ in key], [0] * len(key)
+    for k, e in enumerate(before):
+        for j in {place[int(x)] for x in e if int(x) in place}:
+            after[j].append(k)
+            waits[k] += 1
+    ready, out = [(key[k], k) for k, w in enumerate(waits) if not w], []
     heapq.heapify(ready)
     while ready:
-        _, i = heapq.heappop(ready)
-        out.append(i)
-        for j, b in before.items():
-            if i in b:
-                b.discard(i)
-                if not b:
-                    heapq.heappush(ready, (nodes[j], j))
-    out += sorted(set(nodes) - set(out), key=lambda i: (nodes[i], i))
-    return pd.DataFrame({"root": pdf["root"].iloc[0], "id": out, "stop": range(1, len(out) + 1)})
+        _, k = heapq.heappop(ready)
+        out.append(k)
+        for j in after[k]:
+            waits[j] -= 1
+            if not waits[j]:
+                heapq.heappush(ready, (key[j], j))
+    return out + sorted(set(range(len(key))).difference(out), key=key.__getitem__)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _places(ids: pd.Series, years: pd.Series, before: pd.Series) -> pd.Series:
+    return pd.Series([np.array(_kahn(*chain), np.int32) for chain in zip(ids, years, before, strict=True)], dtype=object)
 
 
 def chain_order(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -79,12 +94,14 @@ def chain_order(members: DataFrame, links: DataFrame) -> DataFrame:
     inner = links.join(members.select("root", F.col("id").alias("later")), "later").join(members.select("root", F.col("id").alias("earlier")), ["root", "earlier"])
     before = inner.groupBy("root", F.col("later").alias("id")).agg(F.collect_set("earlier").alias("before"))
     rows = members.join(before, ["root", "id"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<long>"))).select("root", "id", "year", "before")
-    return rows.groupBy("root").applyInPandas(_kahn, "root long, id long, stop int")
+    chain = rows.groupBy("root").agg(F.collect_list(F.struct("id", "year", "before")).alias("s"))
+    places = chain.select("root", F.col("s.id").alias("ids"), _places("s.id", "s.year", "s.before").alias("places"))
+    return places.select("root", F.posexplode("places").alias("stop", "place"), "ids").select("root", F.col("ids")[F.col("place")].alias("id"), (F.col("stop") + 1).alias("stop"))
 
 
 def outcome(stops: DataFrame) -> DataFrame:
     """(root, outcome) from ordered decisions: single, improved (accepted in the end after a rejection), still_rejected or mixed."""
-    out = F.coalesce(F.col("decision").isin("reject", "desk-reject", "withdrawn"), F.lit(False))
+    out = F.coalesce(F.col("decision").isin(*OUT), F.lit(False))
     rows = stops.groupBy("root").agg(F.count("*").alias("n"), F.max_by("decision", "stop").alias("last"), F.count_if(out).alias("rejected"))
     kind = F.when(F.col("n") == 1, "single").when(F.col("last").startswith("accept") & (F.col("rejected") > 0), "improved").when(F.col("rejected") == F.col("n"), "still_rejected").otherwise("mixed")
     return rows.select("root", kind.alias("outcome"))
@@ -99,6 +116,48 @@ def _filled(text: str, *parts: Column) -> Column:
     return F.concat(F.lit(pieces[0]), *[x for p, piece in zip(parts, pieces[1:], strict=True) for x in (p.cast("string"), F.lit(piece))])
 
 
+def _kind(s: Column) -> Column:
+    """The outcome of a list of stops in order, as outcome() gives it."""
+    last, rejected = F.element_at(s, -1)["decision"], F.size(F.filter(s, lambda x: F.coalesce(x["decision"].isin(*OUT), F.lit(False))))
+    return F.when(F.size(s) == 1, "single").when(last.startswith("accept") & (rejected > 0), "improved").when(rejected == F.size(s), "still_rejected").otherwise("mixed")
+
+
+def _message(s: Column, kind: Column) -> Column:
+    route = lambda f: F.array_join(F.transform(s, f), " → ")
+    first, last = s[0], F.element_at(s, -1)
+    message = F.when(kind == "improved", _filled(IMPROVED, first["venue"], first["decision"], last["venue"], last["decision"]))
+    message = message.when(kind == "still_rejected", _filled(STILL, F.size(s), route(lambda x: x["venue"])))
+    return message.when(kind == "mixed", _filled(MIXED, F.size(s), route(lambda x: F.concat_ws(" ", x["venue"], x["decision"]))))
+
+
+def whole_journeys(members: DataFrame, papers: DataFrame, links: DataFrame, ratings: DataFrame, venues: DataFrame) -> DataFrame:
+    """chain_order and journeys of members (root, id) in one grouping: what is said of a paper is worked out once, then sent to its roots.
+
+    papers: id, year, venue, decision; links, ratings and venues as for journeys. The wide rows are shuffled once, by root.
+    """
+    ways = links.select(F.col("later").alias("id"), F.col("earlier").alias("other"), "method", F.lit(True).alias("before"))
+    ways = ways.unionByName(links.select(F.col("earlier").alias("id"), F.col("later").alias("other"), "method", F.lit(False).alias("before")))
+    ways = ways.groupBy("id", "other").agg(F.min("method").alias("method"), F.max("before").alias("before"))
+    ways = ways.groupBy("id").agg(F.collect_list(F.struct("other", "method", "before")).alias("ways"))
+    facts = papers.select("id", "year", "venue", "decision").join(ways, "id", "left").join(ratings.select("id", "avg_rating", "rating_count"), "id", "left").join(F.broadcast(venues.select("venue", "rating_mean")), "venue", "left")
+    versus = F.round(F.col("avg_rating") - F.col("rating_mean"), 2).alias("rating_vs_venue")
+    none = F.array().cast("array<struct<other: bigint, method: string, before: boolean>>")
+    facts = facts.select("id", "year", "venue", "decision", F.round("avg_rating", 2).alias("avg_rating"), F.coalesce("rating_count", F.lit(0)).alias("rating_count"), versus, F.coalesce("ways", none).alias("ways"))
+    chain = members.join(facts, "id").groupBy("root").agg(F.collect_list(F.struct(*facts.columns)).alias("c"))
+    before = F.transform("c", lambda x: F.transform(F.filter(x["ways"], lambda w: w["before"]), lambda w: w["other"]))
+    chain = chain.withColumn("places", _places("c.id", "c.year", before))
+    chain = chain.select("root", F.transform("places", lambda k: F.col("c")[k]).alias("s")).withColumn("outcome", _kind(F.col("s")))
+    rows = chain.select("root", "outcome", _message(F.col("s"), F.col("outcome")).alias("message"), F.posexplode(F.transform("s", _with_method)).alias("k", "x"))
+    kept = [F.col("x")[c].alias(c) for c in ("id", "venue", "decision", "avg_rating", "rating_count", "rating_vs_venue", "method")]
+    return rows.select("root", (F.col("k") + 1).alias("stop"), *kept, (F.col("root") == F.col("x.id")).alias("is_query"), "outcome", "message")
+
+
+def _with_method(x: Column, k: Column) -> Column:
+    """A stop of s with the method of its direct link to the one before it."""
+    own = F.filter(x["ways"], lambda w: (k > 0) & (w["other"] == F.try_element_at(F.col("s"), F.greatest(k, F.lit(1)))["id"]))
+    return F.struct(*[x[c].alias(c) for c in ("id", "venue", "decision", "avg_rating", "rating_count", "rating_vs_venue")], F.get(own, F.lit(0))["method"].alias("method"))
+
+
 def journeys(stops: DataFrame, links: DataFrame, ratings: DataFrame, venues: DataFrame) -> DataFrame:
     """Stops (root, id, stop, venue, decision) with ratings, evidence of links, and the journey's outcome and message.
 
@@ -108,12 +167,8 @@ def journeys(stops: DataFrame, links: DataFrame, ratings: DataFrame, venues: Dat
     rows = adjacent_links(stops, links).join(ratings.select("id", "avg_rating", "rating_count"), "id", "left").join(venues.select("venue", "rating_mean"), "venue", "left")
     rows = rows.withColumn("rating_vs_venue", F.round(F.col("avg_rating") - F.col("rating_mean"), 2)).withColumn("rating_count", F.coalesce("rating_count", F.lit(0)))
     listed = F.array_sort(F.collect_list(F.struct("stop", "venue", "decision")))
-    whole = stops.groupBy("root").agg(listed.alias("s")).join(outcome(stops), "root")
-    route = lambda f: F.array_join(F.transform("s", f), " → ")
-    first, last = F.col("s")[0], F.element_at("s", -1)
-    message = F.when(F.col("outcome") == "improved", _filled(IMPROVED, first["venue"], first["decision"], last["venue"], last["decision"]))
-    message = message.when(F.col("outcome") == "still_rejected", _filled(STILL, F.size("s"), route(lambda x: x["venue"]))).when(F.col("outcome") == "mixed", _filled(MIXED, F.size("s"), route(lambda x: F.concat_ws(" ", x["venue"], x["decision"]))))
-    rows = rows.join(whole.select("root", "outcome", message.alias("message")), "root").withColumn("is_query", F.col("root") == F.col("id"))
+    whole = stops.groupBy("root").agg(listed.alias("s")).withColumn("outcome", _kind(F.col("s")))
+    rows = rows.join(whole.select("root", "outcome", _message(F.col("s"), F.col("outcome")).alias("message")), "root").withColumn("is_query", F.col("root") == F.col("id"))
     return rows.select("root", "stop", "id", "venue", "decision", F.round("avg_rating", 2).alias("avg_rating"), "rating_count", "rating_vs_venue", "method", "is_query", "outcome", "message")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "marginalia", **conf: str) -> SparkSession:
@@ -26,3 +27,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the folder of checkpoint_dir: lineage ends there, and it is smaller than a checkpoint."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -152,3 +152,26 @@ def test_landed_sources(spark):
     assert {r.note_id: [e.edit_id for e in r.edits] for r in harvest.note_edits(edits, papers).collect()} == {"n": ["e1", "e2"], "m": [], "k": []}
     notes = spark.createDataFrame([("f", 1), ("g", 2)], "forum string, n int")
     assert harvest.forum_replies(notes, notes.filter(F.col("n") == 1)).count() == 1
+
+
+def test_closure_writes_each_pair_once(spark, monkeypatch):
+    """What the hops write is the result, not all that was reached so far again after each hop."""
+    sizes, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: sizes.append((out := plain(df, name)).count()) or out)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "earlier long, later long")
+    assert graph.reach(spark.range(41), links).count() == sum(sizes)
+
+
+def test_whole_journeys_are_those_of_the_steps(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(40), rng.randrange(40), m) for m in ("arxiv_id", "title_exact") for _ in range(25)}
+    links = spark.createDataFrame(sorted(p for p in pairs if p[0] != p[1]), "earlier long, later long, method string")
+    papers = spark.createDataFrame([(i, 2020 + rng.randrange(3), rng.choice("AB"), rng.choice(["reject", "accept", None])) for i in range(44)], "id long, year int, venue string, decision string")
+    ratings = spark.createDataFrame([(i, rng.random() * 9, i) for i in range(0, 44, 3)], "id long, avg_rating double, rating_count long")
+    venues = spark.createDataFrame([("B", 5.0)], "venue string, rating_mean double")
+    members = graph.reach(papers.select("id"), links).cache()
+    wide = members.join(papers, "id")
+    order = graph.chain_order(wide.select("root", "id", "year"), links.select("earlier", "later").distinct())
+    want = graph.journeys(order.join(wide, ["root", "id"]), links, ratings, venues)
+    got = graph.whole_journeys(members, papers, links, ratings, venues)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
