@@ -80,8 +80,12 @@ def fisher_lower(a: Column, b: Column, c: Column, d: Column) -> Column:
     a, b, c, d = (x.cast("int") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
     low = F.greatest(F.lit(0), col - (c + d))
-    term = lambda i: F.exp(_log_choose(row, i) + _log_choose(c + d, col - i) - _log_choose(n, col))
-    total = F.aggregate(F.sequence(F.least(low, a), a), F.lit(0.0), lambda s, i: s + term(i))
+    first = _log_choose(row, a) + _log_choose(c + d, col - a) - _log_choose(n, col)
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("log"))
+    # downwards from a, each term from the one before; the last step's logarithm of zero is null and never used
+    less = lambda i: F.log(i) + F.log(c + d - col + i) - F.log(row - i + 1) - F.log(col - i + 1)
+    step = lambda s, i: F.struct((s["sum"] + F.exp(s["log"])).alias("sum"), (s["log"] + less(i)).alias("log"))
+    total = F.aggregate(F.sequence(a, F.least(low, a)), start, step)["sum"]
     return F.when((row == 0) | (c + d == 0) | (col == 0) | (b + d == 0), F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
 

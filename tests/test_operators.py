@@ -220,3 +220,17 @@ def test_paged_notes(spark):
     spark.dataSource.register(harvest.PagedNotes)
     df = spark.read.format("paged_notes").options(fetch=f"{__name__}:fetch_page", total="25", limit="10").load()
     assert df.rdd.getNumPartitions() == 3 and df.count() == 25
+
+
+def test_fisher_takes_time_in_proportion(spark):
+    """Each term comes from the one before: a table of 120,000 in seconds, where terms of their own take 20,000 x 60,000 steps."""
+    import math
+    import time
+
+    a, b, c, d = 19900, 20100, 40100, 39900
+    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    want = sum(math.exp(log_choose(a + b, i) + log_choose(c + d, a + c - i) - log_choose(a + b + c + d, a + c)) for i in range(a + 1))
+    table = spark.createDataFrame([(a, b, c, d)], "a long, b long, c long, d long")
+    since = time.monotonic()
+    got = table.select(R.fisher_lower(*map(F.col, "abcd")).alias("p")).first().p
+    assert abs(got / want - 1) < 1e-6 and time.monotonic() - since < 60
