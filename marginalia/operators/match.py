@@ -19,12 +19,18 @@ def title_matches(papers: DataFrame, external: DataFrame, min_chars: int = 25) -
     """
     p = papers.select(F.col("id").alias("paper_id"), normalize_title(F.col("title")).alias("key"), "year", F.col("surnames").alias("mine")).filter(F.length("key") >= min_chars)
     e = external.select("ext_id", normalize_title(F.col("title")).alias("key"), "created_year", F.col("surnames").alias("theirs"))
+    # papers and records that agree in all that counts are one row each here, so a key's copies don't multiply
+    kinds = p.select("key", "year", "mine").distinct()
+    e = e.groupBy("key", "created_year", "theirs").agg(F.count("*").alias("n"), F.min("ext_id").alias("ext_id"))
     overlap = F.size(F.array_intersect("mine", "theirs"))
-    both = p.join(e, "key").filter(F.col("created_year").isNull() | (F.col("created_year") <= F.col("year") + 1)).withColumn("overlap", overlap)
+    both = kinds.join(e, "key").filter(F.col("created_year").isNull() | (F.col("created_year") <= F.col("year") + 1)).withColumn("overlap", overlap)
     both = both.filter((F.size("mine") == 0) | (F.size("theirs") == 0) | (F.col("overlap") > 0))
-    best = F.rank().over(Window.partitionBy("paper_id").orderBy(F.desc("overlap")))
-    first = both.withColumn("r", best).filter("r = 1")
-    return first.groupBy("paper_id").agg(F.count("*").alias("n"), F.min("ext_id").alias("ext_id"), F.min("overlap").alias("overlap")).filter("n = 1").drop("n")
+    counts = both.groupBy("key", "year", "mine", "overlap").agg(F.sum("n").alias("n"), F.min("ext_id").alias("ext_id"))
+    best = counts.groupBy("key", "year", "mine").agg(F.max_by(F.struct("overlap", "n", "ext_id"), "overlap").alias("b")).select(*[F.col(c).alias(f"_{c}") for c in ("key", "year", "mine")], "b.*")
+    found = p.join(best, (F.col("key") == F.col("_key")) & F.col("year").eqNullSafe(F.col("_year")) & F.col("mine").eqNullSafe(F.col("_mine")))
+    # a paper that comes twice has the best of its rows, and a tie where two of them have it
+    found = found.select("paper_id", "overlap", "n", "ext_id").repartition("paper_id").groupBy("paper_id", "overlap").agg(F.sum("n").alias("n"), F.min("ext_id").alias("ext_id"))
+    return found.groupBy("paper_id").agg(F.max_by(F.struct("ext_id", "overlap", "n"), "overlap").alias("b")).select("paper_id", "b.*").filter("n = 1").drop("n")
 
 
 def consume_titles(targets: DataFrame, pages: DataFrame) -> DataFrame:

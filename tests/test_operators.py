@@ -234,3 +234,33 @@ def test_fisher_takes_time_in_proportion(spark):
     since = time.monotonic()
     got = table.select(R.fisher_lower(*map(F.col, "abcd")).alias("p")).first().p
     assert abs(got / want - 1) < 1e-6 and time.monotonic() - since < 60
+
+
+def _rows_joined(df):
+    """The most rows that a join of the executed plan gives."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, most = [plan], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        metrics = node.metrics()
+        if "Join" in node.nodeName() and metrics.contains("numOutputRows"):
+            most = max(most, metrics.apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_copies_of_a_title_do_not_multiply(spark):
+    """A title with 2000 papers and 2000 records: no join gives their product; ties and years count as before."""
+    title = "A sufficiently long title of a paper"
+    papers = spark.createDataFrame([(i, title, 2020 + i % 2, [["kim"], ["kim", "lee"], ["ito"]][i % 3]) for i in range(2000)] + [(3000, title, None, ["kim"])], "id long, title string, year int, surnames array<string>")
+    external = [(i, title, 2022, ["kim"]) for i in range(2000)] + [(5000, title, 2021, ["kim", "lee"]), (5001, title, None, ["ito"]), (5002, title, 2030, ["ito"])]
+    out = match.title_matches(papers, spark.createDataFrame(external, "ext_id long, title string, created_year int, surnames array<string>"))
+    assert _rows_joined(out) <= 4003
+    got = {r.paper_id: (r.ext_id, r.overlap) for r in out.collect()}
+    want = {i: (5001, 1) if i % 3 == 2 else (5000, 2) if i % 3 == 1 else (5000, 1) for i in range(2000) if i % 3 or i % 2 == 0}
+    assert got == want
