@@ -8,6 +8,7 @@ from marginalia import tables as tb
 from marginalia.operators import retrieval
 from marginalia.plans import neighbours, story
 from marginalia.queries.registry import query
+from marginalia.session import written
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, 't' || (s_suppkey % 997) AS title FROM supplier),
@@ -21,9 +22,10 @@ def neighbours_without_leaks(spark: SparkSession, sf: str) -> DataFrame:
     samples = tb.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.concat(F.lit("t"), (F.col("s_suppkey") % 997).cast("string")).alias("title"))
     orders = tb.read(spark, sf, "orders")
     papers = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("T"), (F.col("o_orderkey") % 997).cast("string")).alias("title"))
-    banned = neighbours.leaks(samples, orders.select(F.col("o_custkey").alias("earlier"), F.col("o_orderkey").alias("later")), papers)
     hits = tb.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("paper_id")).agg(F.max("l_extendedprice").alias("score"))
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "paper_id")))
+    hits = written(hits.filter(F.col("rank") <= 50 + neighbours.MARGIN), "hits")
+    banned = neighbours.leaks(samples, orders.select(F.col("o_custkey").alias("earlier"), F.col("o_orderkey").alias("later")), papers, hits)
     return neighbours.clean_neighbours(hits, banned, 50)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marginalia.plans import enrichment, story
+from marginalia.plans import enrichment, neighbours, story
 
 
 def test_enriched_is_repeatable(spark):
@@ -27,3 +27,14 @@ def test_version_links(spark):
 def test_nothing_selected(spark):
     out = spark.createDataFrame([("weak", "m"), ("strong", "m")], "level string, message string").select(story.nothing_selected(F.col("level"), F.col("message")).alias("s")).collect()
     assert out[0].s == f"> ⚠️ **m**\n\n{story.NO_REVIEWS}" and out[1].s == story.NO_MATCH
+
+
+def test_leaks_among_hits(spark):
+    """Of the pairs asked for, those that leaks() gives for all papers."""
+    samples = spark.createDataFrame([(i, f"t{i % 3}") for i in range(12)], "sample_id long, title string")
+    papers = spark.createDataFrame([(i, f"T{i % 4}") for i in range(40)], "id long, title string")
+    links = spark.createDataFrame([(1, 20), (21, 2), (30, 31), (5, 5)], "earlier long, later long")
+    hits = spark.createDataFrame([(s, p) for s in range(14) for p in range(0, 40, 1 + s % 3)], "sample_id long, paper_id long")
+    want = {tuple(r) for r in neighbours.leaks(samples, links, papers).collect()} & {tuple(r) for r in hits.collect()}
+    got = [tuple(r) for r in neighbours.leaks(samples, links, papers, hits).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
