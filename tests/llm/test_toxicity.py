@@ -100,3 +100,36 @@ def test_threshold_lies_in_the_gap():
 def test_words_are_hashed_without_case():
     words, places = tx.word_buckets(pa.array(["Bad DOG", None, "bad dog", ""]))
     assert places.tolist() == [0, 2, 2, 4, 4] and words[:2].tolist() == words[2:].tolist()
+
+
+def test_all_labelled_texts_are_learned_from(spark):
+    """The sample the network starts from holds none of the words that tell; texts over its bounds still count, in any layout."""
+    rows = [(i, f"{'bad' if i % 2 else 'good'} words and more {i % 5}" + (" x y z" * 20 if i < 100 else ""), i % 2) for i in range(2000)]
+    rows = [(i, t.replace("bad", "vile") if i >= 100 else t, y) for i, t, y in rows]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("lang", F.lit("en"))
+    langs = langid.train(labelled)
+    started = []
+    fit = tx.fit_network
+    tx.fit_network = lambda texts, labels, **kw: started.append((len(texts), kw["sizes"].sum())) or fit(texts, labels, **kw)
+    try:
+        models = [tx.train(d, labelled, langs, texts=60, shard=20_000) for d in (labelled, labelled.repartition(7))]
+    finally:
+        tx.fit_network = fit
+    assert started[0] == started[1] and started[0][0] < 150 and started[0][1] > 1500  # of about 1600 that don't calibrate
+    assert np.array_equal(models[0].network.table, models[1].network.table) and models[0].general == models[1].general
+    docs = spark.createDataFrame([(i, f"{w} words and more {i}") for i, w in enumerate(["bad", "vile", "good"])], "doc_id long, text string")
+    assert [r.predicted for r in tx.score_texts(docs, models[0]).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
+def test_rare_word_beyond_the_sample(spark):
+    """A word that no sampled text holds has its log odds from the others."""
+    rows = [(i, f"{'rareword ' if i % 40 == 1 else ''}{'bad' if i % 2 else 'good'} words {i}", i % 2) for i in range(4000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("lang", F.lit("en"))
+    model = tx.train(labelled, labelled, langid.train(labelled), texts=10)
+    bucket = tx.word_buckets(pa.array(["rareword"]))[0][0]
+    assert model.network.table[bucket, 0] > 1
+
+
+def test_bins_give_the_cut_of_single_logits():
+    z, y = np.array([-3.0, -1, 2, 4]), np.array([0, 0, 1, 1])
+    assert tx._cut(np.array([-3.0, 2]), np.array([-1.0, 4]), np.array([0, 2]), np.array([2, 2])) == tx.threshold(z, y) == 0.5
