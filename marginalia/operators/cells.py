@@ -23,6 +23,8 @@ SAMPLE, MOST_CELLS = 20_000, 4096
 #: How many cells a search reads: as many as held this share of the nearest neighbours of some of some vectors.
 RECALL, TUNED, ASKED, NEAR = 0.95, 4000, 200, 20
 NO_CELL = -1  # null, zero and not finite vectors, and those of another length than most
+#: Vectors or queries of a cell that are compared at once.
+BLOCK = 1024
 _CENTROIDS = "cell int, centroid array<double>, radius double, probes int"
 
 
@@ -139,22 +141,58 @@ def nearest(index: Cells, spark: SparkSession, query: list[float], k: int, *, pr
 def nearest_of_all(index: Cells, queries: DataFrame, k: int, *, probes: int | None = None) -> DataFrame:
     """(query_id, id, cosine, vector_rank) for each of queries (query_id, embedding), over its nearest cells.
 
-    A join on the cell, which Spark splits where a cell is asked for by many or holds much; the k best of each task go on.
+    A join on the cell of blocks of queries with blocks of vectors, which Spark splits where a cell is asked for by many or holds
+    much; a pair of blocks is one product, of which the k best of each query go on. Ties in cosine are by id.
     """
     spark = queries.sparkSession
     shared, most = spark.sparkContext.broadcast(index.centroids), probes or index.probes  # of MOST_CELLS rows by default
+    rows = index.rows(spark).filter(F.col("cell") != NO_CELL).select("id", "embedding", "cell")
+    query_type, id_type = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
 
-    @F.pandas_udf("array<int>")
-    def cells_of(v: pd.Series) -> pd.Series:
-        def one(x):
-            x = None if x is None else np.asarray(x, np.float64)
-            if x is None or x.shape != shared.value.shape[1:] or not np.isfinite(x).all() or not x.any():
-                return []
-            return np.argsort(np.linalg.norm(shared.value - x / np.linalg.norm(x), axis=1), kind="stable")[:most].tolist()
+    def of_queries(batches):
+        for pdf in batches:
+            held = [(n, np.asarray(x, np.float64)) for n, x in zip(pdf["query_id"], pdf["q"], strict=True) if x is not None]
+            held = [(n, x) for n, x in held if x.shape == shared.value.shape[1:] and np.isfinite(x).all() and x.any()]
+            if held:
+                ids, q = pd.Series([n for n, _ in held]), np.stack([x for _, x in held])
+                away = (shared.value**2).sum(1) - 2 * (q / np.linalg.norm(q, axis=1, keepdims=True)) @ shared.value.T
+                near = away.argsort(1, kind="stable")[:, :most]
+                yield from _blocks(near.ravel(), np.repeat(np.arange(len(q)), near.shape[1]), ids, q, "query_id", "q")
+
+    def of_vectors(batches):
+        for pdf in batches:
+            yield from _blocks(pdf["cell"].to_numpy(), np.arange(len(pdf)), pdf["id"], np.stack(pdf["embedding"].to_numpy()).astype(np.float64), "id", "v")
 
-        return v.map(one)
+    def products(batches):
+        for pdf in batches:
+            for asked, q, ids, v in pdf[["query_id", "q", "id", "v"]].itertuples(index=False, name=None):
+                yield _best(np.asarray(asked), np.frombuffer(q).reshape(len(asked), -1), np.asarray(ids), np.frombuffer(v).reshape(len(ids), -1), k)
 
-    asked = queries.select("query_id", F.col("embedding").alias("q")).withColumn("cell", F.explode(cells_of("q")))
-    found = asked.join(index.rows(spark), "cell").select("query_id", "id", R.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    asked = queries.select("query_id", F.col("embedding").alias("q")).mapInPandas(of_queries, f"cell int, query_id array<{query_type}>, q binary")
+    held = rows.mapInPandas(of_vectors, f"cell int, id array<{id_type}>, v binary")
+    found = asked.join(held, "cell").select("query_id", "q", "id", "v").mapInPandas(products, f"query_id {query_type}, id {id_type}, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= k)
+
+
+def _blocks(cells: np.ndarray, place: np.ndarray, ids: pd.Series, vectors: np.ndarray, id_name: str, name: str):
+    """Rows of a cell, BLOCK at most, with their ids and vectors: cells are those of the rows at place."""
+    order = np.argsort(cells, kind="stable")
+    edges = np.flatnonzero(np.diff(cells[order])) + 1
+    for run in np.split(order, edges):
+        for lo in range(0, len(run), BLOCK):
+            at = place[run[lo : lo + BLOCK]]
+            yield pd.DataFrame({"cell": [int(cells[run[0]])], id_name: [ids.iloc[at].tolist()], name: [vectors[at].tobytes()]})
+
+
+def _best(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k of ids nearest to each of asked, with their cosines, which are summed up pair by pair: equal vectors have equal ones."""
+    q, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, v))
+    rough, parts = q @ v.T, []
+    least = np.partition(rough, -k, axis=1)[:, -k] - 1e-9 if len(ids) > k else np.full(len(q), -np.inf)
+    for n in range(len(q)):
+        near = np.flatnonzero(rough[n] >= least[n])
+        cosine = (v[near] * q[n]).sum(1)
+        first = np.lexsort((ids[near], -cosine))[:k]
+        parts.append(pd.DataFrame({"query_id": np.repeat(asked[n : n + 1], len(first)), "id": ids[near][first], "cosine": cosine[first]}))
+    return pd.concat(parts)

@@ -106,3 +106,26 @@ def test_odd_texts(spark, tmp_path):
         assert {r.id for r in postings.matching(spark, path, words, every=False).collect()} == {i for i, t in held.items() if any(w in t for w in asked)}
     empty = postings.build(docs.limit(0), str(tmp_path / "e"))
     assert postings.search(spark, empty, ["ab"], 3).count() == 0
+
+
+def test_many_queries_are_compared_in_blocks(spark, tmp_path):
+    """One row of a join for each pair of blocks, not of vectors; copies tie and stand by id, wherever a block ends."""
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(70, 8))
+    rows = [(i, unit[i % 70].tolist()) for i in range(210)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    index = cells.build(df, str(tmp_path / "c"), cells=2)
+    asked = df.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    found = cells.nearest_of_all(index, asked, 7, probes=2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].count("MapInPandas") == 2  # blocks on both sides
+    small = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 210, 50):
+        cosine = np.array([(small[i % 70] * small[q % 70]).sum() for i in range(210)])
+        want[q] = sorted(range(210), key=lambda i: (-cosine[i], i))[:7]
+    got = {}
+    for r in found.orderBy("query_id", "vector_rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == want
+    a, ids = np.array([[1.0, 0.0]]), np.array([4, 2, 9])
+    assert cells._best(np.array([1]), a, ids, np.array([[2.0, 0.0], [3.0, 0.0], [0.0, 1.0]]), 2)["id"].tolist() == [2, 4]
