@@ -179,7 +179,7 @@ def attachments(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as files, read back as far as they are no larger than a cap (the feature)."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/attachments-{uuid.uuid4().hex}"
     pages = tb.read(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
-    pages.repartition("page_id").write.partitionBy("page_id").text(root)
-    files = harvest.attachments(spark, f"{root}/*/*.txt", 2000)
-    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint")
+    harvest.land_files(pages, root, "page_id", "value")
+    files = harvest.attachments(spark, f"{root}/*", 2000)
+    page = F.regexp_extract("path", r"page_id=(-?\d+)", 1).try_cast("bigint")
     return files.select(page.alias("page_id"), "length", F.md5("content").alias("content"))

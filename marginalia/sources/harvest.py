@@ -23,6 +23,33 @@ def attachments(spark: SparkSession, path: str, max_bytes: int = 20 << 20) -> Da
     return spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes)
 
 
+def land_files(rows: DataFrame, root: str, key: str, value: str, per_folder: int = 1000) -> None:
+    """Write each row's text and a line feed as a file, named by its key; tasks write them, about per_folder of them to a folder.
+
+    A task that runs again writes the same names. Any store that pyarrow writes will do.
+    """
+    n = max(1, -(-rows.count() // per_folder))
+
+    def write(batches):
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+        seen: dict = {}
+        for pdf in batches:
+            for folder, name, text in pdf.itertuples(index=False, name=None):
+                if folder not in seen:
+                    where.create_dir(f"{base}/f{folder}", recursive=True)
+                    seen[folder] = {}
+                again = seen[folder][name] = seen[folder].get(name, -1) + 1  # rows that repeat a key
+                with where.open_output_stream(f"{base}/f{folder}/{key}={name}.{again}.txt") as out:
+                    out.write(text.encode() + b"\n")
+            yield pdf[["folder"]].iloc[:0]
+
+    folder = F.pmod(F.xxhash64(key), F.lit(n)).alias("folder")
+    where_to = rows.select(folder, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.col(value).alias("text")).repartition("folder")
+    where_to.mapInPandas(write, "folder long").count()
+
+
 def records(xml: Column) -> Column:
     """A harvested record's struct from its XML text."""
     return F.from_xml(xml, F.lit(RECORD))

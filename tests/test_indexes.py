@@ -129,3 +129,15 @@ def test_many_queries_are_compared_in_blocks(spark, tmp_path):
     assert got == want
     a, ids = np.array([[1.0, 0.0]]), np.array([4, 2, 9])
     assert cells._best(np.array([1]), a, ids, np.array([[2.0, 0.0], [3.0, 0.0], [0.0, 1.0]]), 2)["id"].tolist() == [2, 4]
+
+
+def test_landed_files_share_folders(spark, tmp_path):
+    """A folder for many files instead of one for each; rows that repeat a key, null keys and lines inside texts are kept."""
+    from marginalia.sources import harvest
+
+    rows = [(i, f"text {i}\nof two lines") for i in range(60)] + [(7, "again"), (None, "nameless"), (-3, "é")]
+    root = f"{tmp_path}/files"
+    harvest.land_files(spark.createDataFrame(rows, "k long, t string"), root, "k", "t", per_folder=20)
+    assert len(list((tmp_path / "files").iterdir())) <= 4
+    got = sorted(bytes(r.content) for r in harvest.attachments(spark, f"{root}/*").collect())
+    assert got == sorted(t.encode() + b"\n" for _, t in rows)
