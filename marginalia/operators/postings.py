@@ -24,19 +24,27 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, id, len, tf): the words of each text, counted within its row, so no task holds those of more than one text."""
+    cut = docs.select(F.col(id_col).alias("id"), F.sort_array(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).alias("t"))
+    first = lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)
+    cut = cut.select("id", "t", F.size("t").alias("len"), F.filter(F.transform("t", first), lambda i: i.isNotNull()).alias("at"))  # where each term begins
+    term = lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("len")) - i).alias("tf"))
+    # outer: else a filter on the size of p would be put below it all, in which each step works out the sorted words anew
+    return cut.select("id", "len", F.transform("at", term).alias("p")).select("id", "len", F.inline_outer("p")).filter("term IS NOT NULL").select("term", "id", "len", "tf")
+
+
 def build(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text", *, buckets: int = BUCKETS) -> str:
     """Write the postings of docs to path. Texts are cut into words once; a bucket with a frequent word is split over tasks."""
     spark = docs.sparkSession
-    cut = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
-    cut = cut.withColumn("len", F.size("t"))
-    # a text's words stand in one task, so this adds up before the shuffle and a posting is one row in it
-    counted = cut.select("id", "len", F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-    rows = counted.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+    rows = counted(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
     rows.write.partitionBy("bucket").parquet(f"{path}/postings")
     id_type = rows.schema["id"].dataType.simpleString()
     held = spark.read.schema(_SCHEMAS["postings"].format(id_type)).parquet(f"{path}/postings")
     held.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/terms")
-    docs.select(F.size(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type")).write.parquet(f"{path}/counts")
+    total = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))  # a row, as is the number of texts: all words without cutting again
+    average = F.try_divide(F.col("total").cast("double"), F.col("n"))
+    docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", average.alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type")).write.parquet(f"{path}/counts")
     return path
 
 

@@ -10,7 +10,7 @@ from marginalia import tables as tb
 from marginalia.functions import rank as R, text as T
 from marginalia.operators import cells, postings, retrieval as op, stats
 from marginalia.queries.registry import query
-from marginalia.session import checkpoint_dir
+from marginalia.session import checkpoint_dir, written
 
 WORDS = ("the", "thre", "tion", "hean", "erthe")
 
@@ -81,7 +81,7 @@ def _indexes(spark: SparkSession, sf: str, reviewed: DataFrame) -> tuple[cells.C
 def indexed_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship's rows from stored indexes: cells read as far as the bound asks, postings of the query's words."""
     fields = _fields(spark, sf)
-    index, words = _indexes(spark, sf, fields.filter("n_reviews > 0").select("id"))
+    index, words = _indexes(spark, sf, written(fields.filter("n_reviews > 0").select("id"), "reviewed"))  # read by each step of both
     by_vector = cells.nearest(index, spark, _query_vector(spark, sf), 100, exact=True)
     return op.ranked_pool(by_vector, postings.search(spark, words, WORDS, 100), fields).select("id", "slot", F.round("final_score", 6).alias("final_score"), "match_type")
 
