@@ -132,40 +132,47 @@ class _TokenReader(DataSourceReader):
             page += 1
 
 
-def landed_page(root: str, part: str, token: str) -> tuple[str, str] | None:
-    """(xml, next token) of a page that land_pages() wrote; None where there is none. Any store that pyarrow reads will do."""
+#: Pages that land_pages() puts into a folder and that a task of a stream reads.
+PAGES = 500
+
+
+def landed_block(root: str, part: str, block: int, columns: list[str]) -> dict[str, dict]:
+    """The pages by token of a block that land_pages() wrote, with the columns asked for; none where there is no block. Any store
+    that pyarrow reads will do."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     where, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
-    folder = f"{base}/part={part}/token={token}"
+    folder = f"{base}/part={part}/block={block}"
     if where.get_file_info(folder).type != fs.FileType.Directory:
-        return None
-    rows = ds.dataset(folder, filesystem=where, format="parquet").to_table(columns=["xml", "next"]).to_pylist()
-    return (rows[0]["xml"], rows[0]["next"] or "") if rows else None
+        return {}
+    return {r["token"]: r for r in ds.dataset(folder, filesystem=where, format="parquet").to_table(columns=["token", *columns]).to_pylist()}
 
 
 def land_pages(records: DataFrame, root: str, part: str, order: str, xml: str, size: int) -> None:
     """Write records as pages of size, as a service would give them: part by part, each page with the token of the next.
 
-    part, order and xml name the columns of records; part's values must do as names of folders. The first token is 0.
+    part, order and xml name the columns of records; part's values must do as names of folders. The first token is 0. PAGES
+    pages that follow each other stand in a folder.
     """
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
-    paged = records.withColumn("n", n).withColumn("token", F.floor(F.col("n") / size))
-    pages = paged.groupBy(F.col(part).alias("part"), "token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(xml).alias("x")))), lambda r: r["x"]), "").alias("x"))
-    last = paged.groupBy(F.col(part).alias("part")).agg(F.max("token").alias("last"))
-    following = F.when(F.col("token") < F.col("last"), (F.col("token") + 1).cast("string"))
-    pages.join(last, "part").select("part", "token", F.concat(F.lit("<page>"), "x", F.lit("</page>")).alias("xml"), following.alias("next")).write.partitionBy("part", "token").parquet(root)
+    paged = records.withColumn("n", n).withColumn("page", F.floor(F.col("n") / size))
+    pages = paged.groupBy(F.col(part).alias("part"), "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(xml).alias("x")))), lambda r: r["x"]), "").alias("x"))
+    last = paged.groupBy(F.col(part).alias("part")).agg(F.max("page").alias("last"))
+    following = F.when(F.col("page") < F.col("last"), (F.col("page") + 1).cast("string"))
+    block = F.floor(F.col("page") / PAGES).alias("block")
+    rows = pages.join(last, "part").select("part", block, F.col("page").cast("string").alias("token"), F.concat(F.lit("<page>"), "x", F.lit("</page>")).alias("xml"), following.alias("next"))
+    rows.repartition("part", "block").write.partitionBy("part", "block").parquet(root)
 
 
 class HarvestStream(DataSource):
     """A stream of a harvest's pages, part by part: option root is a folder of landed pages, parts a JSON list of names.
 
     The offset is the token that each part goes on with and its page's number, so a stopped stream goes on where it was,
-    each page once. A batch takes at most option pages of each part (0: all there are); the driver follows the tokens,
-    the pages are read in tasks, one for each. Rows: part, page, xml.
+    each page once. A batch takes at most option pages of each part (0: all there are); the driver follows the tokens, block by
+    block and without the pages, which are read in tasks, one for those of a block. Rows: part, page, xml.
     """
 
     @classmethod
@@ -187,15 +194,16 @@ class _HarvestReader(DataSourceStreamReader):
         return {part: ["0", 0] for part in self.parts}
 
     def _follow(self, part: str, token: str, page: int, most: int):
-        """The pages of a part from a token on, and where it goes on after them; an empty token is its end."""
-        taken = []
-        while token and (not most or len(taken) < most):
-            found = retried(lambda token=token: landed_page(self.root, part, token))
-            if found is None:
+        """The runs (page, token, number of pages) of a part from a token on, one a block, and where it goes on after them; an empty token is its end."""
+        runs, left = [], most or float("inf")
+        while token and left:
+            block, first, known = page // PAGES, (page, token), retried(lambda block=page // PAGES: landed_block(self.root, part, block, ["next"]))
+            while token in known and left and page // PAGES == block:
+                token, page, left = known[token]["next"] or "", page + 1, left - 1
+            if page == first[0]:
                 break
-            taken.append((page, token))
-            token, page = found[1], page + 1
-        return taken, [token, page]
+            runs.append((*first, page - first[0]))
+        return runs, [token, page]
 
     def latestOffset(self) -> dict:
         start = self.at or self.initialOffset()
@@ -206,13 +214,16 @@ class _HarvestReader(DataSourceStreamReader):
         for part in self.parts:
             token, page = start.get(part, ["0", 0])
             if end[part][1] > page:
-                out += [InputPartition((part, p, t)) for p, t in self._follow(part, token, page, end[part][1] - page)[0]]
+                out += [InputPartition((part, *run)) for run in self._follow(part, token, page, end[part][1] - page)[0]]
         self.at = end
         return out
 
     def read(self, partition):
-        part, page, token = partition.value
-        yield part, page, retried(lambda: landed_page(self.root, part, token))[0]
+        part, first, token, most = partition.value
+        known = retried(lambda: landed_block(self.root, part, first // PAGES, ["xml", "next"]))
+        for page in range(first, first + most):
+            yield part, page, known[token]["xml"]
+            token = known[token]["next"]
 
     def commit(self, end: dict) -> None:
         self.at = end
@@ -227,7 +238,8 @@ class PagedNotes(DataSource):
     """Notes of an offset-paginated service, a partition for each page: option fetch names module:function(offset, limit).
 
     The function returns a list of (id, json) and a shorter list than limit on the last page. option total is the probe
-    of the number of notes; option root, where given, is the function's third argument.
+    of the number of notes; option root, where given, is the function's third argument. option pages is how many pages
+    that follow each other a partition has (1 if not given).
     """
 
     @classmethod
@@ -244,16 +256,19 @@ class PagedNotes(DataSource):
 class _PageReader(DataSourceReader):
     def __init__(self, options):
         self.fetch, self.total, self.limit, self.root = options["fetch"], int(options["total"]), int(options.get("limit", "1000")), options.get("root")
+        self.step = self.limit * int(options.get("pages", "1"))
 
     def partitions(self):
-        return [InputPartition(offset) for offset in range(0, max(1, self.total), self.limit)]
+        return [InputPartition(offset) for offset in range(0, max(1, self.total), self.step)]
 
     def read(self, partition):
         import importlib
 
         module, _, name = self.fetch.partition(":")
         more = (self.root,) if self.root else ()
-        yield from retried(lambda: getattr(importlib.import_module(module), name)(partition.value, self.limit, *more))
+        call = getattr(importlib.import_module(module), name)
+        for offset in range(partition.value, max(1, min(partition.value + self.step, self.total)), self.limit):
+            yield from retried(lambda offset=offset: call(offset, self.limit, *more))
 
 
 def retried(call, attempts: int = 3, decide=lambda error: True):
