@@ -127,21 +127,27 @@ def ingested(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("id long, name string").parquet(f"{source}-table")
 
 
+#: Notes of a page of the service, and the pages of a landed folder, which a task reads.
+NOTES, NOTE_PAGES = 1000, 100
+
+
 def note_page(offset: int, limit: int, root: str) -> list[tuple[str, str]]:
-    """A page of landed notes, as a service gives it by offset."""
+    """A page of landed notes, as a service gives it by offset; pages of NOTES don't cross folders, and each is a row group of its own."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     where, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
-    folder = f"{base}/page={offset // limit}"
+    folder = f"{base}/block={offset // (NOTES * NOTE_PAGES)}"
     if where.get_file_info(folder).type != fs.FileType.Directory:
         return []
-    return [(r["id"], r["content"]) for r in ds.dataset(folder, filesystem=where, format="parquet").to_table().to_pylist()]
+    n = ds.field("n")
+    rows = ds.dataset(folder, filesystem=where, format="parquet").to_table(columns=["id", "content"], filter=(n >= offset) & (n < offset + limit))
+    return list(zip(rows["id"].to_pylist(), rows["content"].to_pylist(), strict=True))
 
 
 @query("""SELECT 'n' || o_orderkey AS id, o_custkey AS n FROM orders""")
 def paged_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """All pages of notes that were landed by offset, a task for each."""
+    """All pages of notes that were landed by offset, a task for those of a folder."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/notes-{uuid.uuid4().hex}"
     o = tb.read(spark, sf, "orders")
     first = F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")) - 1
@@ -151,9 +157,10 @@ def paged_notes(spark: SparkSession, sf: str) -> DataFrame:
         starts[r.k], total = total, total + r.size
     start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("k")) if starts else F.lit(0)
     notes = o.withColumn("k", F.col("o_orderkey") % 256).withColumn("n", first + start)
-    notes.select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("id"), F.to_json(F.struct(F.col("o_custkey").alias("n"))).alias("content"), F.floor(F.col("n") / 1000).alias("page")).repartition("page").write.partitionBy("page").parquet(root)
+    rows = notes.select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("id"), F.to_json(F.struct(F.col("o_custkey").alias("n"))).alias("content"), "n", F.floor(F.col("n") / (NOTES * NOTE_PAGES)).alias("block"))
+    rows.repartition("block").sortWithinPartitions("block", "n").write.option("parquet.block.row.count.limit", str(NOTES)).partitionBy("block").parquet(root)
     spark.dataSource.register(harvest.PagedNotes)
-    read = spark.read.format("paged_notes").options(fetch=f"{__name__}:note_page", total=str(total), root=root).load()
+    read = spark.read.format("paged_notes").options(fetch=f"{__name__}:note_page", total=str(total), limit=str(NOTES), pages=str(NOTE_PAGES), root=root).load()
     return read.select("id", F.get_json_object("content", "$.n").cast("bigint").alias("n"))
 
 
