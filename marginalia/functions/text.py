@@ -36,10 +36,6 @@ INVITATION_LABELS = [("Camera_Ready_Revision", "게재 확정본"), ("Rebuttal_R
 AUTHOR, REVIEWER, NOBODY = "저자", "리뷰어 ", "익명"
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(patterns))
-
-
 def _first(pairs: list[tuple[Column, str]], otherwise: Column) -> Column:
     return reduce(lambda rest, p: F.when(p[0], F.lit(p[1])).otherwise(rest), reversed(pairs), otherwise)
 
@@ -107,9 +103,18 @@ def conference_of(venue: Column) -> Column:
     return F.split(venue, " ")[0]
 
 
+def _at_words(patterns: list[str]) -> str:
+    """Any of patterns that each begin with a word boundary, which is looked at once for all of them."""
+    assert all(p.startswith(r"\b") for p in patterns)
+    return r"\b(?:" + "|".join(p.removeprefix(r"\b") for p in patterns) + ")"
+
+
 def classify_aspect(text: Column) -> Column:
-    low = F.lower(text)
-    return _first([(_any(low, patterns), aspect) for aspect, patterns in ASPECT_KEYWORDS], F.lit("other"))
+    # one scan up to the first keyword of any aspect; only the rest of the text is told apart by aspect
+    first = _at_words([p for _, patterns in ASPECT_KEYWORDS for p in patterns])
+    rest = F.coalesce(F.regexp_substr(F.lower(text), F.lit(first + r"[\s\S]*")), F.lit(""))
+    aspect = lambda t: _first([(t.rlike(_at_words(patterns)), name) for name, patterns in ASPECT_KEYWORDS], F.lit("other"))
+    return F.get(F.transform(F.array(rest), aspect), F.lit(0))  # so that the rest is worked out once
 
 
 def split_points(text: Column) -> Column:
