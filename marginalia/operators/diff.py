@@ -8,13 +8,25 @@ from __future__ import annotations
 import difflib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from marginalia.session import checkpoint_dir
 
 SEGMENTS = "array<struct<op: string, text: string>>"
+#: Rows whose results are Python objects at once; those of the rest of a batch are Arrow's.
+PIECE = 128
+
+
+def in_pieces(call, a: pa.Array, b: pa.Array, kind: pa.DataType) -> pa.Array:
+    """call of each pair of values, as an array of kind. A batch has thousands of rows, and as dicts their segments take many times their size."""
+    parts = [pa.array([call(x, y) for x, y in zip(a.slice(n, PIECE).to_pylist(), b.slice(n, PIECE).to_pylist(), strict=True)], kind) for n in range(0, len(a), PIECE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def segments_type() -> pa.DataType:
+    return pa.list_(pa.struct([("op", pa.string()), ("text", pa.string())]))
 
 
 def word_segments(old: str | None, new: str | None, cap: int, keep_breaks: bool = False) -> list[dict[str, str]]:
@@ -32,9 +44,9 @@ def word_segments(old: str | None, new: str | None, cap: int, keep_breaks: bool
 
 
 def word_diff(old: Column, new: Column, cap: int = 400, keep_breaks: bool = False) -> Column:
-    @pandas_udf(SEGMENTS)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([word_segments(x, y, cap, keep_breaks) for x, y in zip(a, b, strict=True)], dtype=object)
+    @arrow_udf(SEGMENTS)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_pieces(lambda x, y: word_segments(x, y, cap, keep_breaks), a, b, segments_type())
 
     return run(old, new)
 
@@ -50,9 +62,9 @@ def letter_ratio(old: Column, new: Column) -> Column:
 
 
 def _ratio(old: Column, new: Column, cut) -> Column:
-    @pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, cut(x or ""), cut(y or "")).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    @arrow_udf("double")  # of the kind that word_diff has, so that a task takes one Python worker for both
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_pieces(lambda x, y: difflib.SequenceMatcher(None, cut(x or ""), cut(y or "")).ratio(), a, b, pa.float64())
 
     return run(old, new)
 

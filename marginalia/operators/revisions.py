@@ -11,12 +11,12 @@ from __future__ import annotations
 import difflib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from marginalia.functions import rank as R, text as T
-from marginalia.operators.diff import SEGMENTS, greedy_match, letter_bound, letter_ratio, sequence_ratio, word_diff, word_segments
+from marginalia.operators.diff import SEGMENTS, greedy_match, in_pieces, letter_bound, letter_ratio, segments_type, sequence_ratio, word_diff, word_segments
 from marginalia.session import checkpoint_dir
 
 # Thresholds, limits and labels of the comparison.
@@ -32,13 +32,12 @@ _BLOCKS = "array<struct<tag: string, a: array<string>, b: array<string>>>"
 def _aligned(before: Column, after: Column) -> Column:
     """Runs of paragraphs that are equal, deleted, inserted or replaced."""
 
-    @pandas_udf(_BLOCKS)
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = list(a), list(b)
-            out.append([{"tag": tag, "a": a[i:j], "b": b[k:m]} for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes()])
-        return pd.Series(out, dtype=object)
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))]))
+    blocks = lambda a, b: [{"tag": tag, "a": a[i:j], "b": b[k:m]} for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes()]
+
+    @arrow_udf(_BLOCKS)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return in_pieces(blocks, x, y, kind)
 
     return run(before, after)
 
@@ -94,9 +93,9 @@ def media_segments(before: list[str], after: list[str]) -> list[dict[str, str]]:
 
 
 def _media_diff(before: Column, after: Column) -> Column:
-    @pandas_udf(SEGMENTS)
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else media_segments(list(a), list(b)) for a, b in zip(x, y, strict=True)], dtype=object)
+    @arrow_udf(SEGMENTS)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return in_pieces(lambda a, b: None if a is None or b is None else media_segments(a, b), x, y, segments_type())
 
     return run(before, after)
 
