@@ -64,7 +64,7 @@ def letter_ratio(old: Column, new: Column) -> Column:
 def _ratio(old: Column, new: Column, cut) -> Column:
     @arrow_udf("double")  # of the kind that word_diff has, so that a task takes one Python worker for both
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return in_pieces(lambda x, y: difflib.SequenceMatcher(None, cut(x or ""), cut(y or "")).ratio(), a, b, pa.float64())
+        return in_pieces(lambda x, y: 1.0 if x == y else difflib.SequenceMatcher(None, cut(x or ""), cut(y or "")).ratio(), a, b, pa.float64())
 
     return run(old, new)
 

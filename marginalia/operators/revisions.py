@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 
 from marginalia.functions import rank as R, text as T
 from marginalia.operators.diff import SEGMENTS, greedy_match, in_pieces, letter_bound, letter_ratio, segments_type, sequence_ratio, word_diff, word_segments
-from marginalia.session import checkpoint_dir
+from marginalia.session import spread, written
 
 # Thresholds, limits and labels of the comparison.
 MOVE_RATIO, MOVE_WORDS, PASSES = 0.6, 6, 5
@@ -128,31 +128,49 @@ def aligned_segments(pairs: DataFrame) -> DataFrame:
     return rows.select("pair", "n", F.posexplode("s").alias("m", "s")).select("pair", F.array("n", "m").alias("pos"), "s.op", "s.text")
 
 
+def _matched_paragraphs(fit: DataFrame) -> DataFrame:
+    """(pair, gone, old, pos, new, kept) of deletes and inserts (pair, pos, op, text, bare, fresh), matched one to one, the most alike first.
+
+    Only equal texts score 1, so these are matched first, by their positions; what is left over is compared by letters. Two that
+    aren't fresh were compared, and found unlike, in the pass before.
+    """
+    rows = lambda op: F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct("pos", "text", "fresh"))))
+    texts = written(fit.groupBy("pair", "bare").agg(rows("delete").alias("d"), rows("insert").alias("i")).withColumn("both", F.least(F.size("d"), F.size("i"))), "paragraphs")
+    same = texts.filter("both > 0").select("pair", "bare", F.inline(F.arrays_zip(F.slice("d", 1, F.col("both")).alias("d"), F.slice("i", 1, F.col("both")).alias("i"))))
+    same = same.select("pair", F.col("d.pos").alias("gone"), F.col("bare").alias("old"), F.col("i.pos").alias("pos"), F.col("bare").alias("new"), F.col("i.text").alias("kept"))
+    rest = lambda side: texts.filter(F.size(side) > F.col("both")).select("pair", "bare", F.inline(F.slice(side, F.col("both") + 1, F.size(side))))
+    old = rest("d").select("pair", F.col("pos").alias("left"), F.col("bare").alias("old"), F.col("fresh").alias("was_fresh"))
+    new = rest("i").select("pair", F.col("pos").alias("right"), F.col("bare").alias("new"), F.col("text").alias("kept"), "fresh")
+    near = old.join(new, "pair").filter((F.col("was_fresh") | F.col("fresh")) & (letter_bound(F.col("old"), F.col("new")) >= MOVE_RATIO))
+    near = written(spread(near, "pair", "left", "right").withColumn("score", letter_ratio(F.col("old"), F.col("new"))), "scores")  # else a filter on the score goes below the shuffle
+    alike = greedy_match(near, "pair", MOVE_RATIO).select("pair", F.col("left").alias("gone"), "old", F.col("right").alias("pos"), "new", "kept")
+    return same.unionByName(alike)
+
+
 def moved_paragraphs(segments: DataFrame) -> DataFrame:
     """Deletes and inserts of six words or more that are alike become one segment at the place of the insert, up to five times.
 
-    Equal texts are moved; others are compared by words, which may leave new inserts for the next pass.
+    Equal texts are moved; others are compared by words, which may leave new inserts for the next pass. A pass looks only at
+    pairs in which the one before left any.
     """
-    checkpoint_dir(segments.sparkSession)
     bare = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
-    segments = segments.checkpoint()
+    segments = written(segments.withColumn("fresh", F.lit(True)), "segments")
     for _ in range(PASSES):
         fit = segments.filter(F.col("op").isin("delete", "insert")).withColumn("bare", bare)
         fit = fit.filter((F.size(F.split("bare", r"\s+")) >= MOVE_WORDS) & ~F.col("bare").rlike(T.MEDIA))
-        fit = fit.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos")))
-        old = fit.filter("op = 'delete'").select("pair", F.col("n").alias("left"), F.col("pos").alias("gone"), F.col("bare").alias("old"))
-        new = fit.filter("op = 'insert'").select("pair", F.col("n").alias("right"), "pos", F.col("bare").alias("new"), F.col("text").alias("kept"))
-        near = old.join(new, "pair").filter(letter_bound(F.col("old"), F.col("new")) >= MOVE_RATIO).withColumn("score", letter_ratio(F.col("old"), F.col("new")))
-        found = greedy_match(near, "pair", MOVE_RATIO).checkpoint()
+        fresh = fit.filter("fresh").select("pair").distinct()
+        if fresh.isEmpty():
+            break
+        found = written(_matched_paragraphs(fit.join(fresh, "pair", "left_semi")), "matched")
         if found.isEmpty():
             break
         same = F.col("old") == F.col("new")
         words = _closed(word_diff(F.when(same, "").otherwise(F.col("old")), F.when(same, "").otherwise(F.col("new")), MAX_SEGMENTS))
         put = found.withColumn("s", F.when(same, F.array(F.struct(F.lit("moved").alias("op"), F.col("kept").alias("text")))).otherwise(words))
-        put = put.select("pair", "pos", F.posexplode("s").alias("m", "s")).select("pair", F.concat("pos", F.array("m")).alias("pos"), "s.op", "s.text")
+        put = put.select("pair", "pos", F.posexplode("s").alias("m", "s")).select("pair", F.concat("pos", F.array("m")).alias("pos"), "s.op", "s.text", F.lit(True).alias("fresh"))
         taken = found.select("pair", F.col("gone").alias("pos")).unionByName(found.select("pair", "pos"))
-        segments = segments.join(taken, ["pair", "pos"], "left_anti").unionByName(put).checkpoint()
-    return segments
+        segments = written(segments.withColumn("fresh", F.lit(False)).join(taken, ["pair", "pos"], "left_anti").unionByName(put), "segments")
+    return segments.drop("fresh")
 
 
 def merged_media(segments: DataFrame, renumbered: DataFrame) -> DataFrame:
@@ -210,13 +228,13 @@ def matched_media(before: DataFrame, after: DataFrame) -> DataFrame:
     both = free(a, "a").join(free(b, "b"), ["pair", "kind"]).filter("kind <> 'Equation'")
     text = lambda c: F.coalesce(c, F.lit(""))
     captions = (F.length(text(F.col("a_caption"))) >= CAPTION_CHARS) & (F.length(text(F.col("b_caption"))) >= CAPTION_CHARS)
-    written = (text(F.col("a_content")) != "") | (text(F.col("b_content")) != "")
+    filled = (text(F.col("a_content")) != "") | (text(F.col("b_content")) != "")
     old = F.when(boxed, text(F.col("a_content"))).otherwise(text(F.col("a_caption")))
     new = F.when(boxed, text(F.col("b_content"))).otherwise(text(F.col("b_caption")))
     sizes = 1 - F.abs(F.col("a_bytes") - F.col("b_bytes")) / F.greatest("a_bytes", "b_bytes", F.lit(1))
-    ratio = F.when(F.when(boxed, written).otherwise(captions), letter_ratio(old, new)).when(boxed, sizes).otherwise(F.coalesce(R.image_similarity(F.col("a_signature"), F.col("b_signature")), F.lit(0.0)))
+    ratio = F.when(F.when(boxed, filled).otherwise(captions), letter_ratio(old, new)).when(boxed, sizes).otherwise(F.coalesce(R.image_similarity(F.col("a_signature"), F.col("b_signature")), F.lit(0.0)))
     least = F.when(boxed, BOX_RATIO).when(captions, CAPTION_RATIO).otherwise(IMAGE_RATIO)
-    near = both.withColumn("score", ratio).filter(F.col("score") >= least)
+    near = written(spread(both, "pair", "kind", "a", "b").select("pair", "kind", "a", "b", ratio.alias("score"), least.alias("least")), "scores").filter(F.col("score") >= F.col("least"))
     order = F.row_number().over(Window.partitionBy("pair", "kind").orderBy(F.desc("score"), F.col("a") != F.col("b"), "a", "b"))
     near = near.select("pair", "kind", F.col("a").alias("left"), F.col("b").alias("right"), (-order).cast("double").alias("score"))
     found = fixed.unionByName(greedy_match(near, ["pair", "kind"], float("-inf")).select("pair", "kind", F.col("left").alias("a"), F.col("right").alias("b")))
@@ -247,10 +265,10 @@ def body_changes(changes: DataFrame, versions: DataFrame, media: DataFrame) -> D
     known = versions.filter(F.coalesce("text", F.lit("")) != "").select("url", "text")
     files = changes.filter("field = 'pdf' AND kind = 'file' AND before_url IS NOT NULL")
     pairs = files.select("before_url", "after_url").distinct().join(known.select(F.col("url").alias("before_url"), F.col("text").alias("before")), "before_url").join(known.select(F.col("url").alias("after_url"), F.col("text").alias("after")), "after_url")
-    pairs = pairs.withColumn("pair", F.concat_ws("\n", "before_url", "after_url"))
+    pairs = written(pairs.withColumn("pair", F.concat_ws("\n", "before_url", "after_url")), "pairs")
     own = lambda side: pairs.select("pair", F.col(side).alias("url")).join(media, "url").drop("url")
     a, b = own("before_url"), own("after_url")
-    matched = matched_media(a, b)
+    matched = written(matched_media(a, b), "media")
     segments = body_segments(pairs.select("pair", "before", "after"), matched.filter("before_label <> after_label"))
     folded = segments.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("n", "op", "text"))).alias("s"))
     folded = folded.select("pair", F.transform("s", lambda x: F.struct(x["op"].alias("op"), x["text"].alias("text"))).alias("segments"))
