@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 SCHEMA = "key long, job_id long, created_at timestamp, ended_at timestamp, status string"
+_ENDS = "key long, job_id long, created long, ended long, status string"  # times in microseconds
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,18 +27,16 @@ class _Jobs(StatefulProcessor):
         self.handle = handle
         self.active = handle.getValueState("active", "job_id long, created long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.active.get() if self.active.exists() else None
-        before, ended = held, []
-        events = pd.concat(list(rows)).sort_values(["us", "job_id"], kind="stable")  # a key's events of one batch
-        for job_id, at, kind in events[["job_id", "us", "kind"]].itertuples(index=False, name=None):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = before = self.active.get()  # None where there is none
+        for at, job_id, kind in sorted((row[1:4] for row in rows), key=lambda r: (r[0], r[1] is None, r[1] or 0)):  # a key's events of one batch
             if held is not None and at - held[1] >= self.limit * 1000:
-                ended.append((*held, held[1] + self.limit * 1000, "expired"))
+                yield _ended(key[0], held, held[1] + self.limit * 1000, "expired")
                 held = None
             if kind == "start" and held is None:
-                held = (int(job_id), int(at))
+                held = (job_id, at)
             elif kind in ("done", "failed") and held is not None:
-                ended.append((*held, int(at), kind))
+                yield _ended(key[0], held, at, kind)
                 held = None
         if held != before:
             if before is not None:
@@ -48,13 +46,12 @@ class _Jobs(StatefulProcessor):
             else:
                 self.active.update(held)
                 self.handle.registerTimer(self._expiry(held))
-        yield _rows(key[0], ended)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.active.get() if self.active.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.active.get()
         if held is not None and self._expiry(held) == expiredTimerInfo.getExpiryTimeInMs():
             self.active.clear()
-            yield _rows(key[0], [(*held, held[1] + self.limit * 1000, "expired")])
+            yield _ended(key[0], held, held[1] + self.limit * 1000, "expired")
 
     def _expiry(self, held) -> int:
         return -(-held[1] // 1000) + self.limit
@@ -63,17 +60,20 @@ class _Jobs(StatefulProcessor):
         pass
 
 
-def _rows(key: int, ended: list[tuple]) -> pd.DataFrame:
-    stamp = lambda i: pd.to_datetime([r[i] for r in ended], unit="us", utc=True)
-    return pd.DataFrame({"key": [key] * len(ended), "job_id": [r[0] for r in ended], "created_at": stamp(1), "ended_at": stamp(2), "status": [r[3] for r in ended]}, columns=["key", "job_id", "created_at", "ended_at", "status"]).astype({"key": "int64", "job_id": "int64", "status": "object"})
+def _ended(key: int, held: tuple, at: int, status: str) -> Row:
+    return Row(key=key, job_id=held[0], created=held[1], ended=at, status=status)
 
 
 def job_ends(events: DataFrame, minutes: int = 15, late: str = "0 seconds") -> DataFrame:
-    """(key, job_id, created_at, ended_at, status) of jobs as they end (done, failed or expired), of a stream of events."""
+    """(key, job_id, created_at, ended_at, status) of jobs as they end (done, failed or expired), of a stream of events.
+
+    Keys have few events a batch, so these are rows, not a pandas frame for each key.
+    """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    rows = events.select("key", "job_id", "at", F.unix_micros("at").alias("us"), "kind").filter("key IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
-    return rows.groupBy("key").transformWithStateInPandas(_Jobs(minutes * 60_000), SCHEMA, "Append", "EventTime")
+    rows = events.select("key", F.unix_micros("at").alias("us"), "job_id", "kind", "at").filter("key IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
+    ends = rows.groupBy("key").transformWithState(_Jobs(minutes * 60_000), _ENDS, "Append", "EventTime")
+    return ends.select("key", "job_id", F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("ended").alias("ended_at"), "status")
 
 
 def follow(spark: SparkSession, source: str, target: str, checkpoint: str, minutes: int = 15) -> StreamingQuery:
