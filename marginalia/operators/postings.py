@@ -27,8 +27,8 @@ def _bucket(term: Column, buckets: int) -> Column:
 def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, len, tf): the words of each text, counted within its row, so no task holds those of more than one text."""
     cut = docs.select(F.col(id_col).alias("id"), F.sort_array(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).alias("t"))
-    first = lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)
-    cut = cut.select("id", "t", F.size("t").alias("len"), F.filter(F.transform("t", first), lambda i: i.isNotNull()).alias("at"))  # where each term begins
+    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+    cut = cut.select("id", "t", F.size("t").alias("len"), F.filter(places, lambda i: (i == 0) | (F.get("t", i - 1) != F.get("t", i))).alias("at"))  # where each term begins
     term = lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("len")) - i).alias("tf"))
     # outer: else a filter on the size of p would be put below it all, in which each step works out the sorted words anew
     return cut.select("id", "len", F.transform("at", term).alias("p")).select("id", "len", F.inline_outer("p")).filter("term IS NOT NULL").select("term", "id", "len", "tf")
@@ -41,7 +41,8 @@ def build(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text"
     rows.write.partitionBy("bucket").parquet(f"{path}/postings")
     id_type = rows.schema["id"].dataType.simpleString()
     held = spark.read.schema(_SCHEMAS["postings"].format(id_type)).parquet(f"{path}/postings")
-    held.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/terms")
+    often = held.groupBy("bucket", "term").agg(F.count("*").alias("df")).hint("rebalance", "bucket")  # a file or two a bucket, not one for each task
+    often.write.partitionBy("bucket").parquet(f"{path}/terms")
     total = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))  # a row, as is the number of texts: all words without cutting again
     average = F.try_divide(F.col("total").cast("double"), F.col("n"))
     docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", average.alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type")).write.parquet(f"{path}/counts")
@@ -51,8 +52,8 @@ def build(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text"
 def _lists(spark: SparkSession, path: str, table: str, words: Sequence[str]) -> DataFrame:
     """Rows of the words, by the buckets they hash to: both filters reach the scan."""
     counts = spark.read.parquet(f"{path}/counts").first()
-    asked = [r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"), counts.buckets).alias("b")).distinct().collect()]
-    return spark.read.schema(_SCHEMAS[table].format(counts.id_type)).parquet(f"{path}/{table}").filter(F.col("bucket").isin(asked) & F.col("term").isin(list(words)))
+    asked = F.col("bucket").isin([_bucket(F.lit(w), counts.buckets) for w in words])  # constants to the optimizer
+    return spark.read.schema(_SCHEMAS[table].format(counts.id_type)).parquet(f"{path}/{table}").filter(asked & F.col("term").isin(list(words)))
 
 
 def _asked(words: Sequence[str]) -> list[str]:
