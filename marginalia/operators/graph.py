@@ -7,9 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
+from marginalia.operators.diff import in_pieces
 from marginalia.session import checkpoint_dir, written
 
 MAX_STOPS = 12
@@ -158,6 +161,52 @@ def _with_method(x: Column, k: Column) -> Column:
     return F.struct(*[x[c].alias(c) for c in ("id", "venue", "decision", "avg_rating", "rating_count", "rating_vs_venue")], F.get(own, F.lit(0))["method"].alias("method"))
 
 
+def _ordered(stops: list[dict], links: list[dict]) -> list[dict]:
+    """Places of one part's stops in order, each with the method of its direct link to the one before."""
+    ids = [x["id"] for x in stops]
+    before: dict[int, list[int]] = {i: [] for i in ids}
+    methods: dict[tuple[int, int], str] = {}
+    for x in links:
+        before[x["later"]].append(x["earlier"])
+        pair = min(x["earlier"], x["later"]), max(x["earlier"], x["later"])
+        if x["method"] is not None:
+            methods[pair] = min(methods.get(pair, x["method"]), x["method"])
+    places = _kahn(ids, [x["year"] or 0 for x in stops], [before[i] for i in ids])
+    prev = [None, *(ids[k] for k in places)]
+    return [{"place": k, "method": methods.get((min(p, ids[k]), max(p, ids[k]))) if p is not None else None} for p, k in zip(prev, places)]  # noqa: B905
+
+
+def _order(stops: Column, links: Column) -> Column:
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("method", pa.string())]))
+
+    @arrow_udf("array<struct<place: int, method: string>>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return in_pieces(_ordered, x, y, kind)
+
+    return run(stops, links)
+
+
+def part_journeys(papers: DataFrame, links: DataFrame, ratings: DataFrame, venues: DataFrame) -> DataFrame:
+    """The journeys of whole_journeys for parts that links join, without a cap: each paper is the root of all stops of its part.
+
+    papers: part, id (once in the table), year, venue, decision; links: part, earlier, later, method, both ends in the part;
+    ratings and venues as for journeys. Order, outcome and message are the same for all roots of a part and worked out once;
+    the rows of its roots, as many as the square of its papers, are made last, so only papers and links are shuffled.
+    """
+    facts = papers.select("part", "id", "year", "venue", "decision").join(ratings.select("id", "avg_rating", "rating_count"), "id", "left").join(F.broadcast(venues.select("venue", "rating_mean")), "venue", "left")
+    versus = F.round(F.col("avg_rating") - F.col("rating_mean"), 2).alias("rating_vs_venue")
+    stop = F.struct("id", "year", "venue", "decision", F.round("avg_rating", 2).alias("avg_rating"), F.coalesce("rating_count", F.lit(0)).alias("rating_count"), versus)
+    rows = facts.select("part", stop.alias("stop")).unionByName(links.select("part", F.struct("earlier", "later", "method").alias("link")), allowMissingColumns=True)
+    parts = rows.repartition("part").groupBy("part").agg(F.collect_list("stop").alias("c"), F.collect_list("link").alias("l"))
+    order = _order(F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["year"].alias("year"))), F.col("l"))
+    shown = ("id", "venue", "decision", "avg_rating", "rating_count", "rating_vs_venue")
+    told = parts.select("c", order.alias("o")).select(F.transform("o", lambda o: F.struct(*[F.col("c")[o["place"]][n].alias(n) for n in shown], o["method"].alias("method"))).alias("s"))
+    told = told.withColumn("outcome", _kind(F.col("s")))
+    told = told.select("s", "outcome", _message(F.col("s"), F.col("outcome")).alias("message"), F.explode_outer("s.id").alias("root"))  # no part is empty; a plain explode puts a filter below it, which orders all parts again
+    out = told.select("root", "outcome", "message", F.posexplode_outer("s").alias("k", "x"))
+    return out.select("root", (F.col("k") + 1).alias("stop"), *[F.col("x")[n].alias(n) for n in (*shown, "method")], (F.col("root") == F.col("x.id")).alias("is_query"), "outcome", "message")
+
+
 def journeys(stops: DataFrame, links: DataFrame, ratings: DataFrame, venues: DataFrame) -> DataFrame:
     """Stops (root, id, stop, venue, decision) with ratings, evidence of links, and the journey's outcome and message.
 
