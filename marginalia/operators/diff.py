@@ -29,8 +29,8 @@ def segments_type() -> pa.DataType:
     return pa.list_(pa.struct([("op", pa.string()), ("text", pa.string())]))
 
 
-def word_segments(old: str | None, new: str | None, cap: int, keep_breaks: bool = False) -> list[dict[str, str]]:
-    """equal, delete and insert segments of words; paragraph breaks count as words where they are kept."""
+def word_segments(old: str | None, new: str | None, cap: int | None = None, keep_breaks: bool = False) -> list[dict[str, str]]:
+    """equal, delete and insert segments of words, all of them unless a caller wants the first few; paragraph breaks count as words where they are kept."""
     cut = (lambda t: re.findall(r"\n\n|(?:(?!\n\n)\s)+|\S+", t)) if keep_breaks else str.split
     a, b = ([w for w in cut(x or "") if w == "\n\n" or w.strip()] for x in (old, new))
     joined = lambda words: re.sub(" ?\n\n ?", "\n\n", " ".join(words))
@@ -43,10 +43,10 @@ def word_segments(old: str | None, new: str | None, cap: int, keep_breaks: bool
     return out[:cap]
 
 
-def word_diff(old: Column, new: Column, cap: int = 400, keep_breaks: bool = False) -> Column:
+def word_diff(old: Column, new: Column, keep_breaks: bool = False) -> Column:
     @arrow_udf(SEGMENTS)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return in_pieces(lambda x, y: word_segments(x, y, cap, keep_breaks), a, b, segments_type())
+        return in_pieces(lambda x, y: word_segments(x, y, None, keep_breaks), a, b, segments_type())
 
     return run(old, new)
 

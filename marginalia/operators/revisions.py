@@ -61,7 +61,7 @@ def media_segments(before: list[str], after: list[str]) -> list[dict[str, str]]:
     def place(side: int, at: int) -> None:
         out.extend({"op": ("delete", "insert")[side], "text": p} for p in marks[side].pop(at, []))
 
-    segments = word_segments(*texts, MAX_SEGMENTS)
+    segments = word_segments(*texts)
     if segments and all(s["op"] == "equal" for s in segments):
         segments = [{"op": "moved", "text": s["text"]} for s in segments]  # only media have changed their places
     at = [0, 0]
@@ -121,7 +121,7 @@ def aligned_segments(pairs: DataFrame) -> DataFrame:
     one = lambda c: F.when(single, F.get(c, F.lit(0)))
     rows = blocks.withColumn("ratio", F.when(single, letter_ratio(one("a"), one("b"))))
     sure = single & (F.col("ratio") >= MOVE_RATIO)
-    by_words = _closed(word_diff(F.when(sure, one("a")), F.when(sure, one("b")), MAX_SEGMENTS, keep_breaks=True))
+    by_words = _closed(word_diff(F.when(sure, one("a")), F.when(sure, one("b")), keep_breaks=True))
     with_media = _media_diff(F.when(media, F.col("a")), F.when(media, F.col("b")))
     whole = F.when(F.col("tag") == "equal", _segments("equal", F.col("a"))).otherwise(F.concat(_segments("delete", F.col("a")), _segments("insert", F.col("b"))))
     rows = rows.select("pair", "n", F.when(media, with_media).when(sure, by_words).otherwise(whole).alias("s"))
@@ -165,7 +165,7 @@ def moved_paragraphs(segments: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         same = F.col("old") == F.col("new")
-        words = _closed(word_diff(F.when(same, "").otherwise(F.col("old")), F.when(same, "").otherwise(F.col("new")), MAX_SEGMENTS))
+        words = _closed(word_diff(F.when(same, "").otherwise(F.col("old")), F.when(same, "").otherwise(F.col("new"))))
         put = found.withColumn("s", F.when(same, F.array(F.struct(F.lit("moved").alias("op"), F.col("kept").alias("text")))).otherwise(words))
         put = put.select("pair", "pos", F.posexplode("s").alias("m", "s")).select("pair", F.concat("pos", F.array("m")).alias("pos"), "s.op", "s.text", F.lit(True).alias("fresh"))
         taken = found.select("pair", F.col("gone").alias("pos")).unionByName(found.select("pair", "pos"))
