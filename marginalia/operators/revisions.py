@@ -19,10 +19,9 @@ from marginalia.functions import rank as R, text as T
 from marginalia.operators.diff import SEGMENTS, greedy_match, in_pieces, letter_bound, letter_ratio, segments_type, sequence_ratio, word_diff, word_segments
 from marginalia.session import spread, written
 
-# Thresholds, limits and labels of the comparison.
-MOVE_RATIO, MOVE_WORDS, PASSES = 0.6, 6, 5
+# Thresholds and labels of the comparison.
+MOVE_RATIO, MOVE_WORDS = 0.6, 6
 BOX_RATIO, CAPTION_CHARS, CAPTION_RATIO, IMAGE_RATIO = 0.5, 8, 0.7, 0.95
-MAX_SEGMENTS, MAX_BODY_SEGMENTS = 400, 2000
 MEDIA_KINDS = ("Figure", "Table", "Algorithm", "Box", "Equation")
 BODY_LABEL = "본문"
 
@@ -148,14 +147,15 @@ def _matched_paragraphs(fit: DataFrame) -> DataFrame:
 
 
 def moved_paragraphs(segments: DataFrame) -> DataFrame:
-    """Deletes and inserts of six words or more that are alike become one segment at the place of the insert, up to five times.
+    """Deletes and inserts of six words or more that are alike become one segment at the place of the insert, until none are.
 
     Equal texts are moved; others are compared by words, which may leave new inserts for the next pass. A pass looks only at
-    pairs in which the one before left any.
+    pairs in which the one before moved a text or found equal words: each such pass leaves fewer words deleted and inserted,
+    and one that does not would only match the same texts again, so the passes come to an end.
     """
     bare = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
     segments = written(segments.withColumn("fresh", F.lit(True)), "segments")
-    for _ in range(PASSES):
+    while True:
         fit = segments.filter(F.col("op").isin("delete", "insert")).withColumn("bare", bare)
         fit = fit.filter((F.size(F.split("bare", r"\s+")) >= MOVE_WORDS) & ~F.col("bare").rlike(T.MEDIA))
         fresh = fit.filter("fresh").select("pair").distinct()
@@ -167,7 +167,8 @@ def moved_paragraphs(segments: DataFrame) -> DataFrame:
         same = F.col("old") == F.col("new")
         words = _closed(word_diff(F.when(same, "").otherwise(F.col("old")), F.when(same, "").otherwise(F.col("new"))))
         put = found.withColumn("s", F.when(same, F.array(F.struct(F.lit("moved").alias("op"), F.col("kept").alias("text")))).otherwise(words))
-        put = put.select("pair", "pos", F.posexplode("s").alias("m", "s")).select("pair", F.concat("pos", F.array("m")).alias("pos"), "s.op", "s.text", F.lit(True).alias("fresh"))
+        put = put.select("pair", "pos", F.posexplode("s").alias("m", "s")).select("pair", F.concat("pos", F.array("m")).alias("pos"), "s.op", "s.text")
+        put = put.withColumn("fresh", F.max(F.col("op").isin("equal", "moved")).over(Window.partitionBy("pair")))
         taken = found.select("pair", F.col("gone").alias("pos")).unionByName(found.select("pair", "pos"))
         segments = written(segments.withColumn("fresh", F.lit(False)).join(taken, ["pair", "pos"], "left_anti").unionByName(put), "segments")
     return segments.drop("fresh")
@@ -199,16 +200,15 @@ def merged_media(segments: DataFrame, renumbered: DataFrame) -> DataFrame:
 
 
 def body_segments(pairs: DataFrame, renumbered: DataFrame | None = None) -> DataFrame:
-    """(pair, n, op, text): the segments of texts (pair, before, after) in order, at most MAX_BODY_SEGMENTS of a pair.
+    """(pair, n, op, text): the segments of texts (pair, before, after) in order.
 
-    equal, insert and moved segments in order make up the text after, as far as they go; a null text is an empty one.
+    equal, insert and moved segments in order make up the text after; a null text is an empty one.
     """
     if renumbered is None:
         renumbered = pairs.sparkSession.createDataFrame([], "pair long, before_label string, after_label string").withColumn("pair", F.col("pair").cast(pairs.schema["pair"].dataType))
     texts = pairs.select("pair", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
     rows = merged_media(moved_paragraphs(aligned_segments(texts)), renumbered)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos")))
-    return rows.filter(F.col("n") <= MAX_BODY_SEGMENTS).select("pair", "n", "op", "text")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("pos"))).select("pair", "n", "op", "text")
 
 
 def matched_media(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -148,8 +148,8 @@ def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     texts = turns.select("conv_id", F.transform("t", lambda x: x["text"]).alias("t"))
     n = F.col("conv_id") % 3
     figure = lambda i: F.array(F.concat(F.lit("(그림 "), i.cast("string"), F.lit(")")))
-    before = F.concat(F.slice("t", 1, 2), figure(F.lit(1)), F.slice("t", 3, 1000), figure(F.lit(2)))
-    after = F.concat(F.slice("t", 2, 1), figure(n + 1), F.slice("t", 1, 1), F.slice("t", 3, 1000), F.array(F.lit("One more paragraph that the authors wrote for this version.")), figure(F.lit(2) - n % 2))
+    before = F.concat(F.slice("t", 1, 2), figure(F.lit(1)), F.slice("t", F.lit(3), F.size("t")), figure(F.lit(2)))
+    after = F.concat(F.slice("t", 2, 1), figure(n + 1), F.slice("t", 1, 1), F.slice("t", F.lit(3), F.size("t")), F.array(F.lit("One more paragraph that the authors wrote for this version.")), figure(F.lit(2) - n % 2))
     url = lambda v: F.concat(F.lit(f"v{v}/"), F.col("conv_id").cast("string"))
     rows = texts.select("conv_id", F.explode(F.array(F.struct(url(1).alias("url"), before.alias("p")), F.struct(url(2).alias("url"), after.alias("p")))).alias("v"))
     versions = rows.select("v.url", F.array_join("v.p", "\n\n").alias("text"))
