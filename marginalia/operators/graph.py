@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -186,18 +187,24 @@ def _order(stops: Column, links: Column) -> Column:
     return run(stops, links)
 
 
-def part_journeys(papers: DataFrame, links: DataFrame, ratings: DataFrame, venues: DataFrame) -> DataFrame:
+def part_journeys(papers: DataFrame, links: DataFrame | Callable[[Column], Column], venues: DataFrame) -> DataFrame:
     """The journeys of whole_journeys for parts that links join, without a cap: each paper is the root of all stops of its part.
 
-    papers: part, id (once in the table), year, venue, decision; links: part, earlier, later, method, both ends in the part;
-    ratings and venues as for journeys. Order, outcome and message are the same for all roots of a part and worked out once;
-    the rows of its roots, as many as the square of its papers, are made last, so only papers and links are shuffled.
+    papers: part, id (once in the table), year, venue, decision, avg_rating, rating_count; venues as for journeys. links: part,
+    earlier, later, method, both ends in the part; or what makes an array of the last three from a part's ids in order, and
+    then only papers are shuffled. Order, outcome and message are the same for all roots of a part and worked out once; the
+    rows of its roots, as many as the square of its papers, are made last.
     """
-    facts = papers.select("part", "id", "year", "venue", "decision").join(ratings.select("id", "avg_rating", "rating_count"), "id", "left").join(F.broadcast(venues.select("venue", "rating_mean")), "venue", "left")
+    facts = papers.join(F.broadcast(venues.select("venue", "rating_mean")), "venue", "left")
     versus = F.round(F.col("avg_rating") - F.col("rating_mean"), 2).alias("rating_vs_venue")
     stop = F.struct("id", "year", "venue", "decision", F.round("avg_rating", 2).alias("avg_rating"), F.coalesce("rating_count", F.lit(0)).alias("rating_count"), versus)
-    rows = facts.select("part", stop.alias("stop")).unionByName(links.select("part", F.struct("earlier", "later", "method").alias("link")), allowMissingColumns=True)
-    parts = rows.repartition("part").groupBy("part").agg(F.collect_list("stop").alias("c"), F.collect_list("link").alias("l"))
+    rows, lists = facts.select("part", stop.alias("stop")), [F.collect_list("stop").alias("c")]
+    if isinstance(links, DataFrame):
+        rows = rows.unionByName(links.select("part", F.struct("earlier", "later", "method").alias("link")), allowMissingColumns=True)
+        lists.append(F.collect_list("link").alias("l"))
+    parts = rows.repartition("part").groupBy("part").agg(*lists)
+    if not isinstance(links, DataFrame):
+        parts = parts.withColumn("l", links(F.array_sort(F.transform("c", lambda x: x["id"]))))
     order = _order(F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["year"].alias("year"))), F.col("l"))
     shown = ("id", "venue", "decision", "avg_rating", "rating_count", "rating_vs_venue")
     told = parts.select("c", order.alias("o")).select(F.transform("o", lambda o: F.struct(*[F.col("c")[o["place"]][n].alias(n) for n in shown], o["method"].alias("method"))).alias("s"))
